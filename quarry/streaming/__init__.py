@@ -1,0 +1,7 @@
+"""Streaming surface: intentionally empty.
+
+The studied workloads are batch SQL over fixed tables; they use no streams,
+watermarks, event-time windows or custom state, so nothing is built here. The
+map-side cleaning expressions in `quarry.functions` are plain column
+expressions and apply unchanged to a streaming DataFrame should one be needed.
+"""
