@@ -16,6 +16,11 @@ two passes instead:
 
 Each range partition holds a balanced slice of distinct keys, so no task sees
 more than its share.
+
+Behind a size check the operators take a shorter road: when the input is proven
+to hold at most `small_rows` rows (a bounded `limit(n + 1).count()` on the
+persisted input), a single ordered window is both correct and cheapest, so it is
+used; beyond the bound the two-pass prefix runs.
 """
 
 from __future__ import annotations
@@ -26,6 +31,12 @@ from pyspark.sql import functions as F
 from quarry.session import ensure_checkpoint_dir
 
 _PART = "_range_part"
+SMALL_ROWS = 500_000
+
+
+def _proven_small(df: DataFrame, small_rows: int) -> bool:
+    """True when `df` has at most `small_rows` rows; reads at most small_rows + 1."""
+    return small_rows > 0 and df.limit(small_rows + 1).count() <= small_rows
 
 
 def _sort_cols(order_by: list[tuple[str, bool]]):
@@ -79,18 +90,23 @@ def global_rank(
     order_by: list[tuple[str, bool]],
     method: str = "rank",
     out: str = "rnk",
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
-    """Whole-table RANK / DENSE_RANK over `order_by` [(column, descending)], distributed.
+    """Whole-table RANK / DENSE_RANK over `order_by` [(column, descending)].
 
     Equal keys share a rank, as the SQL functions do. The result keeps every
-    input row and adds `out` (INT).
+    input row and adds `out` (INT). Distributed unless the input is proven small.
     """
+    if method not in ("rank", "dense_rank"):
+        raise ValueError("global_rank supports 'rank' and 'dense_rank'")
+    df = df.persist()
+    if _proven_small(df, small_rows):
+        fn = F.rank if method == "rank" else F.dense_rank
+        return df.withColumn(out, fn().over(Window.orderBy(*_sort_cols(order_by))))
     keys = [c for c, _ in order_by]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if method == "dense_rank":
         counts = counts.withColumn("_n", F.lit(1).cast("bigint"))
-    elif method != "rank":
-        raise ValueError("global_rank supports 'rank' and 'dense_rank'")
     before = exclusive_prefix(counts, order_by, ["_n"]).select(
         *keys, (F.col("_before__n") + 1).cast("int").alias(out)
     )
@@ -104,6 +120,7 @@ def cumulative(
     total_col: str = "running_total",
     mean_col: str = "moving_avg",
     mean_scale: int | None = 2,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Running total and cumulative mean of `metric` in `order_by` order.
 
@@ -113,6 +130,19 @@ def cumulative(
     """
     from quarry.functions.numeric import exact_mean
 
+    def finish(res: DataFrame) -> DataFrame:
+        if mean_scale is None:
+            mean = F.col(total_col) / F.col("_cnt")
+        else:
+            units = (F.col(total_col) * F.lit(10**mean_scale)).cast("decimal(38,0)")
+            mean = exact_mean(units, F.col("_cnt"), mean_scale)
+        return res.withColumn(mean_col, mean).drop("_cnt")
+
+    df = df.persist()
+    if _proven_small(df, small_rows):
+        w = Window.orderBy(*_sort_cols(order_by)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return finish(df.withColumn(total_col, F.sum(metric).over(w)).withColumn("_cnt", F.count(F.lit(1)).over(w)))
+
     keys = [c for c, _ in order_by]
     per_key = df.groupBy(*keys).agg(
         F.sum(metric).alias("_ksum"), F.count(F.lit(1)).alias("_kcnt")
@@ -123,13 +153,7 @@ def cumulative(
         (F.col("_before__ksum") + F.col("_ksum")).alias(total_col),
         (F.col("_before__kcnt") + F.col("_kcnt")).alias("_cnt"),
     )
-    if mean_scale is None:
-        mean = F.col(total_col) / F.col("_cnt")
-    else:
-        units = (F.col(total_col) * F.lit(10**mean_scale)).cast("decimal(38,0)")
-        mean = exact_mean(units, F.col("_cnt"), mean_scale)
-    pref = pref.withColumn(mean_col, mean).drop("_cnt")
-    return _null_safe_join(df, pref, keys)
+    return _null_safe_join(df, finish(pref), keys)
 
 
 def event_gaps(

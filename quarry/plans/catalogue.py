@@ -145,12 +145,20 @@ def active_days(spark, d):
 
 
 def first_item_per_customer(spark, d):
+    """Brands bought on each customer's first order day (all ties kept).
+
+    The order day is an attribute of orders, so the first-day orders are found on
+    the orders table (rank = 1 per customer, partial top-k before the shuffle)
+    and only their lines are read through a semi join.
+    """
     t = Tables(spark, d)
-    lines = _lines_orders(t, ["o_custkey", F.to_date("o_orderdate").alias("order_day"), "l_partkey"])
+    days = t.orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("order_day"))
+    first = rank.first_per(days, "o_custkey", "order_day", ties="all").select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_custkey"
+    )
+    lines = t.lineitem.select("l_orderkey", "l_partkey").join(first, "l_orderkey")
     items = lines.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    bought = items.select("o_custkey", "order_day", "p_brand").distinct()
-    first = rank.first_per(bought, "o_custkey", "order_day", ties="all")
-    return first.select("o_custkey", "p_brand").distinct()
+    return items.select("o_custkey", "p_brand").distinct()
 
 
 def _lines_per_part(t: Tables, where=None) -> DataFrame:
