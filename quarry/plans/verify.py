@@ -23,7 +23,7 @@ def _norm(v):
     if isinstance(v, Decimal):
         return format(v.normalize(), "f")
     if isinstance(v, float):
-        return repr(round(v, 9))
+        return format(Decimal(repr(round(v, 9))).normalize(), "f")
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
     return str(v)
