@@ -131,21 +131,24 @@ def cumulative(
     from quarry.functions.numeric import exact_mean
 
     def finish(res: DataFrame) -> DataFrame:
+        # SUM and AVG skip NULL metrics: the mean divides by the non-NULL count,
+        # and a total over no non-NULL value is NULL.
+        total = F.when(F.col("_cnt") > 0, F.col(total_col))
         if mean_scale is None:
-            mean = F.col(total_col) / F.col("_cnt")
+            mean = total / F.col("_cnt")
         else:
-            units = (F.col(total_col) * F.lit(10**mean_scale)).cast("decimal(38,0)")
+            units = (total * F.lit(10**mean_scale)).cast("decimal(38,0)")
             mean = exact_mean(units, F.col("_cnt"), mean_scale)
-        return res.withColumn(mean_col, mean).drop("_cnt")
+        return res.withColumn(total_col, total).withColumn(mean_col, mean).drop("_cnt")
 
     df = df.persist()
     if _proven_small(df, small_rows):
         w = Window.orderBy(*_sort_cols(order_by)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return finish(df.withColumn(total_col, F.sum(metric).over(w)).withColumn("_cnt", F.count(F.lit(1)).over(w)))
+        return finish(df.withColumn(total_col, F.sum(metric).over(w)).withColumn("_cnt", F.count(metric).over(w)))
 
     keys = [c for c, _ in order_by]
     per_key = df.groupBy(*keys).agg(
-        F.sum(metric).alias("_ksum"), F.count(F.lit(1)).alias("_kcnt")
+        F.coalesce(F.sum(metric), F.lit(0)).alias("_ksum"), F.count(metric).alias("_kcnt")
     )
     pref = exclusive_prefix(per_key, order_by, ["_ksum", "_kcnt"])
     pref = pref.select(

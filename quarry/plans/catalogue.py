@@ -148,11 +148,14 @@ def first_item_per_customer(spark, d):
     """Brands bought on each customer's first order day (all ties kept).
 
     The order day is an attribute of orders, so the first-day orders are found on
-    the orders table (rank = 1 per customer, partial top-k before the shuffle)
-    and only their lines are read through a semi join.
+    the orders table (only orders that have lines; rank = 1 per customer with a
+    partial top-k before the shuffle) and only their lines are joined.
     """
     t = Tables(spark, d)
-    days = t.orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("order_day"))
+    with_lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"))
+    days = t.orders.join(with_lines, "o_orderkey", "left_semi").select(
+        "o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("order_day")
+    )
     first = rank.first_per(days, "o_custkey", "order_day", ties="all").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey"
     )
