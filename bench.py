@@ -33,7 +33,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = max(1, int(os.environ.get("BENCH_REPEAT", "1")))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2, app="quarry-bench")
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app="quarry-bench")
     names = only or list(QUERIES)
     for warm in ["spend_per_customer", "favourite_item_ties", "rank_all_groups"]:
         _run(spark, QUERIES[warm], base)

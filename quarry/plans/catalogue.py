@@ -118,11 +118,21 @@ def _purchases(t: Tables) -> DataFrame:
     return _events(t).filter(F.col("event_type") == "purchase")
 
 
-def _encoded_part_lists(t: Tables) -> DataFrame:
-    """Per order, the part keys of its lines as one comma-separated text (a
-    multi-valued text column derived from lineitem; bounded by lines per order)."""
-    return t.lineitem.groupBy("l_orderkey").agg(
-        F.concat_ws(",", F.collect_list(F.col("l_partkey").cast("string"))).alias("part_list")
+def _word_vocabulary(t: Tables) -> DataFrame:
+    """Distinct words of part names with a dense id in word order (derived from
+    the data; ranked by `global_rank`, so no single-task window at scale)."""
+    words = lists.explode_list(t.part, "p_name", " ", None, out="word", keep=[]).distinct()
+    return sequence.global_rank(words, [("word", False)], "dense_rank", "word_id")
+
+
+def _encoded_word_lists(t: Tables, vocab: DataFrame) -> DataFrame:
+    """Per part, the ids of its name's words as comma-separated text: a
+    multi-valued text column derived row by row (each group is one part's own
+    words, so no group grows with the data)."""
+    tokens = lists.explode_list(t.part, "p_name", " ", None, out="word", keep=["p_partkey"])
+    ids = tokens.join(vocab, "word")
+    return ids.groupBy("p_partkey").agg(
+        F.concat_ws(",", F.collect_list(F.col("word_id").cast("string"))).alias("word_ids")
     )
 
 
@@ -380,10 +390,12 @@ def explode_list(spark, d):
 
 
 def decode_list(spark, d):
+    """Lists of word ids decoded back to words, in id order."""
     t = Tables(spark, d)
+    vocab = _word_vocabulary(t)
     return lists.decode_list(
-        _encoded_part_lists(t), "l_orderkey", "part_list", t.part, "p_partkey", "p_name",
-        ",", "bigint", out="part_names",
+        _encoded_word_lists(t, vocab), "p_partkey", "word_ids", vocab, "word_id", "word",
+        ",", "int", out="words",
     )
 
 
@@ -394,12 +406,11 @@ def token_frequency(spark, d):
 
 
 def multi_valued(spark, d):
+    """Parts per type whose encoded word list holds more than one token."""
     t = Tables(spark, d)
-    enc = _encoded_part_lists(t).filter(has_many("part_list", ","))
-    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
-    return enc.join(o, "l_orderkey").groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("multi_part_orders")
-    )
+    enc = _encoded_word_lists(t, _word_vocabulary(t)).filter(has_many("word_ids", ","))
+    typed = enc.join(t.part.select("p_partkey", "p_type"), "p_partkey")
+    return typed.groupBy("p_type").agg(F.count(F.lit(1)).alias("multi_word_parts"))
 
 
 def _priced_parts(t: Tables, where=None) -> DataFrame:

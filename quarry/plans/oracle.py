@@ -51,9 +51,13 @@ DIRTY_BRAND = """dirty AS (
     SELECT p_partkey, p_type, CASE WHEN p_type = 'PROMO' THEN 'null' WHEN p_type = 'SMALL' THEN ''
         WHEN p_type = 'LARGE' THEN 'NaN' ELSE p_brand END AS raw_brand FROM part)"""
 
-ENCODED = """enc AS (
-    SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',') AS part_list
-    FROM lineitem GROUP BY l_orderkey)"""
+ENCODED = """vocab AS (
+    SELECT word, CAST(DENSE_RANK() OVER (ORDER BY word) AS INTEGER) AS word_id
+    FROM (SELECT DISTINCT trim(UNNEST(string_split(p_name, ' '))) AS word FROM part) WHERE word <> ''),
+toks AS (SELECT p_partkey, trim(UNNEST(string_split(p_name, ' '))) AS word FROM part),
+enc AS (
+    SELECT p_partkey, string_agg(CAST(word_id AS VARCHAR), ',') AS word_ids
+    FROM toks JOIN vocab USING (word) GROUP BY p_partkey)"""
 
 TYPE_PRICE = "CASE WHEN p_type = 'PROMO' THEN 12 WHEN p_type = 'SMALL' THEN 10 END"
 
@@ -203,9 +207,9 @@ SQL: dict[str, str] = {
         WHERE token <> ''""",
     "decode_list": f"""
         WITH {ENCODED},
-        tok AS (SELECT l_orderkey, CAST(trim(UNNEST(string_split(part_list, ','))) AS BIGINT) AS tok FROM enc)
-        SELECT l_orderkey, string_agg(p_name, ', ' ORDER BY tok, p_name) AS part_names
-        FROM tok JOIN part ON tok = p_partkey GROUP BY l_orderkey""",
+        tok AS (SELECT p_partkey, CAST(trim(UNNEST(string_split(word_ids, ','))) AS INTEGER) AS tok FROM enc)
+        SELECT p_partkey, string_agg(word, ', ' ORDER BY tok, word) AS words
+        FROM tok JOIN vocab ON tok = word_id GROUP BY p_partkey""",
     "token_frequency": """
         WITH w AS (SELECT trim(UNNEST(string_split(p_name, ' '))) AS token
                    FROM lineitem JOIN part ON l_partkey = p_partkey)
@@ -213,9 +217,9 @@ SQL: dict[str, str] = {
         GROUP BY token ORDER BY uses DESC, token LIMIT 3""",
     "multi_valued": f"""
         WITH {ENCODED}
-        SELECT o_orderpriority, COUNT(*) AS multi_part_orders
-        FROM enc JOIN orders ON l_orderkey = o_orderkey
-        WHERE position(',' IN part_list) > 0 GROUP BY o_orderpriority""",
+        SELECT p_type, COUNT(*) AS multi_word_parts
+        FROM enc JOIN part USING (p_partkey)
+        WHERE position(',' IN word_ids) > 0 GROUP BY p_type""",
     "revenue_rules": f"""
         SELECT CAST(SUM({TYPE_PRICE}) AS BIGINT) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "revenue_surcharge": f"""
