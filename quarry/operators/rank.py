@@ -42,7 +42,12 @@ def rank_within(
     tie_break=(),
     out: str = "rnk",
 ) -> DataFrame:
-    """Add a per-group rank column `out` (INT)."""
+    """Add a per-group rank column `out` (INT) with a window partitioned by group.
+
+    Use it under a rank filter (`top_per_group`), where Spark cuts each group to
+    k rows before the shuffle; for a full rank of groups that may be very large,
+    use `quarry.operators.sequence.group_rank`.
+    """
     order = _order(order_by) + (_order(tie_break) if ties == "first" else [])
     w = Window.partitionBy(*_cols(partition_by)).orderBy(*order)
     return df.withColumn(out, _RANKERS[ties]().over(w))

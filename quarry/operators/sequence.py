@@ -34,9 +34,11 @@ _PART = "_range_part"
 SMALL_ROWS = 500_000
 
 
-def _proven_small(df: DataFrame, small_rows: int) -> bool:
-    """True when `df` has at most `small_rows` rows; reads at most small_rows + 1."""
-    return small_rows > 0 and df.limit(small_rows + 1).count() <= small_rows
+def _proven_small(df: DataFrame, small_rows: int | None) -> bool:
+    """True when `df` has at most `small_rows` rows (default: the module's
+    SMALL_ROWS at call time); reads at most small_rows + 1 rows."""
+    n = SMALL_ROWS if small_rows is None else small_rows
+    return n > 0 and df.limit(n + 1).count() <= n
 
 
 def _sort_cols(order_by: list[tuple[str, bool]]):
@@ -52,26 +54,46 @@ def _partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def exclusive_prefix(
-    keyed: DataFrame, order_by: list[tuple[str, bool]], values: list[str]
-) -> DataFrame:
-    """For a table with one row per distinct sort key, add `_before_<v>`: the sum
-    of `v` over all rows strictly earlier in the order, for each `v` in `values`."""
-    ensure_checkpoint_dir(keyed.sparkSession)
-    order = _sort_cols(order_by)
-    ranged = (
-        keyed.repartitionByRange(_partitions(keyed), *order)
+def _range_split(df: DataFrame, partition_by: list[str], order) -> DataFrame:
+    """Range-partition `df` on (partition_by, order), tag each row with its range
+    partition and pin the split with a reliable checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    group_order = [F.col(c).asc_nulls_first() for c in partition_by]
+    return (
+        df.repartitionByRange(_partitions(df), *group_order, *order)
         .withColumn(_PART, F.spark_partition_id())
         .checkpoint(eager=True)
     )
-    totals = ranged.groupBy(_PART).agg(*[F.sum(v).alias(f"_ptot_{v}") for v in values])
-    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def exclusive_prefix(
+    keyed: DataFrame,
+    order_by: list[tuple[str, bool]],
+    values: list[str],
+    partition_by: list[str] | tuple = (),
+) -> DataFrame:
+    """For a table with one row per distinct (partition_by, sort key), add
+    `_before_<v>`: the sum of `v` over the rows of the same group that come
+    strictly earlier in the order, for each `v` in `values`.
+
+    A large group spans several range partitions; each partition's share of it
+    is a "chunk", and a chunk's offset is the total of the group's earlier chunks
+    (a window over chunks, at most one row per range partition per group).
+    """
+    groups = list(partition_by)
+    order = _sort_cols(order_by)
+    ranged = _range_split(keyed, groups, order)
+    totals = ranged.groupBy(*groups, _PART).agg(*[F.sum(v).alias(f"_ptot_{v}") for v in values])
+    earlier = Window.partitionBy(*groups).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        _PART,
+        *groups, _PART,
         *[F.coalesce(F.sum(f"_ptot_{v}").over(earlier), F.lit(0)).alias(f"_off_{v}") for v in values],
     )
-    local = Window.partitionBy(_PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    res = ranged.join(F.broadcast(offsets), _PART, "inner")
+    if groups:
+        res = _null_safe_join(ranged, offsets, groups + [_PART])
+    else:  # one row per range partition: bounded by the partition count
+        res = ranged.join(F.broadcast(offsets), _PART, "inner")
+    local = Window.partitionBy(*groups, _PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     for v in values:
         res = res.withColumn(
             f"_before_{v}", F.col(f"_off_{v}") + F.coalesce(F.sum(v).over(local), F.lit(0))
@@ -90,27 +112,41 @@ def global_rank(
     order_by: list[tuple[str, bool]],
     method: str = "rank",
     out: str = "rnk",
-    small_rows: int = SMALL_ROWS,
+    small_rows: int | None = None,
+    partition_by: list[str] | tuple = (),
 ) -> DataFrame:
-    """Whole-table RANK / DENSE_RANK over `order_by` [(column, descending)].
+    """RANK / DENSE_RANK over `order_by` [(column, descending)], over the whole
+    table or within each `partition_by` group.
 
     Equal keys share a rank, as the SQL functions do. The result keeps every
-    input row and adds `out` (INT). Distributed unless the input is proven small.
+    input row and adds `out` (INT). Unless the input is proven small, no task
+    sorts more than its range slice, however large one group is.
     """
     if method not in ("rank", "dense_rank"):
         raise ValueError("global_rank supports 'rank' and 'dense_rank'")
+    groups = list(partition_by)
     df = df.persist()
     if _proven_small(df, small_rows):
         fn = F.rank if method == "rank" else F.dense_rank
-        return df.withColumn(out, fn().over(Window.orderBy(*_sort_cols(order_by))))
+        return df.withColumn(out, fn().over(Window.partitionBy(*groups).orderBy(*_sort_cols(order_by))))
     keys = [c for c, _ in order_by]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*groups, *keys).agg(F.count(F.lit(1)).alias("_n"))
     if method == "dense_rank":
         counts = counts.withColumn("_n", F.lit(1).cast("bigint"))
-    before = exclusive_prefix(counts, order_by, ["_n"]).select(
-        *keys, (F.col("_before__n") + 1).cast("int").alias(out)
+    before = exclusive_prefix(counts, order_by, ["_n"], groups).select(
+        *groups, *keys, (F.col("_before__n") + 1).cast("int").alias(out)
     )
-    return _null_safe_join(df, before, keys)
+    return _null_safe_join(df, before, groups + keys)
+
+
+def group_rank(
+    df: DataFrame, partition_by, order_by: list[tuple[str, bool]], method: str = "rank",
+    out: str = "rnk", small_rows: int | None = None,
+) -> DataFrame:
+    """Full per-group RANK / DENSE_RANK (no top-k cut), safe for a group that
+    holds a large share of all rows. See `global_rank`."""
+    groups = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    return global_rank(df, order_by, method, out, small_rows, groups)
 
 
 def cumulative(
@@ -120,7 +156,7 @@ def cumulative(
     total_col: str = "running_total",
     mean_col: str = "moving_avg",
     mean_scale: int | None = 2,
-    small_rows: int = SMALL_ROWS,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Running total and cumulative mean of `metric` in `order_by` order.
 
@@ -159,18 +195,55 @@ def cumulative(
     return _null_safe_join(df, finish(pref), keys)
 
 
-def event_gaps(
-    df: DataFrame, key, date_col: str, tie_break=(), out: str = "next_date"
+def next_value(
+    df: DataFrame,
+    key,
+    order_by: list[tuple[str, bool]],
+    value: str,
+    out: str = "next_value",
+    small_rows: int | None = None,
 ) -> DataFrame:
-    """Each event with the date of the entity's next event (LEAD 1); NULL for the last.
-
-    This is a per-entity window: every event of one entity is sorted in one task.
-    For summaries use `gap_summary`, which needs no window.
+    """LEAD(value, 1) OVER (PARTITION BY key ORDER BY order_by): each row gets
+    the `value` of the entity's next row, NULL for the last.
+
+    `order_by` should be a total order within the entity (add a tie-break
+    column), as for any LEAD. Unless the input is proven small, the rows are
+    range-partitioned on (key, order) so a large entity is split across tasks:
+    LEAD runs inside each range slice, and the last row of each slice takes the
+    first value of the entity's next slice (a window over slices, at most one
+    row per range partition per entity), joined to those last rows only.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    order = [F.col(date_col).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tie_break]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.lead(date_col, 1).over(w))
+    order = _sort_cols(order_by)
+    df = df.persist()
+    if _proven_small(df, small_rows):
+        return df.withColumn(out, F.lead(value, 1).over(Window.partitionBy(*keys).orderBy(*order)))
+    ranged = _range_split(df, keys, order)
+    w = Window.partitionBy(*keys, _PART).orderBy(*order)
+    local = ranged.select(
+        "*", F.lead(value, 1).over(w).alias(out), F.lead(F.lit(1), 1).over(w).isNull().alias("_last"),
+        (F.row_number().over(w) == 1).alias("_first"),
+    ).checkpoint(eager=True)
+    firsts = local.filter("_first").select(*keys, _PART, F.col(value).alias("_fv"))
+    chunks = firsts.select(
+        *keys, _PART, F.lead("_fv", 1).over(Window.partitionBy(*keys).orderBy(_PART)).alias("_next_first")
+    )
+    last = _null_safe_join(local.filter("_last").drop(out), chunks, keys + [_PART]).withColumnRenamed(
+        "_next_first", out
+    )
+    inner = local.filter(~F.col("_last"))
+    cols = [c for c in df.columns] + [out]
+    return inner.select(*cols).unionByName(last.select(*cols))
+
+
+def event_gaps(
+    df: DataFrame, key, date_col: str, tie_break=(), out: str = "next_date", small_rows: int | None = None,
+) -> DataFrame:
+    """Each event with the date of the entity's next event (LEAD 1 over date and
+    the tie-break columns); NULL for the last. Distributed via `next_value`.
+    For summaries use `gap_summary`, which needs no ordering at all."""
+    order = [(date_col, False)] + [(c, False) for c in tie_break]
+    return next_value(df, key, order, date_col, out, small_rows)
 
 
 def gap_summary(df: DataFrame, key, date_col: str, scale: int = 2, extra_aggs: dict | None = None) -> DataFrame:

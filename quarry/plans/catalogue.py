@@ -772,6 +772,39 @@ def left_join_null_sum(spark, d):
     return j.select(F.col("l_orderkey").alias("o_orderkey"), F.coalesce("_c", F.lit(0)).alias("n_lines"), "total_qty")
 
 
+# ---------------------------------------------------------------- ordered analytics at full scale
+
+def next_event(spark, d):
+    """LEAD: each event with the time of the same user's next event."""
+    t = Tables(spark, d)
+    ev = t.events.select("user_id", "event_id", "ts")
+    return sequence.next_value(ev, "user_id", [("ts", False), ("event_id", False)], "ts", "next_ts")
+
+
+def customer_spend_rank(spark, d):
+    """Every customer ranked by total spend (ties share a rank); the number of
+    customers grows with the data, so the rank is computed without one task."""
+    res = spend_per_customer(spark, d)
+    return sequence.global_rank(res, [("total_spent", True)], out="spend_rank")
+
+
+def order_rank_within_customer(spark, d):
+    """Every order ranked by price within its customer (full rank, no top-k cut)."""
+    t = Tables(spark, d)
+    o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    res = sequence.group_rank(o, "o_custkey", [("o_totalprice", True)], out="price_rank")
+    return res.select("o_orderkey", "o_custkey", money("o_totalprice").alias("price"), "price_rank")
+
+
+def running_daily_revenue(spark, d):
+    """Order revenue per day with its running total and cumulative daily mean."""
+    t = Tables(spark, d)
+    days = t.orders.groupBy(F.to_date("o_orderdate").alias("order_day")).agg(
+        F.sum(money("o_totalprice")).cast(TOTAL).alias("revenue")
+    )
+    return sequence.cumulative(days, [("order_day", False)], "revenue", "running_total", "moving_avg")
+
+
 # ---------------------------------------------------------------- audits
 
 def audit_duplicates(spark, d):
@@ -816,6 +849,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rank_with_null_group, rank_without_null_group, top_in_top_categories,
         top_per_year_in_top_categories, weighted_rank, weighted_rank_by_count, bins,
         cumulative, gap_summary, left_join_null_sum,
+        next_event, customer_spend_rank, order_rank_within_customer, running_daily_revenue,
         audit_duplicates, audit_nulls, audit_orphans, audit_length,
     ]
 }

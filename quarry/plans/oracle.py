@@ -409,6 +409,25 @@ SQL: dict[str, str] = {
     "left_join_null_sum": """
         SELECT o_orderkey, COUNT(l_orderkey) AS n_lines, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_qty
         FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
+    # ---------------------------------------------------------- ordered analytics at full scale
+    "next_event": """
+        SELECT user_id, event_id, ts, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts
+        FROM events""",
+    "customer_spend_rank": f"""
+        WITH s AS (SELECT o_custkey, {TOTAL_PRICE} AS total_spent FROM {LO} GROUP BY o_custkey)
+        SELECT o_custkey, total_spent, CAST(RANK() OVER (ORDER BY total_spent DESC) AS INTEGER) AS spend_rank FROM s""",
+    "order_rank_within_customer": f"""
+        SELECT o_orderkey, o_custkey, {_money('o_totalprice')} AS price,
+               CAST(RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS INTEGER) AS price_rank
+        FROM orders""",
+    "running_daily_revenue": f"""
+        WITH d AS (SELECT CAST(o_orderdate AS DATE) AS order_day,
+                          CAST(SUM({_money('o_totalprice')}) AS DECIMAL(38,2)) AS revenue
+                   FROM orders GROUP BY 1)
+        SELECT order_day, revenue, CAST(SUM(revenue) OVER (ORDER BY order_day) AS DECIMAL(38,2)) AS running_total,
+               {_mean('SUM(revenue) OVER (ORDER BY order_day) * 100', 'COUNT(revenue) OVER (ORDER BY order_day)')}
+               AS moving_avg
+        FROM d""",
     # ---------------------------------------------------------- audits
     "audit_duplicates": """
         SELECT l_orderkey, l_linenumber, COUNT(*) AS copies FROM lineitem

@@ -67,3 +67,17 @@ def test_fixed_dimensions_are_broadcast(spark):
 def test_filters_reach_the_scan(spark):
     plan = plan_of(QUERIES["completed_per_worker"](spark, SF0001))
     assert "PushedFilters: [IsNotNull(l_returnflag), Not(EqualTo(l_returnflag,R))]" in plan
+
+
+DISTRIBUTED = ["rank_all_groups", "weighted_rank", "cumulative", "decode_list", "multi_valued", "next_event",
+               "customer_spend_rank", "order_rank_within_customer", "running_daily_revenue"]
+
+
+@pytest.mark.parametrize("name", DISTRIBUTED)
+def test_distributed_path_matches_oracle(spark, con, name, monkeypatch):
+    """The same queries with the one-task shortcut disabled (as on large inputs)."""
+    from quarry.operators import sequence
+
+    monkeypatch.setattr(sequence, "SMALL_ROWS", 0)
+    res = compare(spark, con, SF001, name, QUERIES[name], SQL[name])
+    assert res["cols_match"] and res["rows_match"], res

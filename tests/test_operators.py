@@ -121,3 +121,33 @@ def test_hot_key_top_per_group(spark):
     best = rank.top_per_group(hot, "l_suppkey", [F.desc("l_extendedprice")], 3, "first", ["l_orderkey", "l_linenumber"])
     counts = dict(best.groupBy("l_suppkey").count().collect())
     assert counts[0] == 3 and max(counts.values()) == 3
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    # key 'hot' holds about a third of all rows; a NULL key and NULL values included
+    data = []
+    for i in range(900):
+        k = "hot" if i % 3 == 0 else f"k{i % 41}"
+        data.append((k, dt.date(2020, 1, 1) + dt.timedelta(days=(i * 37) % 200), i, None if i % 17 == 0 else i % 11))
+    data += [(None, dt.date(2020, 2, 2), 5000, 1), (None, dt.date(2020, 2, 3), 5001, 2)]
+    return spark.createDataFrame(data, "k string, day date, id int, v int")
+
+
+def test_group_rank_distributed_equals_window(spark, skewed):
+    order = [("v", True), ("day", False)]
+    w = Window.partitionBy("k").orderBy(F.col("v").desc_nulls_last(), F.col("day").asc_nulls_first())
+    for method, fn in [("rank", F.rank), ("dense_rank", F.dense_rank)]:
+        want = skewed.withColumn("r", fn().over(w))
+        got = sequence.group_rank(skewed, "k", order, method, "r", small_rows=0)
+        assert rows(got) == rows(want)
+
+
+def test_next_value_distributed_equals_lead(spark, skewed):
+    w = Window.partitionBy("k").orderBy(F.col("day").asc_nulls_first(), F.col("id").asc_nulls_first())
+    want = skewed.withColumn("nxt", F.lead("v", 1).over(w))
+    got = sequence.next_value(skewed, "k", [("day", False), ("id", False)], "v", "nxt", small_rows=0)
+    assert rows(got) == rows(want)
+    gaps = sequence.event_gaps(skewed, "k", "day", ["id"], small_rows=0)
+    want_days = skewed.withColumn("next_date", F.lead("day", 1).over(w))
+    assert rows(gaps) == rows(want_days)
