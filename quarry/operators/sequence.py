@@ -215,7 +215,8 @@ def next_value(
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = _sort_cols(order_by)
-    df = df.persist()
+    # No persist here: the input is usually a raw table, where the bounded
+    # count stops after small_rows + 1 rows and re-reading is cheap.
     if _proven_small(df, small_rows):
         return df.withColumn(out, F.lead(value, 1).over(Window.partitionBy(*keys).orderBy(*order)))
     ranged = _range_split(df, keys, order)

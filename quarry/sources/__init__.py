@@ -5,8 +5,10 @@ from quarry.sources.tables import (
     append_rows,
     apply_schema,
     load,
+    read_text_table,
     save,
+    stage,
     table,
 )
 
-__all__ = ["DRIVER_TABLES", "append_rows", "apply_schema", "load", "save", "table"]
+__all__ = ["DRIVER_TABLES", "append_rows", "apply_schema", "load", "read_text_table", "save", "stage", "table"]

@@ -31,6 +31,30 @@ def load(
     return {n: table(spark, base_dir, n) for n in (names or DRIVER_TABLES)}
 
 
+def read_text_table(
+    spark: SparkSession, path: str, schema: StructType, fmt: str = "csv", **options
+) -> DataFrame:
+    """A table exported as text (CSV by default) read with a declared schema.
+
+    Every column is read as text first and converted with `apply_schema`, so a
+    value that does not fit its declared type becomes NULL instead of failing
+    the job or silently shifting columns; no schema inference pass is made.
+    """
+    from pyspark.sql.types import StringType, StructField
+
+    text = StructType([StructField(f.name, StringType(), True) for f in schema.fields])
+    opts = {"header": "true", "mode": "PERMISSIVE"}
+    opts.update(options)
+    return apply_schema(spark.read.format(fmt).schema(text).options(**opts).load(path), schema)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Name an intermediate result for SQL (CREATE TEMPORARY TABLE ... AS):
+    registers a temp view and returns the DataFrame; nothing is materialised."""
+    df.createOrReplaceTempView(name)
+    return df
+
+
 def apply_schema(df: DataFrame, schema: StructType) -> DataFrame:
     """Give `df` a declared schema: select the declared columns in order and
     convert each with `try_cast`, so text that does not fit becomes NULL

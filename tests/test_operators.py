@@ -151,3 +151,31 @@ def test_next_value_distributed_equals_lead(spark, skewed):
     gaps = sequence.event_gaps(skewed, "k", "day", ["id"], small_rows=0)
     want_days = skewed.withColumn("next_date", F.lead("day", 1).over(w))
     assert rows(gaps) == rows(want_days)
+
+
+def test_read_text_table_and_stage(spark):
+    import pathlib
+    import tempfile
+
+    from quarry.sources import read_text_table, save, stage
+    from quarry.sources.fixtures import SCHEMAS
+
+    tmp_path = pathlib.Path(tempfile.mkdtemp(prefix="quarry-test-"))
+    path = tmp_path / "sales.csv"
+    path.write_text("customer_id,order_date,product_id\nA,2021-01-01,1\nB,not a date,x\n")
+    df = read_text_table(spark, str(path), SCHEMAS["sales"])
+    assert rows(df) == [("A", dt.date(2021, 1, 1), 1), ("B", None, None)]
+    stage(df, "sales_stage")
+    assert spark.sql("SELECT count(*) FROM sales_stage").first()[0] == 2
+    out = str(tmp_path / "saved")
+    save(df, out)
+    assert spark.read.parquet(out).count() == 2
+
+
+def test_rate_zero_duration_is_null(spark):
+    from quarry.operators import rules
+
+    df = spark.createDataFrame([(D("20.00"), D("32.00")), (D("10.00"), D("0.00"))], "d decimal(10,2), t decimal(10,2)")
+    sp = rules.rate("d", "t")
+    got = [tuple(r) for r in df.select(sp["speed_kph"], sp["speed_mph"]).collect()]
+    assert got == [(D("37.50"), D("23.31")), (None, None)]
