@@ -99,10 +99,6 @@ def _lines_orders(t: Tables, cols: list[str], where=None) -> DataFrame:
     return li.join(o, "l_orderkey").select(*cols)
 
 
-def _nation(t: Tables) -> DataFrame:
-    return t.nation
-
-
 def _events(t: Tables) -> DataFrame:
     return t.events.select(
         "event_id", "user_id", "event_type", F.to_date("ts").alias("day"), money("value").alias("amount")

@@ -45,7 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only if none is configured.
 
     A cluster names a shared folder in `spark.checkpoint.dir`; that is used as is.
-    Only when the setting is absent (tests, local runs) is a fresh local folder made.
+    Only when the setting is absent on a local master (tests, local runs) is a
+    fresh local folder made; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +56,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a folder shared by all executors "
+                "(a machine-local folder does not survive a lost executor)"
+            )
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
