@@ -4,6 +4,7 @@ from quarry.sources.tables import (
     DRIVER_TABLES,
     append_rows,
     apply_schema,
+    forget_tables,
     load,
     read_text_table,
     save,
@@ -11,4 +12,4 @@ from quarry.sources.tables import (
     table,
 )
 
-__all__ = ["DRIVER_TABLES", "append_rows", "apply_schema", "load", "read_text_table", "save", "stage", "table"]
+__all__ = ["DRIVER_TABLES", "append_rows", "apply_schema", "forget_tables", "load", "read_text_table", "save", "stage", "table"]
