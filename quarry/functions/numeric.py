@@ -47,8 +47,12 @@ def round_ratio(num, den) -> Column:
 
 
 def _int_div(a: Column, b: Column) -> Column:
-    """Exact integral division of non-negative whole DECIMALs (SQL `div`)."""
-    # pmod removes the remainder, so the decimal quotient is an exact integer.
+    """Exact integral division of non-negative whole DECIMALs.
+
+    `pmod` removes the remainder, so the DECIMAL quotient is an exact integer.
+    (SQL `div` is not used: on large DECIMALs it returns a BIGINT that can
+    overflow, and a BIGINT fast path behind a CASE re-evaluates the operands.)
+    """
     return ((a - F.pmod(a, b)) / b).cast("decimal(38,0)")
 
 

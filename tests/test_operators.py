@@ -179,3 +179,11 @@ def test_rate_zero_duration_is_null(spark):
     sp = rules.rate("d", "t")
     got = [tuple(r) for r in df.select(sp["speed_kph"], sp["speed_mph"]).collect()]
     assert got == [(D("37.50"), D("23.31")), (None, None)]
+
+
+def test_round_ratio_large_values_exact(spark):
+    big = 10**30 + 7
+    df = spark.createDataFrame([(D(big), D(3)), (D(-big), D(3)), (D(10**18 - 1), D(2))], "a decimal(38,0), b decimal(38,0)")
+    got = [r[0] for r in df.select(round_ratio("a", "b")).collect()]
+    # half away from zero: (10^30 + 7) / 3 = 333...335.67 -> ...336
+    assert got == [D((big * 2 + 3) // 6), D(-((big * 2 + 3) // 6)), D((2 * (10**18 - 1) + 2) // 4)]
