@@ -55,7 +55,6 @@ TOTAL = "decimal(38,2)"
 
 # ---- fixed parameters of the catalogue questions ----
 NATION_ROWS = 25          # TPC-H nation is a fixed 25-row dimension
-REGION_ROWS = 5           # TPC-H region is a fixed 5-row dimension
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 TYPE_PRICES = {"PROMO": 12, "SMALL": 10}        # rule prices; other types have none
 POINTS_CUTOFF = dt.date(2024, 1, 25)
@@ -444,10 +443,12 @@ def net_of_payout(spark, d):
 
 
 def append_and_join(spark, d):
+    """A literal customer row appended to the customer table, then joined to its nation."""
     t = Tables(spark, d)
-    nations = append_rows(t.nation, [(NATION_ROWS, "NATION_NEW", 0)])
-    joined = join_dim(nations, t.region.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey", "inner", REGION_ROWS)
-    return joined.select("n_nationkey", "n_name", "r_name")
+    customers = append_rows(t.customer, [(-1, "Customer#NEW", 0, 0.0, "NEW")])
+    n = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    joined = join_dim(customers, n, "c_nationkey", "inner", NATION_ROWS)
+    return joined.select("c_custkey", "c_name", "n_name")
 
 
 def union_all(spark, d):

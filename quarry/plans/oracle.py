@@ -232,9 +232,9 @@ SQL: dict[str, str] = {
                   - (SELECT SUM(CAST(l_quantity AS DECIMAL(18,2)) * 0.30) FROM lineitem
                      WHERE l_returnflag <> 'R') AS DECIMAL(38,2)) AS net""",
     "append_and_join": """
-        WITH n2 AS (SELECT n_nationkey, n_name, n_regionkey FROM nation
-                    UNION ALL SELECT 25, 'NATION_NEW', 0)
-        SELECT n_nationkey, n_name, r_name FROM n2 JOIN region ON n_regionkey = r_regionkey""",
+        WITH c2 AS (SELECT c_custkey, c_name, c_nationkey FROM customer
+                    UNION ALL SELECT -1, 'Customer#NEW', 0)
+        SELECT c_custkey, c_name, n_name FROM c2 JOIN nation ON c_nationkey = n_nationkey""",
     "union_all": """
         SELECT c_nationkey AS nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier""",
     "union_distinct": """
