@@ -8,8 +8,10 @@ from quarry.sources.tables import (
     load,
     read_text_table,
     save,
+    save_bucketed,
     stage,
     table,
 )
 
-__all__ = ["DRIVER_TABLES", "append_rows", "apply_schema", "forget_tables", "load", "read_text_table", "save", "stage", "table"]
+__all__ = ["DRIVER_TABLES", "append_rows", "apply_schema", "forget_tables", "load", "read_text_table", "save", "save_bucketed", "stage",
+           "table"]

@@ -11,9 +11,12 @@ SF0001 = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from quarry.session import build_session
 
-    s = build_session("local[4]", 4, app="quarry-tests")
+    warehouse = tempfile.mkdtemp(prefix="quarry-warehouse-")
+    s = build_session("local[4]", 4, app="quarry-tests", extra={"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()
 

@@ -187,3 +187,28 @@ def test_round_ratio_large_values_exact(spark):
     got = [r[0] for r in df.select(round_ratio("a", "b")).collect()]
     # half away from zero: (10^30 + 7) / 3 = 333...335.67 -> ...336
     assert got == [D((big * 2 + 3) // 6), D(-((big * 2 + 3) // 6)), D((2 * (10**18 - 1) + 2) // 4)]
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    import contextlib
+    import io
+
+    from conftest import SF0001
+    from quarry.sources import save_bucketed
+
+    li = save_bucketed(table(spark, SF0001, "lineitem").select("l_orderkey", "l_extendedprice"), "li_b", ["l_orderkey"], 8)
+    o = save_bucketed(table(spark, SF0001, "orders").select("o_orderkey", "o_custkey"), "o_b", ["o_orderkey"], 8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(F.sum("l_extendedprice"))
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            j.explain()
+        plan = buf.getvalue()
+        assert "SortMergeJoin" in plan
+        # the only exchange left is the aggregation on o_custkey, none under the join
+        assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(o_custkey" in plan
+        assert j.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
