@@ -71,7 +71,7 @@ def split_list(col, sep: str = ",", dtype: str | None = "int") -> Column:
 
 def list_size(col, sep: str = ",") -> Column:
     """Number of tokens in a delimited text (NULL text -> NULL)."""
-    return F.size(split_list(col, sep, None)).try_cast("int") * F.when(_c(col).isNotNull(), 1)
+    return F.when(_c(col).isNotNull(), F.size(split_list(col, sep, None)))
 
 
 def has_many(col, sep: str = ",") -> Column:
