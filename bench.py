@@ -25,6 +25,7 @@ from quarry.session import build_session  # noqa: E402
 
 
 def _run(spark, fn, base: str) -> float:
+    spark.catalog.clearCache()  # no query may profit from another query's cached data
     t0 = time.perf_counter()
     fn(spark, base).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - t0

@@ -28,8 +28,23 @@ def money(col) -> Column:
 
 
 def cents(col, scale: int = 2) -> Column:
-    """Amount as a whole number of 10^-scale units, DECIMAL(18,0) so sums cannot overflow."""
-    return (_c(col).cast(f"decimal(18,{scale})") * F.lit(10**scale)).cast("decimal(18,0)")
+    """Amount as a whole number of 10^-scale units (half up), DECIMAL(18,0) so
+    sums cannot overflow.
+
+    Computed as sign(x) * floor(|x| * 10^scale + 0.5): exact for DECIMAL input
+    (the 0.5 is a DECIMAL literal); for DOUBLE money, whose values carry at most
+    `scale` decimals, it equals the half-up DECIMAL conversion and avoids a
+    per-row DOUBLE -> DECIMAL cast.
+    """
+    x = _c(col)
+    v = F.floor(F.abs(x) * F.lit(10**scale) + F.lit(Decimal("0.5")))
+    return F.when(x < 0, -v).otherwise(v).cast("decimal(18,0)")
+
+
+def money_total(col, scale: int = 2) -> Column:
+    """Aggregate: exact sum of money as DECIMAL(38, scale) (whole units summed,
+    scaled once per group)."""
+    return units_to_decimal(F.sum(cents(col, scale)), scale)
 
 
 def round_ratio(num, den) -> Column:

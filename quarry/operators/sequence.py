@@ -18,9 +18,9 @@ Each range partition holds a balanced slice of distinct keys, so no task sees
 more than its share.
 
 Behind a size check the operators take a shorter road: when the input is proven
-to hold at most `small_rows` rows (a bounded `limit(n + 1).count()` on the
-persisted input), a single ordered window is both correct and cheapest, so it is
-used; beyond the bound the two-pass prefix runs.
+to hold at most `small_rows` rows (a bounded `limit(n + 1)` head, cached and
+counted), a single ordered window over that head is both correct and cheapest;
+beyond the bound the head is released and the two-pass prefix runs.
 """
 
 from __future__ import annotations
@@ -34,11 +34,23 @@ _PART = "_range_part"
 SMALL_ROWS = 500_000
 
 
-def _proven_small(df: DataFrame, small_rows: int | None) -> bool:
-    """True when `df` has at most `small_rows` rows (default: the module's
-    SMALL_ROWS at call time); reads at most small_rows + 1 rows."""
+def _small_head(df: DataFrame, small_rows: int | None) -> DataFrame | None:
+    """The whole of `df` if it is proven to hold at most `small_rows` rows
+    (default: the module's SMALL_ROWS at call time), else None.
+
+    Only `df.limit(n + 1)` is cached: at most n + 1 rows, whatever the input.
+    When the input is small that cached head *is* the input, so it is computed
+    once; when it is not, the head is released at once and the caller takes
+    the distributed path.
+    """
     n = SMALL_ROWS if small_rows is None else small_rows
-    return n > 0 and df.limit(n + 1).count() <= n
+    if n <= 0:
+        return None
+    head = df.limit(n + 1).persist()
+    if head.count() <= n:
+        return head
+    head.unpersist()
+    return None
 
 
 def _sort_cols(order_by: list[tuple[str, bool]]):
@@ -125,10 +137,10 @@ def global_rank(
     if method not in ("rank", "dense_rank"):
         raise ValueError("global_rank supports 'rank' and 'dense_rank'")
     groups = list(partition_by)
-    df = df.persist()
-    if _proven_small(df, small_rows):
+    head = _small_head(df, small_rows)
+    if head is not None:
         fn = F.rank if method == "rank" else F.dense_rank
-        return df.withColumn(out, fn().over(Window.partitionBy(*groups).orderBy(*_sort_cols(order_by))))
+        return head.withColumn(out, fn().over(Window.partitionBy(*groups).orderBy(*_sort_cols(order_by))))
     keys = [c for c, _ in order_by]
     counts = df.groupBy(*groups, *keys).agg(F.count(F.lit(1)).alias("_n"))
     if method == "dense_rank":
@@ -177,10 +189,10 @@ def cumulative(
             mean = exact_mean(units, F.col("_cnt"), mean_scale)
         return res.withColumn(total_col, total).withColumn(mean_col, mean).drop("_cnt")
 
-    df = df.persist()
-    if _proven_small(df, small_rows):
+    head = _small_head(df, small_rows)
+    if head is not None:
         w = Window.orderBy(*_sort_cols(order_by)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return finish(df.withColumn(total_col, F.sum(metric).over(w)).withColumn("_cnt", F.count(metric).over(w)))
+        return finish(head.withColumn(total_col, F.sum(metric).over(w)).withColumn("_cnt", F.count(metric).over(w)))
 
     keys = [c for c, _ in order_by]
     per_key = df.groupBy(*keys).agg(
@@ -215,10 +227,9 @@ def next_value(
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = _sort_cols(order_by)
-    # No persist here: the input is usually a raw table, where the bounded
-    # count stops after small_rows + 1 rows and re-reading is cheap.
-    if _proven_small(df, small_rows):
-        return df.withColumn(out, F.lead(value, 1).over(Window.partitionBy(*keys).orderBy(*order)))
+    head = _small_head(df, small_rows)
+    if head is not None:
+        return head.withColumn(out, F.lead(value, 1).over(Window.partitionBy(*keys).orderBy(*order)))
     ranged = _range_split(df, keys, order)
     w = Window.partitionBy(*keys, _PART).orderBy(*order)
     local = ranged.select(

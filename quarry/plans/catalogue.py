@@ -32,6 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.numeric import units_to_decimal
 from quarry.functions import (
     cents,
     contains_ci,
@@ -44,6 +45,7 @@ from quarry.functions import (
     money,
     money_amount,
     money_currency,
+    money_total,
     null_if_token,
     ts_text,
 )
@@ -135,10 +137,10 @@ def _encoded_word_lists(t: Tables, vocab: DataFrame) -> DataFrame:
 
 def spend_per_customer(spark, d):
     t = Tables(spark, d)
-    per_order = _order_lines(t, F.sum(_price()).alias("spent"))
+    per_order = _order_lines(t, F.sum(cents("l_extendedprice")).alias("spent_cents"))
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return per_order.join(o, "l_orderkey").groupBy("o_custkey").agg(
-        F.sum("spent").cast(TOTAL).alias("total_spent")
+        units_to_decimal(F.sum("spent_cents")).alias("total_spent")
     )
 
 
@@ -370,7 +372,7 @@ def rate_per_delivery(spark, d):
     t = Tables(spark, d)
     per_order = _order_lines(
         t, F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty"),
-        F.sum(_price()).alias("revenue"),
+        money_total("l_extendedprice").alias("revenue"),
     )
     speeds = rules.rate("revenue", "qty")
     return per_order.select(
@@ -528,14 +530,14 @@ def above_average(spark, d):
 
 def top_supplier_top_buyer(spark, d):
     t = Tables(spark, d)
-    lines = _lines_orders(t, ["l_suppkey", "o_custkey", _price().alias("price")])
-    res = rank.top_entity_then_partner(lines, "l_suppkey", "o_custkey", F.col("price"))
-    return res.select("l_suppkey", "o_custkey", F.col("amount").cast(TOTAL).alias("amount"))
+    lines = _lines_orders(t, ["l_suppkey", "o_custkey", cents("l_extendedprice").alias("price_cents")])
+    res = rank.top_entity_then_partner(lines, "l_suppkey", "o_custkey", F.col("price_cents"))
+    return res.select("l_suppkey", "o_custkey", units_to_decimal("amount").alias("amount"))
 
 
 def best_customer_per_nation(spark, d):
     t = Tables(spark, d)
-    per_order = _order_lines(t, F.sum(_price()).alias("spent"))
+    per_order = _order_lines(t, F.sum(cents("l_extendedprice")).alias("spent"))
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     per_cust = per_order.join(o, "l_orderkey").groupBy("o_custkey").agg(F.sum("spent").alias("spent"))
     c = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
@@ -543,7 +545,7 @@ def best_customer_per_nation(spark, d):
     best = rank.top_per_group(keyed, "c_nationkey", [F.desc("spent")], 1, "first", ["o_custkey"])
     n = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return join_dim(best, n, "c_nationkey", "inner", NATION_ROWS).select(
-        "n_name", "o_custkey", F.col("spent").cast(TOTAL).alias("spent")
+        "n_name", "o_custkey", units_to_decimal("spent").alias("spent")
     )
 
 
@@ -565,12 +567,12 @@ def null_profile(spark, d):
 def min_max_profile(spark, d):
     t = Tables(spark, d)
     li = t.lineitem.select(
-        F.col("l_quantity").cast("decimal(18,2)").alias("quantity"),
-        _price().alias("price"),
-        F.col("l_discount").cast("decimal(18,2)").alias("discount"),
-        "l_shipdate",
+        F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
+        F.col("l_discount").alias("discount"), "l_shipdate",
     )
-    return profile.min_max_profile(li, ["quantity", "price", "discount", "l_shipdate"])
+    res = profile.min_max_profile(li, ["quantity", "price", "discount", "l_shipdate"])
+    # min/max on the raw values, then to DECIMAL: the conversion is monotonic
+    return res.select(*[money(c).alias(c) if not c.endswith("l_shipdate") else F.col(c) for c in res.columns])
 
 
 def contains_filter(spark, d):
@@ -662,12 +664,12 @@ def top10_rank(spark, d):
 
 def _segment_totals(t: Tables, drop_null: bool) -> DataFrame:
     seg = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit(None).cast("string")).otherwise(F.col("c_mktsegment"))
-    per_cust = t.orders.groupBy("o_custkey").agg(F.sum(money("o_totalprice")).alias("total"))
+    per_cust = t.orders.groupBy("o_custkey").agg(F.sum(cents("o_totalprice")).alias("total"))
     c = t.customer.select(F.col("c_custkey").alias("o_custkey"), seg.alias("segment"))
     j = per_cust.join(c, "o_custkey")
     if drop_null:
         j = j.filter(F.col("segment").isNotNull())
-    return j.groupBy("segment").agg(F.sum("total").cast(TOTAL).alias("total"))
+    return j.groupBy("segment").agg(units_to_decimal(F.sum("total")).alias("total"))
 
 
 def rank_with_null_group(spark, d):
@@ -754,9 +756,10 @@ def cumulative(spark, d):
 
 def gap_summary(spark, d):
     t = Tables(spark, d)
-    orders = t.orders.select("o_custkey", F.to_date("o_orderdate").alias("day"), money("o_totalprice").alias("price"))
+    orders = t.orders.select("o_custkey", F.to_date("o_orderdate").alias("day"), "o_totalprice")
     res = sequence.gap_summary(orders, "o_custkey", "day", extra_aggs={
-        "total_spent": F.sum("price").cast(TOTAL), "min_price": F.min("price"), "max_price": F.max("price"),
+        "total_spent": money_total("o_totalprice"),
+        "min_price": money(F.min("o_totalprice")), "max_price": money(F.max("o_totalprice")),
     })
     res = res.select("o_custkey", F.col("n_events").alias("n_orders"), "avg_gap_days", "total_spent", "min_price", "max_price")
     return rank.top_k(res, [F.desc("n_orders")], 9, "first", ["o_custkey"])
@@ -797,7 +800,7 @@ def running_daily_revenue(spark, d):
     """Order revenue per day with its running total and cumulative daily mean."""
     t = Tables(spark, d)
     days = t.orders.groupBy(F.to_date("o_orderdate").alias("order_day")).agg(
-        F.sum(money("o_totalprice")).cast(TOTAL).alias("revenue")
+        money_total("o_totalprice").alias("revenue")
     )
     return sequence.cumulative(days, [("order_day", False)], "revenue", "running_total", "moving_avg")
 
