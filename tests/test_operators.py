@@ -212,3 +212,14 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert j.count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_range_split_spreads_a_hot_key(spark, skewed):
+    """The distributed paths sort slices, not groups: a key with a third of all
+    rows is cut across several range partitions."""
+    ranged = sequence._range_split(skewed, ["k"], [F.col("day").asc_nulls_first(), F.col("id").asc_nulls_first()])
+    parts = {r["_range_part"]: r["count"] for r in ranged.filter("k = 'hot'").groupBy("_range_part").count().collect()}
+    total = skewed.count()
+    hot = skewed.filter("k = 'hot'").count()
+    assert hot >= total // 3 - 1
+    assert len(parts) >= 2 and max(parts.values()) < hot
