@@ -200,20 +200,30 @@ def _weighted_people(t, category: str, where, min_movies: int) -> DataFrame:
     return rank.weighted_rank(rows, ["name_id", "name"], "rating_units", "total_votes", min_movies, "weight_total", "person_rank")
 
 
-def actor_rank(t, country: str = "India", min_movies: int = 5) -> DataFrame:
-    """RM22: actors of one country's movies by vote-weighted rating, >= min_movies."""
+def _first_ranked(res: DataFrame, rank_col: str, k: int | None) -> DataFrame:
+    if k is None:
+        return res
+    return rank.top_k(res, [F.asc(rank_col)], k, "first", ["name_id"])
+
+
+def actor_rank(t, country: str = "India", min_movies: int = 5, k: int | None = 1) -> DataFrame:
+    """RM22: actors of one country's movies by vote-weighted rating, >= min_movies;
+    the first `k` by rank (None: all)."""
     res = _weighted_people(t, "actor", F.lower("country") == country.lower(), min_movies)
-    return res.select("name_id", F.col("name").alias("actor_name"), F.col("weight_total").cast("bigint").alias("total_votes"),
-                      F.col("n").alias("movie_count"), F.col("weighted_mean").alias("actor_avg_rating"),
-                      F.col("person_rank").alias("actor_rank"))
+    res = res.select("name_id", F.col("name").alias("actor_name"), F.col("weight_total").cast("bigint").alias("total_votes"),
+                     F.col("n").alias("movie_count"), F.col("weighted_mean").alias("actor_avg_rating"),
+                     F.col("person_rank").alias("actor_rank"))
+    return _first_ranked(res, "actor_rank", k)
 
 
-def actress_rank(t, language: str = "hindi", min_movies: int = 3) -> DataFrame:
-    """RM23: actresses of one language's movies (language text equal, any case)."""
+def actress_rank(t, language: str = "hindi", min_movies: int = 3, k: int | None = 5) -> DataFrame:
+    """RM23: actresses of one language's movies (language text equal, any case);
+    the first `k` by rank (None: all)."""
     res = _weighted_people(t, "actress", F.lower("languages") == language.lower(), min_movies)
-    return res.select("name_id", F.col("name").alias("actress_name"), F.col("weight_total").cast("bigint").alias("total_votes"),
-                      F.col("n").alias("movie_count"), F.col("weighted_mean").alias("actress_avg_rating"),
-                      F.col("person_rank").alias("actress_rank"))
+    res = res.select("name_id", F.col("name").alias("actress_name"), F.col("weight_total").cast("bigint").alias("total_votes"),
+                     F.col("n").alias("movie_count"), F.col("weighted_mean").alias("actress_avg_rating"),
+                     F.col("person_rank").alias("actress_rank"))
+    return _first_ranked(res, "actress_rank", k)
 
 
 def classify(t, genre: str = "Thriller") -> DataFrame:
