@@ -10,8 +10,9 @@ from quarry.sources.tables import (
     save,
     save_bucketed,
     stage,
+    stage_all,
     table,
 )
 
 __all__ = ["DRIVER_TABLES", "append_rows", "apply_schema", "forget_tables", "load", "read_text_table", "save", "save_bucketed", "stage",
-           "table"]
+           "stage_all", "table"]

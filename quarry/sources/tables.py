@@ -74,6 +74,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def stage_all(tables: dict[str, DataFrame], prefix: str = "") -> dict[str, DataFrame]:
+    """Register every table of a study as a temp view (`prefix` + name), so
+    existing SQL can run on Spark SQL against the same tables."""
+    for name, df in tables.items():
+        stage(df, f"{prefix}{name}")
+    return tables
+
+
 def apply_schema(df: DataFrame, schema: StructType) -> DataFrame:
     """Give `df` a declared schema: select the declared columns in order and
     convert each with `try_cast`, so text that does not fit becomes NULL

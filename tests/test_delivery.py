@@ -118,3 +118,14 @@ def test_pd_revenue(t):
 def test_px1_supreme(t):
     got = rows(P.add_supreme(t))
     assert len(got) == 3 and got[2] == (3, "Supreme", "1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12")
+
+
+def test_cleaned_tables_serve_plain_sql(spark, t):
+    """Staged as views, the cleaned tables answer SQL written against them."""
+    from quarry.sources import stage_all
+
+    stage_all({"orders_clean": P.clean_orders(t), "deliveries_clean": P.clean_deliveries(t)})
+    got = rows(spark.sql("""
+        SELECT runner_id, COUNT(order_id) AS successful_orders FROM deliveries_clean
+        WHERE cancellation IS NULL GROUP BY runner_id"""))
+    assert got == rows(P.completed_per_runner(t))
