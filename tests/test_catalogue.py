@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import duckdb
 import pytest
@@ -52,6 +53,25 @@ def test_plan_shape(spark, name):
             assert line.count(":") - 1 < 11, f"{name} reads every lineitem column"
 
 
+SINGLE_PARTITION_INPUTS = {"HashAggregate", "ObjectHashAggregate", "SortAggregate", "WindowGroupLimit",
+                           "TakeOrderedAndProject", "LocalLimit", "InMemoryTableScan"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_single_partition_over_raw_rows(spark, name):
+    """Whatever feeds a single-partition exchange is already reduced: an
+    aggregate, a top-k / limit, a partial WindowGroupLimit, or the cached head
+    of an input proven small."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        QUERIES[name](spark, SF0001).explain()
+    lines = buf.getvalue().splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            child = re.search(r"[A-Za-z]\w*", lines[i + 1].replace("+-", " ").replace(":", " ")).group(0)
+            assert child in SINGLE_PARTITION_INPUTS, f"{name}: {lines[i + 1].strip()}"
+
+
 @pytest.mark.parametrize("name", ["favourite_item_ties", "favourite_item_one", "first_purchase_after_join",
                                   "best_customer_per_nation", "top_per_year_in_top_categories"])
 def test_top_k_per_group_is_cut_before_the_shuffle(spark, name):
