@@ -75,31 +75,38 @@ def net_of_payout(revenue_df: DataFrame, revenue_col: str, payout: DataFrame, pa
     return revenue_df.sparkSession.range(1).select((r - p).alias(out))
 
 
-def rate(distance, minutes, scale: int = 2, km_per_mile: str | None = "1.609") -> dict[str, Column]:
-    """Speed per hour from a distance and a duration in minutes, rounded half up
-    to `scale`, and the same in miles when `km_per_mile` is given.
-
-    Inputs are DECIMALs with up to 4 decimals; the ratio is taken on whole
-    numbers (`round_ratio`), so the rounding is exact. Zero duration gives NULL.
-    """
+def rate_units(distance_units, time_units, scale: int = 2, km_per_mile: str | None = "1.609") -> dict[str, Column]:
+    """Speed per hour from a distance and a duration in minutes given in the same
+    whole units (e.g. both in hundredths), rounded half up to `scale` exactly;
+    in miles too when `km_per_mile` is given. Zero duration gives NULL."""
     from decimal import Decimal
 
     from quarry.functions.numeric import round_ratio, units_to_decimal
 
-    d = (_c(distance).cast("decimal(38,4)") * F.lit(10**4)).cast("decimal(38,0)")
-    t = (_c(minutes).cast("decimal(38,4)") * F.lit(10**4)).cast("decimal(38,0)")
+    d = _c(distance_units).cast("decimal(38,0)")
+    t = _c(time_units).cast("decimal(38,0)")
     up = F.lit(60 * 10**scale)
     res = {"speed_kph": units_to_decimal(round_ratio(d * up, t), scale)}
     if km_per_mile:
         k = Decimal(km_per_mile)
         exp = -k.as_tuple().exponent
         k_int = int(k.scaleb(exp))
-        res["speed_mph"] = units_to_decimal(
-            round_ratio(d * up * F.lit(10**exp), t * F.lit(k_int)), scale
-        )
+        res["speed_mph"] = units_to_decimal(round_ratio(d * up * F.lit(10**exp), t * F.lit(k_int)), scale)
     return res
 
 
+def rate(distance, minutes, scale: int = 2, km_per_mile: str | None = "1.609") -> dict[str, Column]:
+    """Speed per hour from a distance and a duration in minutes, rounded half up
+    to `scale`, and the same in miles when `km_per_mile` is given.
+
+    Inputs are DECIMALs with up to 4 decimals; both are taken as whole
+    ten-thousandths and the ratio is computed by `rate_units`.
+    """
+    d = (_c(distance).cast("decimal(38,4)") * F.lit(10**4)).cast("decimal(38,0)")
+    t = (_c(minutes).cast("decimal(38,4)") * F.lit(10**4)).cast("decimal(38,0)")
+    return rate_units(d, t, scale, km_per_mile)
+
+
 def bin_by_thresholds(col, bins: Sequence[tuple], default: str) -> Column:
     """Label rows by the first matching range; later ranges only see what earlier
     ones left. Each bin is (label, low, high) with inclusive bounds, or

@@ -371,12 +371,12 @@ def rate_per_delivery(spark, d):
     """Per order: lines, quantity, and 'speed' = 60 x revenue / quantity in two units."""
     t = Tables(spark, d)
     per_order = _order_lines(
-        t, F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty"),
-        money_total("l_extendedprice").alias("revenue"),
+        t, F.count(F.lit(1)).alias("n_lines"), F.sum(cents("l_quantity")).alias("qty_cents"),
+        F.sum(cents("l_extendedprice")).alias("revenue_cents"),
     )
-    speeds = rules.rate("revenue", "qty")
+    speeds = rules.rate_units("revenue_cents", "qty_cents")
     return per_order.select(
-        "l_orderkey", "n_lines", F.col("qty").cast("bigint").alias("total_qty"),
+        "l_orderkey", "n_lines", units_to_decimal("qty_cents").cast("bigint").alias("total_qty"),
         speeds["speed_kph"].alias("speed_kph"), speeds["speed_mph"].alias("speed_mph"),
     )
 
