@@ -30,7 +30,11 @@ def table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     """One table stored as `<base_dir>/<name>.parquet` (file or folder),
     resolved once per session."""
     path = os.path.join(base_dir, f"{name}.parquet")
-    key = (spark.sparkContext.applicationId, id(spark), path)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        app = None
+    key = (app, id(spark), path)
     df = _SCANS.get(key)
     if df is None:
         df = spark.read.parquet(path)
