@@ -1,10 +1,11 @@
 """Small hand-written tables for the music-store and movie studies.
 
 The studied scripts ship no data for these two studies, so these rows are our
-own, written to exercise the tricky cases: namesakes, ties, a billing country
-different from the home country, a track exactly at the mean length, NULL
-ratings and companies, mixed-case multi-valued country and language text,
-money text in two currencies, and a director with two releases on one day.
+own, written to exercise the tricky cases: namesakes, ties (best customer and
+top genre in one country), a billing country different from the home country,
+a track exactly at the mean length, NULL ratings and companies, mixed-case
+multi-valued country and language text, money text in two currencies, a
+director with two releases on one day and one with a single movie.
 Used by tests only.
 """
 
@@ -63,7 +64,7 @@ MUSIC_ROWS = {
         (4, 2, D("0.99"), 3), (4, 3, D("0.99"), 1),
         (5, 5, D("1.99"), 2), (5, 8, D("0.99"), 1), (5, 1, D("0.99"), 1),
         (6, 6, D("0.99"), 1), (6, 7, D("0.99"), 1),
-        (7, 4, D("0.99"), 1), (7, 8, D("0.99"), 1),
+        (7, 4, D("0.99"), 1), (7, 8, D("0.99"), 1), (7, 2, D("0.99"), 1),
         (8, 1, D("0.99"), 1), (8, 1, D("0.99"), 1),
         (9, 6, D("0.99"), 1), (9, 7, D("0.99"), 2), (9, 3, D("0.99"), 1),
         (10, 2, D("0.99"), 1), (10, 5, D("1.99"), 1),
@@ -146,6 +147,7 @@ MOVIE_ROWS = {
         ("tt01", "nm03"), ("tt07", "nm03"), ("tt08", "nm03"),
         ("tt02", "nm07"), ("tt06", "nm07"), ("tt09", "nm07"), ("tt12", "nm07"),
         ("tt05", "nm04"), ("tt11", "nm04"), ("tt03", "nm05"), ("tt13", "nm05"),
+        ("tt10", "nm08"),
     ],
     "role_mapping": [
         ("tt02", "nm02", "actor"), ("tt03", "nm02", "actor"), ("tt06", "nm02", "actor"),

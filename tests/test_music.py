@@ -68,3 +68,15 @@ def test_namesakes_stay_apart_by_default(t):
 def test_track_at_mean_is_not_longer(t):
     names = {r.name for r in M.long_tracks(t).collect()}
     assert "Iron Sky" not in names and "Long Night" in names
+
+
+def test_top_genre_tie_policy(t):
+    all_ties = {(r.country, r.genre) for r in M.top_genre_per_country(t, "all").collect()}
+    assert {("Canada", "Metal"), ("Canada", "Rock")} <= all_ties
+    first = {r.country: r.genre for r in M.top_genre_per_country(t).collect()}
+    assert first["Canada"] == "Metal"  # tie broken by genre name
+
+
+def test_best_customer_tie_in_one_country(t):
+    got = {r.billing_country: r.customer_id for r in M.best_customer_per_country(t).collect()}
+    assert got["Canada"] == 3  # customers 3 and 6 both spent 8.91; tie broken by id
