@@ -101,3 +101,34 @@ def test_distributed_path_matches_oracle(spark, con, name, monkeypatch):
     monkeypatch.setattr(sequence, "SMALL_ROWS", 0)
     res = compare(spark, con, SF001, name, QUERIES[name], SQL[name])
     assert res["cols_match"] and res["rows_match"], res
+
+
+# Exchanges in the static plan with broadcasts and AQE off (how a 100 TB run
+# starts): upper bounds that guard the pre-aggregation and join shapes.
+MAX_EXCHANGES = {
+    "spend_per_customer": 3,      # lineitem partial agg on the join key, orders, final agg
+    "left_join_null_sum": 2,      # lineitem agg feeds the join without a second shuffle
+    "mean_per_group": 3,
+    "delivered_per_type": 3,
+    "most_bought_item": 3,
+    "active_days": 2,             # (customer, day) then customer
+    "gap_summary": 1,             # one aggregate, no per-customer sort
+    "best_customer_per_nation": 5,
+    "favourite_item_ties": 6,
+}
+
+
+@pytest.mark.parametrize("name", sorted(MAX_EXCHANGES))
+def test_cluster_plan_exchange_budget(spark, name):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            QUERIES[name](spark, SF0001).explain()
+        n = len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)", buf.getvalue()))
+        assert n <= MAX_EXCHANGES[name], (name, n)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
