@@ -1,10 +1,10 @@
 """Exact decimal money and rounding.
 
 Prices arrive as DOUBLE. Summing doubles gives results that depend on the order
-of addition, which differs run to run on a cluster. Money is therefore converted
-to DECIMAL(18,2) per row and summed exactly. Means and ratios are rounded half up
-from exact integer arithmetic (`div`), so no intermediate scale can push a value
-across a rounding boundary.
+of addition, which differs run to run on a cluster. Money is therefore summed as
+whole cents in DECIMAL (`cents`, `money_total`) and shown as DECIMAL(18,2)
+(`money`). Means and ratios are rounded half up from exact whole-number
+arithmetic, so no intermediate scale can push a value across a rounding boundary.
 """
 
 from __future__ import annotations

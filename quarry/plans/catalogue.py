@@ -7,9 +7,9 @@ Analogues used throughout (the driver tables are a TPC-H-like star schema):
   activity    events; an entity's join day is the day of its first 'signup'
   dirty text  derived inside the query from clean columns (stand-ins, units, money)
 
-Money (DOUBLE in the tables) is converted per row to DECIMAL(18,2) and summed as
-DECIMAL, so totals do not depend on the order of addition. Means are rounded half
-up exactly (`quarry.functions.numeric`).
+Money (DOUBLE in the tables) is summed as whole cents in DECIMAL and scaled once
+per group, so totals do not depend on the order of addition; money shown per row
+is DECIMAL(18,2). Means are rounded half up exactly (`quarry.functions.numeric`).
 
 Scale notes, shared by many entries:
   * lineitem is the largest table. Where a question needs only per-order or
