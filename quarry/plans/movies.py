@@ -216,10 +216,17 @@ def actor_rank(t, country: str = "India", min_movies: int = 5, k: int | None = 1
     return _first_ranked(res, "actor_rank", k)
 
 
-def actress_rank(t, language: str = "hindi", min_movies: int = 3, k: int | None = 5) -> DataFrame:
+def actress_rank(
+    t, language: str = "hindi", min_movies: int = 3, k: int | None = 5, country: str | None = None
+) -> DataFrame:
     """RM23: actresses of one language's movies (language text equal, any case);
-    the first `k` by rank (None: all)."""
-    res = _weighted_people(t, "actress", F.lower("languages") == language.lower(), min_movies)
+    the first `k` by rank (None: all). The question also names a country; the
+    studied query filters on language only, so `country` (text equal, any case)
+    is optional."""
+    cond = F.lower("languages") == language.lower()
+    if country is not None:
+        cond = cond & (F.lower("country") == country.lower())
+    res = _weighted_people(t, "actress", cond, min_movies)
     res = res.select("name_id", F.col("name").alias("actress_name"), F.col("weight_total").cast("bigint").alias("total_votes"),
                      F.col("n").alias("movie_count"), F.col("weighted_mean").alias("actress_avg_rating"),
                      F.col("person_rank").alias("actress_rank"))
