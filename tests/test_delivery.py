@@ -129,3 +129,16 @@ def test_cleaned_tables_serve_plain_sql(spark, t):
         SELECT runner_id, COUNT(order_id) AS successful_orders FROM deliveries_clean
         WHERE cancellation IS NULL GROUP BY runner_id"""))
     assert got == rows(P.completed_per_runner(t))
+
+
+def test_extras_counted_once_for_an_order_with_two_types(spark, t):
+    """S11: an order with two pizza types and extras on one of them. Summing extras
+    at pizza-line grain counts the 2 extras once (a per-(order, type) grouping
+    that joins order-level extras would count them twice)."""
+    from quarry.sources import append_rows
+
+    co = append_rows(t["customer_orders"], [(11, 106, 1, None, "1, 4", dt.datetime(2021, 1, 12, 12, 0, 0)),
+                                            (11, 106, 2, None, None, dt.datetime(2021, 1, 12, 12, 0, 0))])
+    ro = append_rows(t["runner_orders"], [(11, 3, "2021-01-12 12:20:00", "5km", "10 mins", None)])
+    t2 = dict(t, customer_orders=co, runner_orders=ro)
+    assert rows(P.revenue_with_extras(t2)) == [(142 + 12 + 10 + 2,)]
