@@ -132,3 +132,18 @@ def test_cluster_plan_exchange_budget(spark, name):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+TIME_SENSITIVE = ["clean_timestamp", "by_hour", "by_weekday", "by_month", "date_between", "next_event",
+                  "first_purchase_after_join", "points_bonus_week", "running_daily_revenue", "gap_summary"]
+
+
+@pytest.mark.parametrize("name", TIME_SENSITIVE)
+def test_results_do_not_depend_on_session_settings(spark, con, name):
+    """A plain session (default 200 shuffle partitions, a non-UTC time zone)
+    gives the same answers: timestamps are timestamp_ntz throughout."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    other.conf.set("spark.sql.shuffle.partitions", "200")
+    res = compare(other, con, SF001, name, QUERIES[name], SQL[name])
+    assert res["cols_match"] and res["rows_match"], res
