@@ -223,3 +223,27 @@ def test_range_split_spreads_a_hot_key(spark, skewed):
     hot = skewed.filter("k = 'hot'").count()
     assert hot >= total // 3 - 1
     assert len(parts) >= 2 and max(parts.values()) < hot
+
+
+def test_checked_broadcast_respects_the_bound(spark):
+    import contextlib
+    import io
+
+    from quarry.operators.joins import join_dim
+
+    fact = spark.range(1000).withColumnRenamed("id", "k")
+    dim = spark.range(10).withColumnRenamed("id", "k")
+
+    def plan(max_rows):
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            buf = io.StringIO()
+            with contextlib.redirect_stdout(buf):
+                join_dim(fact, dim, "k", "inner", max_rows).explain()
+            return buf.getvalue()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+    assert "BroadcastHashJoin" in plan(10)          # 10 rows proven <= 10: broadcast
+    assert "BroadcastHashJoin" not in plan(5)       # bound exceeded: shuffle join
