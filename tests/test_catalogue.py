@@ -147,3 +147,9 @@ def test_results_do_not_depend_on_session_settings(spark, con, name):
     other.conf.set("spark.sql.shuffle.partitions", "200")
     res = compare(other, con, SF001, name, QUERIES[name], SQL[name])
     assert res["cols_match"] and res["rows_match"], res
+
+
+def test_every_query_names_its_survey_ids():
+    from quarry.plans.catalogue import SURVEY_IDS
+
+    assert set(SURVEY_IDS) == set(QUERIES)
