@@ -856,33 +856,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # SURVEY §2 ids exercised by each catalogue question (for the coverage check).
 SURVEY_IDS: dict[str, str] = {
-    "spend_per_customer": "DD1 C1 D5", "active_days": "DD2 D4", "first_item_per_customer": "DD3 K9 E1 B16 C6",
-    "most_bought_item": "DD4 D3 F5", "favourite_item_ties": "DD5 K15 E5", "favourite_item_one": "K15 E9",
+    "spend_per_customer": "DD1 A1 A7 C1 C2 D5 B20", "active_days": "DD2 D4", "first_item_per_customer": "DD3 K9 E1 B16 C6",
+    "most_bought_item": "DD4 D3 F5", "favourite_item_ties": "DD5 K15 E5 D15 F8 B14", "favourite_item_one": "K15 E9",
     "first_purchase_after_join": "DD6 K10 C5 E3", "last_before_join": "DD7 K11 C5 E4",
     "totals_before_join": "DD8 K12", "points_flat": "DD9 K13 D7", "points_bonus_week": "DD10 K14 B19 I6",
-    "clean_null_tokens": "PR1 K1 J5", "clean_measure": "PR2 K2 H2 J1", "clean_timestamp": "PR2 K3",
+    "clean_null_tokens": "PR1 K1 J5 B18", "clean_measure": "PR2 K2 H2 J1 J4", "clean_timestamp": "PR2 K3",
     "clean_money": "K4 S9", "lines_ordered": "PA1 D1", "distinct_orders": "PA2 D4",
-    "completed_per_worker": "PA3 B5 D3", "delivered_per_type": "PA4 C3 D3", "type_pivot": "PA5 K16 D7",
+    "completed_per_worker": "PA3 B3 B5 D3", "delivered_per_type": "PA4 C3 D3", "type_pivot": "PA5 K16 D7",
     "largest_order": "PA6 D12 D11", "changed_unchanged": "PA7 K17", "both_flags": "PA8 K17",
-    "by_hour": "PA9 K18 I1", "by_weekday": "PA10 K18 I2 I3 F3", "by_month": "RM3 K18 I4", "by_year": "RM3 K18 I4",
+    "by_hour": "PA9 K18 I1 D14", "by_weekday": "PA10 K18 I2 I3 F3", "by_month": "RM3 K18 I4", "by_year": "RM3 K18 I4",
     "mean_measure_order_grain": "PB1 D9 I8", "mean_measure_line_grain": "PB2 D9 I8 S4",
-    "rate_per_delivery": "PB3 K21 I10", "explode_list": "PC0 K5", "decode_list": "PC1 K6 D13",
+    "rate_per_delivery": "PB3 K21 I10", "explode_list": "PC0 K5 C8 C9 H3 H7", "decode_list": "PC1 K6 D13 J2 J3",
     "token_frequency": "PC2 PC3 K7", "multi_valued": "RM27 K8 H8", "revenue_rules": "PD1 K19 S18",
-    "revenue_surcharge": "PD2 K19 S11", "net_of_payout": "PD3 K20 C12 D16", "append_and_join": "PX1 K36 A6",
-    "union_all": "G2", "union_distinct": "G1", "concat_names": "MS1 H1", "top1_by_sort": "MS1 F4 F5",
-    "top5_groups": "MS2 D2 F6", "segment_members": "MS5 K25 B16", "segment_count": "MS6 K25 D4",
-    "producers_in_segment": "MS7 C3 D3 F1", "above_average": "MS8 K23 C11",
+    "revenue_surcharge": "PD2 K19 S11 H5 H6 I11", "net_of_payout": "PD3 K20 C12 D16 I9", "append_and_join": "PX1 K36 A2 A6 G3",
+    "union_all": "G2", "union_distinct": "G1", "concat_names": "MS1 H1 B1", "top1_by_sort": "MS1 F4 F5 F7",
+    "top5_groups": "MS2 D2 F2 F6", "segment_members": "MS5 K25 B16", "segment_count": "MS6 K25 D4",
+    "producers_in_segment": "MS7 B7 C3 D3 F1", "above_average": "MS8 K23 C11",
     "top_supplier_top_buyer": "MS9 K24 C10", "best_customer_per_nation": "MS11 E9 B14",
     "row_counts": "RM1 K28 D1", "null_profile": "RM2 RM18 K26 D8 C4", "min_max_profile": "RM10 K27 D11",
-    "contains_filter": "RM4 B6 S1", "token_filter": "B6 S26", "prefix_regex": "RM15 B8 H9",
-    "date_between": "RM16 B9", "in_list_sum": "RM17 B11", "distinct_values": "RM5 B16",
-    "singletons": "RM7 K29 D12", "mean_per_group": "RM8 D9", "count_per_group_filtered": "RM14 C3 I4",
+    "contains_filter": "RM4 B6 H10 S1", "token_filter": "B6 S26", "prefix_regex": "RM15 B8 H9",
+    "date_between": "RM16 B9 I7", "in_list_sum": "RM17 B11", "distinct_values": "RM5 B16",
+    "singletons": "RM7 K29 D12", "mean_per_group": "RM8 D9", "count_per_group_filtered": "RM14 B4 B17 C3 I4",
     "rank_of_one": "RM9 K30", "rank_all_groups": "E7", "top10_rank": "RM11 E6 K22",
     "rank_with_null_group": "RM21 E7 S19", "rank_without_null_group": "RM13 E7 S19",
-    "top_in_top_categories": "RM19 K34 C7", "top_per_year_in_top_categories": "RM26 K34 C6 E2",
-    "weighted_rank": "RM22 RM23 K31 D10 E8 B15", "weighted_rank_by_count": "RM28 K31",
+    "top_in_top_categories": "RM19 K34 B12 B13 C7", "top_per_year_in_top_categories": "RM26 K34 C6 E2",
+    "weighted_rank": "RM22 RM23 K31 D6 D10 E8 B15", "weighted_rank_by_count": "RM28 K31",
     "bins": "RM24 K32 B10 S17", "cumulative": "RM25 K33 E11 E12", "gap_summary": "RM29 K35 I5",
     "left_join_null_sum": "C4 D3", "next_event": "E10", "customer_spend_rank": "E7",
     "order_rank_within_customer": "E5", "running_daily_revenue": "E11 E12",
-    "audit_duplicates": "Q1", "audit_nulls": "Q2", "audit_orphans": "Q3", "audit_length": "Q4 H4",
+    "audit_duplicates": "Q1", "audit_nulls": "Q2", "audit_orphans": "Q3", "audit_length": "Q4 H4 B2",
 }
