@@ -38,14 +38,23 @@ def main() -> None:
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app="quarry-bench")
     names = only or list(QUERIES)
+    errors = {}
     if os.environ.get("BENCH_WARMUP", "1") != "0":
         for n in names:
-            _run(spark, QUERIES[n], base)
+            try:
+                _run(spark, QUERIES[n], base)
+            except Exception as e:  # reported below, the other queries still run
+                errors[n] = f"{type(e).__name__}: {str(e)[:200]}"
     times = {}
     for n in names:
-        times[n] = round(statistics.median(_run(spark, QUERIES[n], base) for _ in range(repeat)), 3)
+        if n in errors:
+            continue
+        try:
+            times[n] = round(statistics.median(_run(spark, QUERIES[n], base) for _ in range(repeat)), 3)
+        except Exception as e:
+            errors[n] = f"{type(e).__name__}: {str(e)[:200]}"
     m = re.search(r"sf([0-9.]+)", base)
-    print(json.dumps({
+    out = {
         "metric": "total_query_seconds",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
@@ -53,7 +62,10 @@ def main() -> None:
         "sf": float(m.group(1)) if m else None,
         "n_queries": len(times),
         "cpus": cpus,
-    }))
+    }
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     if "--table" in sys.argv:
         _table(spark, base, times)
     spark.stop()
