@@ -247,3 +247,38 @@ def test_checked_broadcast_respects_the_bound(spark):
 
     assert "BroadcastHashJoin" in plan(10)          # 10 rows proven <= 10: broadcast
     assert "BroadcastHashJoin" not in plan(5)       # bound exceeded: shuffle join
+
+
+def test_anchor_operators_with_a_hot_user(spark):
+    """One user owns a third of all events; results equal brute-force SQL."""
+    import duckdb
+
+    from quarry.operators import anchor
+
+    rows_ = []
+    for i in range(1500):
+        user = 0 if i % 3 == 0 else 1 + i % 50
+        kind = "signup" if i % 11 == 0 else "purchase"
+        rows_.append((i, user, kind, dt.date(2024, 1, 1) + dt.timedelta(days=(i * 7) % 45), float(i % 97)))
+    schema = "event_id long, user_id long, event_type string, day date, value double"
+    ev = spark.createDataFrame(rows_, schema)
+    anchors = anchor.first_anchor(ev, "user_id", "day", "join_date", F.col("event_type") == "signup")
+    buys = ev.filter("event_type = 'purchase'")
+    first = anchor.first_on_or_after(buys, anchors, "user_id", "day", "join_date").select("user_id", "event_id")
+    last = anchor.last_before(buys, anchors, "user_id", "day", "join_date").select("user_id", "event_id")
+    tot = anchor.totals_before(buys, anchors, "user_id", "day", "join_date", {"n": F.count(F.lit(1))})
+
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE ev ({schema.replace('long', 'BIGINT').replace('string', 'VARCHAR')})")
+    con.executemany("INSERT INTO ev VALUES (?, ?, ?, ?, ?)", rows_)
+    base = """WITH a AS (SELECT user_id, MIN(day) AS j FROM ev WHERE event_type = 'signup' GROUP BY user_id),
+              b AS (SELECT ev.*, a.j FROM ev JOIN a USING (user_id) WHERE event_type = 'purchase')"""
+    want_first = con.execute(base + """ SELECT user_id, event_id FROM b WHERE day >= j
+        QUALIFY RANK() OVER (PARTITION BY user_id ORDER BY day) = 1""").fetchall()
+    want_last = con.execute(base + """ SELECT user_id, event_id FROM b WHERE day < j
+        QUALIFY RANK() OVER (PARTITION BY user_id ORDER BY day DESC) = 1""").fetchall()
+    want_tot = con.execute(base + " SELECT user_id, COUNT(*) FROM b WHERE day < j GROUP BY user_id").fetchall()
+    assert rows(first) == sorted(want_first)
+    assert rows(last) == sorted(want_last)
+    assert rows(tot) == sorted(want_tot)
+    assert any(u == 0 for u, _ in want_first)  # the hot user is in the answer
