@@ -40,8 +40,9 @@ def decode_list(
     """Replace a list of ids by the list of their labels, ordered by id.
 
     Tokens are exploded, joined to the dimension, and re-assembled per source row
-    with an ordered `listagg`. `dim_max_rows` broadcasts the dimension after a
-    size check; otherwise Spark sizes the join.
+    with an ordered `listagg`; `row_key` must identify one source row, so each
+    group holds one row's tokens. `dim_max_rows` broadcasts the dimension after
+    a size check; otherwise Spark sizes the join.
     """
     from quarry.operators.joins import join_dim
 
@@ -51,7 +52,8 @@ def decode_list(
         tokens, dim.select(F.col(dim_key).alias("_tok"), F.col(dim_label).alias("_lab")),
         "_tok", "inner", dim_max_rows,
     )
-    ordered = F.expr(f"listagg(_lab, '{out_sep}') WITHIN GROUP (ORDER BY _tok, _lab)")
+    lit = out_sep.replace("\\", "\\\\").replace("'", "\\'")
+    ordered = F.expr(f"listagg(_lab, '{lit}') WITHIN GROUP (ORDER BY _tok, _lab)")
     return named.groupBy(*keys).agg(ordered.alias(out))
 
 

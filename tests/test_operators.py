@@ -282,3 +282,10 @@ def test_anchor_operators_with_a_hot_user(spark):
     assert rows(last) == sorted(want_last)
     assert rows(tot) == sorted(want_tot)
     assert any(u == 0 for u, _ in want_first)  # the hot user is in the answer
+
+
+def test_decode_list_separator_with_quote(spark):
+    df = spark.createDataFrame([(1, "2,1")], "k int, l string")
+    dim = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    got = lists.decode_list(df, "k", "l", dim, "id", "name", out_sep="' \\\\ ").collect()
+    assert got[0]["labels"] == "a' \\\\ b"
