@@ -58,13 +58,12 @@ def count_by_calendar(df: DataFrame, ts: str, part: str, out: str = "n") -> Data
 def above_average(df: DataFrame, col: str) -> DataFrame:
     """Rows whose `col` is strictly above the table mean.
 
-    Compared exactly as col * count > sum, with count and sum as uncorrelated
-    scalar subqueries (one small aggregate job each, pushed into the scan).
+    Compared exactly as col * count > sum. Count and sum come from one
+    uncorrelated scalar subquery returning both (a global aggregate with
+    partial aggregation), evaluated before the filter scan.
     """
-    stats = df.agg(F.count(col).alias("_n"), F.sum(col).alias("_s"))
-    n = stats.select("_n").scalar()
-    s = stats.select("_s").scalar()
-    return df.filter(F.col(col) * n > s)
+    stats = df.agg(F.struct(F.count(col).alias("n"), F.sum(col).alias("s")).alias("st")).scalar()
+    return df.filter(F.col(col) * stats.getField("n") > stats.getField("s"))
 
 
 def segment_members(df: DataFrame, predicate: Column, cols: Sequence[str]) -> DataFrame:
