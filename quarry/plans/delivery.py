@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import measure, null_if_token, split_list, ts_text
+from quarry.functions import cents, exact_mean, measure, null_if_token, split_list, ts_text
 from quarry.operators import lists, rules, summary
 from quarry.sources import append_rows
 
@@ -116,7 +116,8 @@ def _mean_distance(t, key: str, grain: str) -> DataFrame:
     else:
         who = co.select("order_id", "customer_id")
     rows = who.join(ro, "order_id")
-    return rows.groupBy(key).agg(F.round(F.avg("distance"), 2).alias("distance"))
+    agg = rows.groupBy(key).agg(F.sum(cents("distance")).alias("_s"), F.count("distance").alias("_n"))
+    return agg.select(key, exact_mean("_s", "_n").alias("distance"))
 
 
 def mean_distance_per_customer(t, grain: str = "order") -> DataFrame:
