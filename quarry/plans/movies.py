@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import contains_ci, has_many, in_ci, matches_ci, money_amount, money_currency
+from quarry.functions.numeric import cents, exact_mean
 from quarry.operators import profile, rank, rules, sequence, summary
 
 # ---- fixed values: labels of the rating classes ----
@@ -77,9 +78,14 @@ def single_genre_movies(t) -> DataFrame:
     return summary.singletons(t["genre"], "movie_id", "movie_count")
 
 
+def _mean2(col: str):
+    """Exact mean rounded half up to 2 decimals (an aggregate)."""
+    return exact_mean(F.sum(cents(col)), F.count(col))
+
+
 def mean_duration_per_genre(t) -> DataFrame:
     """RM8."""
-    return _with_genre(t).groupBy("genre").agg(F.round(F.avg("duration"), 2).alias("avg_duration"))
+    return _with_genre(t).groupBy("genre").agg(_mean2("duration").alias("avg_duration"))
 
 
 def genre_rank(t, genre: str = "Thriller") -> DataFrame:
@@ -241,7 +247,7 @@ def classify(t, genre: str = "Thriller") -> DataFrame:
 
 def genre_running_duration(t) -> DataFrame:
     """RM25: mean duration per genre, running total and cumulative mean in genre order."""
-    means = _with_genre(t).groupBy("genre").agg(F.round(F.avg("duration"), 2).alias("avg_duration"))
+    means = mean_duration_per_genre(t)
     return sequence.cumulative(means, [("genre", False)], "avg_duration", "running_total_duration", "moving_avg_duration")
 
 
@@ -292,7 +298,7 @@ def director_gaps(t, k: int = 9) -> DataFrame:
         t["movie"].select(F.col("id").alias("movie_id"), "date_published", "duration"), "movie_id"
     )
     res = sequence.gap_summary(d, ["name_id", "name"], "date_published", extra_aggs={
-        "avg_rating": F.round(F.avg("avg_rating"), 2), "total_votes": F.sum("total_votes"),
+        "avg_rating": _mean2("avg_rating"), "total_votes": F.sum("total_votes"),
         "min_rating": F.min("avg_rating"), "max_rating": F.max("avg_rating"), "total_duration": F.sum("duration"),
     })
     res = res.select(
