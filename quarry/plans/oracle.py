@@ -293,6 +293,14 @@ SQL: dict[str, str] = {
                COUNT(*) FILTER (WHERE l_quantity IS NULL) AS l_quantity_nulls,
                COUNT(*) FILTER (WHERE l_returnflag IS NULL) AS l_returnflag_nulls
         FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""",
+    "null_profile_cleaned": f"""
+        WITH {DIRTY_BRAND},
+        c AS (SELECT p_partkey, p_type,
+                     CASE WHEN raw_brand IN ('', 'null', 'NaN') THEN NULL ELSE raw_brand END AS brand FROM dirty)
+        SELECT COUNT(*) FILTER (WHERE p_partkey IS NULL) AS p_partkey_nulls,
+               COUNT(*) FILTER (WHERE p_type IS NULL) AS p_type_nulls,
+               COUNT(*) FILTER (WHERE brand IS NULL) AS brand_nulls
+        FROM c""",
     "min_max_profile": """
         SELECT MIN(CAST(l_quantity AS DECIMAL(18,2))) AS min_quantity, MAX(CAST(l_quantity AS DECIMAL(18,2))) AS max_quantity,
                MIN(CAST(l_extendedprice AS DECIMAL(18,2))) AS min_price, MAX(CAST(l_extendedprice AS DECIMAL(18,2))) AS max_price,
