@@ -319,9 +319,16 @@ def _FLAGS():
 
 
 def changed_unchanged(spark, d):
+    """Per customer, non-cancelled lines with and without a change flag. Flags
+    are counted per order on lineitem first, so only per-order counts meet orders."""
     t = Tables(spark, d)
-    lines = _lines_orders(t, ["o_custkey", "l_discount", "l_tax"], NOT_CANCELLED())
-    return summary.flag_split_counts(lines, "o_custkey", _FLAGS(), "with_changes", "no_changes")
+    per_order = summary.flag_split_counts(
+        t.lineitem.filter(NOT_CANCELLED()), "l_orderkey", _FLAGS(), "with_changes", "no_changes"
+    )
+    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return per_order.join(o, "l_orderkey").groupBy("o_custkey").agg(
+        F.sum("with_changes").alias("with_changes"), F.sum("no_changes").alias("no_changes")
+    )
 
 
 def both_flags(spark, d):

@@ -113,6 +113,7 @@ MAX_EXCHANGES = {
     "most_bought_item": 3,
     "active_days": 2,             # (customer, day) then customer
     "gap_summary": 1,             # one aggregate, no per-customer sort
+    "changed_unchanged": 3,       # flags counted per order before meeting orders
     "best_customer_per_nation": 5,
     "favourite_item_ties": 6,
 }
