@@ -34,7 +34,6 @@ def main(argv: list[str]) -> int:
         title = (fn.__doc__ or fn.__name__).strip().splitlines()[0]
         print(f"== {title}" if title.startswith(qid) else f"== {qid}: {title}")
         fn(t).show(50, truncate=False)
-    spark.stop()
     return 0
 
 

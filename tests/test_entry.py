@@ -23,3 +23,13 @@ def test_every_query_has_sql_with_matching_keys():
     q, sql = mod.queries(), mod.oracle_sql()
     assert len(q) >= 82 and set(q) == set(sql)
     assert all(callable(f) for f in q.values()) and all(s.strip() for s in sql.values())
+
+
+def test_study_runner_usage_and_one_question(spark, capsys):
+    from quarry.plans import run
+
+    assert run.main([]) == 2
+    assert "python -m quarry.plans.run" in capsys.readouterr().out
+    assert run.main(["restaurant", "DD1"]) == 0
+    out = capsys.readouterr().out
+    assert "DD1" in out and "76" in out
