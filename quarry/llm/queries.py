@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate
+from quarry.llm import decontaminate, substring_dedup
 
-_MODULES = (decontaminate,)
+_MODULES = (decontaminate, substring_dedup)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in _MODULES for name, text in getattr(m, "SQL", {}).items()}
