@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, jaccard_join, substring_dedup
+from quarry.llm import decontaminate, jaccard_join, packing, substring_dedup, token_counts
 
-_MODULES = (substring_dedup, decontaminate, jaccard_join)
+_MODULES = (substring_dedup, packing, decontaminate, token_counts, jaccard_join)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: text for m in _MODULES for name, text in getattr(m, "SQL", {}).items()}
