@@ -12,14 +12,17 @@ enumerated: a difference in one of the two leaves the other subset equal. With
 2 * n1 = N second-level partitions, two linked sets agree on at least N - k of them.
 A signature is the hash of the shingles that fall into the partition; empty ones
 say nothing and are left out. That loses no link while a set has fewer than N - k
-empty partitions (k by its own size). A set that has more also signs another table,
-dealt by another hash, and after `TABLES` of them each of its shingles.
+empty partitions (k by its own size; N - k - `SHARED` + 1 here). A set that has more also
+signs another table, dealt by another hash, and after `TABLES` of them each of its
+shingles.
 
 Candidates. Signatures are compared in buckets by packed blocks, and only those of
-two or more different sets go on. Within the sets of a signature nothing is paired
-with everything: all are compared with the one that shares most signatures, links
-become components, and only then sets of different components of a signature are
-compared with each other.
+two or more different sets go on. Partitions are so many that linked sets share at
+least `SHARED` signatures: a set with fewer shared ones drops out, and a pair is
+compared only if it has as many. Within the sets of a signature nothing is paired with
+everything: all are compared with the one that shares most signatures, links become
+components, and only then sets of different components of a signature are compared
+with each other.
 
 Equal sets are one class from the start, so copies cost nothing. Shingles and classes
 are 64-bit hashes.
@@ -45,7 +48,9 @@ from quarry.llm.words import Block, Runs, U, blocks, mix, signed
 
 SHINGLE = 5
 #: Tables that a set with too many empty partitions signs before its single shingles.
-TABLES = 4
+TABLES = 2
+#: Signatures that linked sets share at least; sets of three shingles have no more.
+SHARED = 3
 #: Signatures that a packed block holds, and that a bucket holds on average.
 BLOCK_SIGNATURES, BUCKET_SIGNATURES = 2_000_000, 1_500_000
 
@@ -85,7 +90,7 @@ def instances(n: int) -> list[int]:
 def partitions(instance: int) -> int:
     """N: over 2/7 of twice the largest size, with room for empty partitions."""
     k = 2 * int(bands()[instance]) // 7
-    return 2 * ((k + 3 + k * 3 // 20) // 2 + 1)
+    return 2 * ((k + SHARED + 3 + k * 3 // 20) // 2 + 1)
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
@@ -105,7 +110,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
             part = ((h >> U(32)) * U(n)) >> U(32)
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             out.append(mix(np.add.reduceat(mix(h), first) + mix(part[first] + salt)))
-            if n - len(first) < n - k:
+            if len(first) >= k + SHARED:
                 break
     return np.concatenate(out)
 
@@ -161,7 +166,7 @@ def _pack(buckets: int) -> Callable:
 
 
 def _shared(bucket: pd.DataFrame) -> pd.DataFrame:
-    """(grp, class): the different sets of classes that share a signature of the bucket."""
+    """(grp, class, times): the different sets of classes that share signatures of the bucket, and how many."""
     sig, of = [], []
     for s, o, c in zip(bucket["sigs"], bucket["owners"], bucket["classes"]):
         s, c = np.frombuffer(s, U), np.frombuffer(c, np.int64)
@@ -179,16 +184,17 @@ def _shared(bucket: pd.DataFrame) -> pd.DataFrame:
     new[1:] = (sig[1:] != sig[:-1]) | (of[1:] != of[:-1])
     sig, of = sig[new], of[new]  # each class once: copies of other blocks
     if not len(sig):
-        return pd.DataFrame({"grp": np.zeros(0, np.int64), "class": np.zeros(0, np.int64)})
+        return pd.DataFrame({"grp": [], "class": [], "times": []}, dtype=np.int64)
     first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     size = np.diff(first, append=len(sig))
     group = mix(np.add.reduceat(mix(of.view(U)), first) + size.astype(U))  # equal members, equal group
-    _, once = np.unique(group, return_index=True)
-    once = once[size[once] > 1]
-    take = np.zeros(len(first), bool)
-    take[once] = True
-    take = np.repeat(take, size)
-    return pd.DataFrame({"grp": np.repeat(group, size)[take].view(np.int64), "class": of[take]})
+    _, once, times = np.unique(group, return_index=True, return_counts=True)
+    count = np.zeros(len(first), np.int64)
+    count[once] = times
+    count[size == 1] = 0
+    count = np.repeat(count, size)
+    take = count > 0
+    return pd.DataFrame({"grp": np.repeat(group, size)[take].view(np.int64), "class": of[take], "times": count[take]})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,21 +204,40 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"]).filter(pa.array(same, pa.bool_()))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link."""
+def _joined(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """(a, b, x, y): the pairs with the value of either class."""
+    first = values.select(F.col("class").alias("a"), F.col(value).alias("x"))
+    second = values.select(F.col("class").alias("b"), F.col(value).alias("y"))
+    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _kept(batch: pa.RecordBatch, test: Callable) -> pa.RecordBatch:
+    ok = [test(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+    return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _linked(pairs: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that share enough signatures and whose sets link."""
+
+    def share(x: list[dict], y: list[dict]) -> bool:
+        own = {r["grp"]: r["times"] for r in x}
+        return sum(own.get(r["grp"], 0) for r in y) >= SHARED
+
+    def link(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _kept(batch, share)
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield _kept(batch, link)
 
-    first = sets.select(F.col("class").alias("a"), F.col("set").alias("x"))
-    second = sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    some = staged(_joined(pairs, lists, "groups").mapInArrow(likely, "a long, b long"))
+    return staged(_joined(some, sets, "set").mapInArrow(sure, "a long, b long"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -227,21 +252,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = known.agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SIGNATURES))
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_pack(buckets), "bucket int, sigs binary, owners binary, classes binary")
-    groups = packed.groupBy("bucket").applyInPandas(_shared, "grp long, class long")
-    one = known.filter("class is not null").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
-    one = staged(one)
-    groups = staged(groups.distinct())
-    members = groups.groupBy("class").agg(F.count("*").alias("degree"))
-    members = staged(members.join(one, "class"))
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(members.select("doc", "class"), "doc")
+    groups = packed.groupBy("bucket").applyInPandas(_shared, "grp long, class long, times long")
+    groups = staged(groups.groupBy("grp", "class").agg(F.sum("times").alias("times")))
+    one = staged(known.filter("class is not null").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n").alias("n")))
+    members = groups.groupBy("class").agg(F.sum("times").alias("degree")).filter(F.col("degree") >= SHARED)
+    groups = groups.join(staged(members.join(one, "class")), "class")
+    alone = groups.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1").select("grp")
+    groups = staged(groups.join(alone, "grp").select("grp", "class", "times", "degree", "n", "doc"))
+    lists = groups.groupBy("class").agg(F.sum("times").alias("degree"), F.collect_list(F.struct("grp", "times")).alias("groups"), F.first("doc").alias("doc"))
+    lists = staged(lists.filter(F.col("degree") >= SHARED))
+    groups = groups.join(lists.select("class"), "class", "left_semi")
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(lists.select("doc", "class"), "doc")
     sets = texts.select("class", "text").mapInArrow(_sets, "class long, set binary")
     ids = known.agg(F.count("doc").alias("rows"), F.count_distinct("doc").alias("ids")).first()
     sets = staged(sets if ids["rows"] == ids["ids"] else sets.dropDuplicates(["class"]))
-    groups = staged(groups.join(members.select("class", "degree", "n"), "class"))
     hub = staged(groups.groupBy("grp").agg(F.max(F.struct("degree", "class"))["class"].alias("hub")))
     stars = groups.join(hub, "grp").filter(F.col("class") != F.col("hub"))
     pairs = staged(stars.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
-    links = staged(_linked(pairs, sets, percent))
+    links = _linked(pairs, lists, sets, percent)
     found = staged(components(links, "a", "b"))
     # sets of a signature in different components: compare them with each other
     own = groups.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -251,7 +279,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other = own.select("grp", F.col("class").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
     rest = own.withColumnRenamed("class", "a").join(other, "grp").filter("a < b and component <> c and 4 * least(n, m) >= 3 * greatest(n, m)").select("a", "b").distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = staged(_linked(rest, sets, percent))
+    more = _linked(rest, lists, sets, percent)
     links = links.unionByName(more)
     if more.limit(1).count():
         found = staged(components(links, "a", "b"))
