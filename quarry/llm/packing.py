@@ -38,12 +38,38 @@ END_ID = 1
 CACHE_WORDS = 400_000
 
 
+#: A small ASCII letter before one of these signs always ends a pre-token.
+_BEFORE, _AFTER = np.zeros(256, bool), np.zeros(256, bool)
+_BEFORE[ord("a") : ord("z") + 1] = True
+_AFTER[list(b".,!?;:#$%&*|")] = True
+
+
+def _parted(text: bytes) -> bytes:
+    """The text with a space between small letters and signs, so that fewer words are distinct."""
+    buf = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(_BEFORE[buf[:-1]] & _AFTER[buf[1:]])
+    out = np.full(len(buf) + len(at), 0x20, np.uint8)
+    kept = np.ones(len(out), bool)
+    kept[at + 1 + np.arange(len(at))] = False
+    out[kept] = buf
+    return out.tobytes()
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The character that byte-level tokenizers show for each byte: printable Latin-1 as it is, the others from 256 on."""
+    shown = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
+    rest = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Ids of a tokenizer that never joins text across white space, by remembered words.
 
-    Such a tokenizer's ids of a text are those of its words in order. ASCII capitals
-    are lowered first when the tokenizer lowers them anyway. A text with the start of
-    one of the tokenizer's special strings is encoded as a whole.
+    Such a tokenizer's ids of a text are those of its words in order. Where it lowers
+    capitals and parts letters from signs, so do we first; a word of Latin letters is
+    then one pre-token, and goes straight to the tokenizer's model. All this is tried
+    out when the tokenizer is loaded. A text with one of its special strings is encoded
+    as a whole.
     """
 
     def __init__(self, path: str):
@@ -55,24 +81,39 @@ class WordEncoder:
         one = [self._ids(x) for x in ("Ab c\t\nD", "Ab", "c", "D")]
         if one[0] != one[1] + one[2] + one[3]:
             raise ValueError(f"{path} joins text across white space")
-        self.lower = self._ids("AZ") == self._ids("az")
+        self.lower = self._ids("AZ\u00c9") == self._ids("az\u00e9")
+        self.parted = all(self._ids("ab" + chr(c) * 2) == self._ids("ab " + chr(c) * 2) for c in np.flatnonzero(_AFTER))
+        self.alphabet = byte_alphabet()
+        probe = ["the", "tokenization", "\u00e9t\u00e9r\u00e8\u00df", "\u00f1\u00fc\u00e4\u0101"]
+        self.direct = all(self._by_model(w) == self._ids(w) for w in probe)
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _by_model(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        # below U+0250 letters are composed, and lowered alike everywhere but the dotted I
+        if self.direct and self.lower and word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+            return self._by_model(word.lower())
+        return self._ids(word)
+
     def encode(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(s.lower() in text.lower() for s in self.special):
+        low = text.lower()
+        if any(s.lower() in low for s in self.special):
             return self._ids(text.decode())
-        words = (text.lower() if self.lower else text).split()
-        missing = [w for w in set(words) if w not in self.known]
-        if missing:
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known = {}
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        if self.lower:
+            text = low
+        words = (_parted(text) if self.parted else text).split()
+        missing = set(words).difference(self.known)
+        if missing and len(self.known) + len(missing) > CACHE_WORDS:
+            self.known, missing = {}, set(words)
+        for w in missing:
+            self.known[w] = self._word(w.decode())
         return b"".join(map(self.known.__getitem__, words))
 
 
@@ -119,17 +160,25 @@ def best_fit(counts: dict[int, int], limit: int) -> np.ndarray:
     gaps: list[int] = []  # sorted
     free: dict[int, list[tuple[int, int]]] = {}  # gap: runs (first sequence, count)
     sequences = 0
+
+    def leave(gap: int, first: int, n: int) -> None:
+        if gap:
+            if gap not in free:
+                insort(gaps, gap)
+            free.setdefault(gap, []).append((first, n))
+
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left:
             at = bisect_left(gaps, length)
-            if at == len(gaps):
-                each = limit // length
-                opened = -(-left // each)
-                free.setdefault(limit, []).append((sequences, opened))
-                insort(gaps, limit)
-                sequences += opened
-                continue
+            if at == len(gaps):  # as many as fit into each new sequence, the rest into one more
+                for opened, each in ((left // (limit // length), limit // length), (1, left % (limit // length))):
+                    if opened and each:
+                        runs += [(length, rank + i * opened, sequences, i * length) for i in range(each)]
+                        leave(limit - each * length, sequences, opened)
+                        rank += opened * each
+                        sequences += opened
+                break
             gap = gaps[at]
             first, n = free[gap].pop()
             take = min(n, left)
@@ -138,10 +187,7 @@ def best_fit(counts: dict[int, int], limit: int) -> np.ndarray:
             if not free[gap]:
                 del free[gap]
                 gaps.pop(at)
-            if gap > length:
-                if gap - length not in free:
-                    insort(gaps, gap - length)
-                free.setdefault(gap - length, []).append((first, take))
+            leave(gap - length, first, take)
             runs.append((length, rank, first, limit - gap))
             rank += take
             left -= take
