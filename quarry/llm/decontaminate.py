@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import free_name, read
+from quarry.llm.frames import read
 from quarry.llm.words import ALNUM, Block, Runs, blocks
 
 N = 10
@@ -72,13 +72,16 @@ class Grams:
                     yield int(block.doc[i]), int(i - block.first[block.doc[i]]), size, items
 
 
-def scan(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """`docs` with column `hits`: array of (start, length, items) in words of the normalised text, and `n_words`."""
+def scan(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """`docs` with column `hits`, an array of (start, length, items) in words of the normalised text, and `n_words`.
+
+    The columns of `docs` must have other names than these two.
+    """
     spark = docs.sparkSession
     chosen = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     total = chosen.agg(F.sum(n_windows(F.col("text"), n)).alias("n")).first()["n"] or 0
     groups = max(1, math.ceil(total / max_windows))
-    hits, words = free_name(docs, "hits"), free_name(docs, "n_words")
+    hits, words = "hits", "n_words"
     kind = "array<struct<start:int,length:int,items:array<string>>>"
     out = docs.withColumns({hits: F.lit(None).cast(kind), words: F.lit(0).cast("long")})
     schema = out.schema
@@ -98,7 +101,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
         out = out.mapInArrow(find, schema)
-    return out.withColumnsRenamed({hits: "hits", words: "n_words"}) if hits != "hits" or words != "n_words" else out
+    return out
 
 
 def merged(hits: list[dict]) -> list[tuple[int, int]]:
@@ -112,22 +115,25 @@ def merged(hits: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, remove: str = "documents") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, remove: str = "documents") -> DataFrame:
     """`docs` without what the items also hold.
 
     remove="documents": documents with a hit go. remove="spans": hit words are cut
     out of the text, from the first word's first to the last word's last character.
     """
-    found = scan(docs, items, id_col, text_col, item_id, item_text, n)
-    if remove == "documents":
-        return found.filter(F.size("hits") == 0).select(*docs.columns)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
+    rest = [c for c in docs.columns if c != text_col]  # as one column, whatever their names
+    packed = docs.select(F.struct(*rest).alias("row"), F.col(text_col).alias("text"))
+    restored = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    found = scan(packed, items, "text", item_id, item_text, n)
+    if remove == "documents":
+        return found.filter(F.size("hits") == 0).select(*restored)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, text_col):
+        for batch, texts in blocks(batches, "text"):
             block = Block(texts, ALNUM, lower=True)
-            out = batch.column(text_col).to_pylist()
+            out = batch.column("text").to_pylist()
             for i, hits in enumerate(batch.column("hits").to_pylist()):
                 parts, at, base = [], 0, sum(len(t) + 1 for t in texts[:i]) if hits else 0
                 for a, b in merged(hits or ()):
@@ -136,15 +142,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                     at = hi
                 if hits:
                     out[i] = b"".join([*parts, texts[i][at:]]).decode()
-            columns = [pa.array(out, batch.schema.field(c).type) if c == text_col else batch.column(c) for c in batch.schema.names]
+            columns = [pa.array(out, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return found.mapInArrow(cut, found.schema).select(*docs.columns)
+    return found.mapInArrow(cut, found.schema).select(*restored)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text").drop("text")
+    found = scan(docs, read(spark, sf_dir, "benchmark"), "text", "item_id", "text").drop("text")
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
     return found.select(
