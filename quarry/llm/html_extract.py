@@ -54,7 +54,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-DEFAULT_PENALTY = 0.5
+DEFAULT_PENALTY = 0.3
 LEAST, MOST = 0.1, 2.0
 
 

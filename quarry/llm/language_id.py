@@ -17,7 +17,6 @@ nothing could be learned; repeated rows each have their row.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -38,9 +37,6 @@ SIZES = (2, 3, 4)
 BUCKETS = 1 << 16
 STEPS, RATE, SWITCH = 60, 0.3, 1 / 24
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def _features(words: list[bytes], lexicon: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature); the features past BUCKETS are the lexicons of the languages."""
     own, feature = grams(words, SIZES, BUCKETS)
@@ -215,7 +211,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         labels = shared.value.labels
         for batch, texts in blocks(batches, text_col):
             share = shared.value.shares(texts)
-            known = np.array([bool(labels) and _LETTER.search(t.decode()) is not None for t in texts], bool)
+            known = np.array([bool(labels) and any(map(str.isalpha, t.decode())) for t in texts], bool)
             best = share.argmax(1) if labels else np.zeros(len(texts), int)
             pred = [labels[b] if k else "und" for b, k in zip(best, known)]
             score = [min(1.0, float(s[b])) if k else 0.0 for s, b, k in zip(share, best, known)]

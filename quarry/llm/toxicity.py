@@ -55,8 +55,8 @@ def document_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 class Model:
-    def __init__(self, bias: float = -np.inf):
-        self.weight, self.bias = np.zeros(BUCKETS, np.float32), bias
+    def __init__(self, constant: float | None = None):
+        self.constant, self.weight, self.bias = constant, np.zeros(BUCKETS, np.float32), 0.0
 
     def fit(self, texts: list[bytes], label: np.ndarray, weight: np.ndarray, seed: int = 11) -> "Model":
         """weight: of each text, mean 1."""
@@ -93,6 +93,8 @@ class Model:
         return self
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
         block = Block(lowered(texts), LETTERS)
         total = np.zeros(len(texts))
         if len(block.hash):
@@ -122,7 +124,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
     texts, label, weight = labelled_sample(docs, labels, id_col, text_col, label_col, SAMPLE)
     if len(set(label)) < 2:
-        return Model(np.inf if len(label) and label[0] else -np.inf)
+        return Model(float(label[0]) if len(label) else 0.0)
     return Model().fit(texts, label, weight)
 
 
