@@ -211,30 +211,28 @@ def _joined(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
     return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y")
 
 
-def _kept(batch: pa.RecordBatch, test: Callable) -> pa.RecordBatch:
-    ok = [test(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-    return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
 def _linked(pairs: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that share enough signatures and whose sets link."""
 
-    def share(x: list[dict], y: list[dict]) -> bool:
-        own = {r["grp"]: r["times"] for r in x}
-        return sum(own.get(r["grp"], 0) for r in y) >= SHARED
-
-    def link(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= percent * (len(x) + len(y) - both)
+    def lists_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        flat, edge = column.flatten(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+        grp, times = flat.field("grp").to_numpy(), flat.field("times").to_numpy()
+        return ((grp[i:j], times[i:j]) for i, j in zip(edge[:-1], edge[1:]))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _kept(batch, share)
+            both = zip(lists_of(batch.column("x")), lists_of(batch.column("y")))
+            ok = [int(times[np.isin(grp, other, assume_unique=True)].sum()) >= SHARED for (grp, times), (other, _) in both]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _kept(batch, link)
+            ok = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     some = staged(_joined(pairs, lists, "groups").mapInArrow(likely, "a long, b long"))
     return staged(_joined(some, sets, "set").mapInArrow(sure, "a long, b long"))
