@@ -11,18 +11,19 @@ partitions each, and the subsets of one second-level partition of each pair are
 enumerated: a difference in one of the two leaves the other subset equal. With
 2 * n1 = N second-level partitions, two linked sets agree on at least N - k of them.
 A signature is the hash of the shingles that fall into the partition; empty ones
-say nothing and are left out. That loses no link while a set has fewer than N - k
-empty partitions (k by its own size; N - k - `SHARED` + 1 here). A set that has more also
-signs another table, dealt by another hash, and after `TABLES` of them each of its
-shingles.
-
-Candidates. Signatures are compared in buckets by packed blocks, and only those of
-two or more different sets go on. Partitions are so many that linked sets share at
-least `SHARED` signatures: a set with fewer shared ones drops out, and a pair is
-compared only if it has as many. Within the sets of a signature nothing is paired with
-everything: all are compared with the one that shares most signatures, links become
-components, and only then sets of different components of a signature are compared
-with each other.
+say nothing and are left out. A set with p partitions that are not empty so shares at
+least p - k signatures with any set it links to (k by its own size): that is its
+bound. A set whose bound is under `SHARED` also signs another table, dealt by another
+hash, and after `TABLES` of them each of its shingles; its bound is then `SHARED`.
+
+Candidates. Signatures are compared in buckets by packed blocks, and only those of two
+or more different sets go on. A set with fewer shared signatures than its bound drops
+out. Of the others, the rarest go on that leave fewer than the bound: of all that two
+linked sets share, the rarest is among them on both sides, and what very many sets
+share (a common line) is not. A pair is compared only if it shares both bounds. Within
+the sets of a signature nothing is paired with everything: all are compared with the
+one that shares most signatures, links become components, and only then sets of
+different components of a signature are compared with each other.
 
 Equal sets are one class from the start, so copies cost nothing. Shingles and classes
 are 64-bit hashes.
@@ -39,7 +40,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
@@ -90,14 +91,14 @@ def instances(n: int) -> list[int]:
 def partitions(instance: int) -> int:
     """N: over 2/7 of twice the largest size, with room for empty partitions."""
     k = 2 * int(bands()[instance]) // 7
-    return 2 * ((k + SHARED + 3 + k * 3 // 20) // 2 + 1)
+    return 2 * ((k + SHARED + 3 + k // 4) // 2 + 1)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """All signatures of one set; sets of one or two shingles link with no other set."""
+def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
+    """All signatures of one set, and its bound; sets of one or two shingles link with no other set."""
     if len(s) < 3:
-        return np.zeros(0, U)
-    out = []
+        return np.zeros(0, U), SHARED
+    out, bound = [], len(s)
     for instance in instances(len(s)):
         n = partitions(instance)
         k = (len(s) + min(int(bands()[instance]), len(s) * 4 // 3)) // 7
@@ -112,22 +113,23 @@ def signatures(s: np.ndarray) -> np.ndarray:
             out.append(mix(np.add.reduceat(mix(h), first) + mix(part[first] + salt)))
             if len(first) >= k + SHARED:
                 break
-    return np.concatenate(out)
+        bound = min(bound, len(first) - k if not table else SHARED)
+    return np.concatenate(out), bound
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, n, class) of every row; class is null for the empty set."""
+    """(doc, n, class, bound) of every row; class is null for the empty set."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "text"):
             sets = shingle_sets(texts)
             n = np.array([len(s) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(n), pa.array([class_id(s) for s in sets], pa.int64(), mask=n == 0)],
-                names=["doc", "n", "class"],
+                [batch.column("doc"), pa.array(n, pa.int64()), pa.array([class_id(s) for s in sets], pa.int64(), mask=n == 0), pa.array([signatures(s)[1] for s in sets], pa.int64())],
+                names=["doc", "n", "class", "bound"],
             )
 
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(find, f"doc {docs.schema[id_col].dataType.simpleString()}, n long, class long")
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(find, f"doc {docs.schema[id_col].dataType.simpleString()}, n long, class long, bound long")
 
 
 def _pack(buckets: int) -> Callable:
@@ -154,7 +156,7 @@ def _pack(buckets: int) -> Callable:
                 if len(s) > 2 and (c := class_id(s)) not in seen:
                     seen.add(c)
                     ids.append(c)
-                    sigs.append(signatures(s))
+                    sigs.append(signatures(s)[0])
                     size += len(sigs[-1])
             if size > BLOCK_SIGNATURES:
                 yield rows(sigs, ids)
@@ -204,11 +206,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"]).filter(pa.array(same, pa.bool_()))
 
 
-def _joined(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """(a, b, x, y): the pairs with the value of either class."""
-    first = values.select(F.col("class").alias("a"), F.col(value).alias("x"))
-    second = values.select(F.col("class").alias("b"), F.col(value).alias("y"))
-    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y")
+def _joined(pairs: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
+    """(a, b, and of either class each column with 1 and 2 after its name)."""
+    for side, n in (("a", 1), ("b", 2)):
+        pairs = pairs.join(values.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}{n}") for c in columns)), side)
+    return pairs
 
 
 def _linked(pairs: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,20 +223,21 @@ def _linked(pairs: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) -
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(lists_of(batch.column("x")), lists_of(batch.column("y")))
-            ok = [int(times[np.isin(grp, other, assume_unique=True)].sum()) >= SHARED for (grp, times), (other, _) in both]
+            both = zip(lists_of(batch.column("groups1")), lists_of(batch.column("groups2")))
+            shared = [int(times[np.isin(grp, other, assume_unique=True)].sum()) for (grp, times), (other, _) in both]
+            ok = np.array(shared) >= np.maximum(batch.column("bound1").to_numpy(), batch.column("bound2").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
+            for x, y in zip(batch.column("set1"), batch.column("set2")):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    some = staged(_joined(pairs, lists, "groups").mapInArrow(likely, "a long, b long"))
+    some = staged(_joined(pairs.select("a", "b"), lists, "groups", "bound").mapInArrow(likely, "a long, b long"))
     return staged(_joined(some, sets, "set").mapInArrow(sure, "a long, b long"))
 
 
@@ -252,14 +255,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_pack(buckets), "bucket int, sigs binary, owners binary, classes binary")
     groups = packed.groupBy("bucket").applyInPandas(_shared, "grp long, class long, times long")
     groups = staged(groups.groupBy("grp", "class").agg(F.sum("times").alias("times")))
-    one = staged(known.filter("class is not null").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n").alias("n")))
-    members = groups.groupBy("class").agg(F.sum("times").alias("degree")).filter(F.col("degree") >= SHARED)
-    groups = groups.join(staged(members.join(one, "class")), "class")
-    alone = groups.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1").select("grp")
-    groups = staged(groups.join(alone, "grp").select("grp", "class", "times", "degree", "n", "doc"))
-    lists = groups.groupBy("class").agg(F.sum("times").alias("degree"), F.collect_list(F.struct("grp", "times")).alias("groups"), F.first("doc").alias("doc"))
-    lists = staged(lists.filter(F.col("degree") >= SHARED))
-    groups = groups.join(lists.select("class"), "class", "left_semi")
+    one = known.filter("class is not null").groupBy("class")
+    one = staged(one.agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bound").alias("bound")))
+    members = groups.groupBy("class").agg(F.sum("times").alias("degree")).join(one, "class").filter("degree >= bound")
+    groups = groups.join(staged(members), "class")
+    sizes = staged(groups.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1"))
+    groups = staged(groups.join(sizes, "grp"))
+    lists = groups.groupBy("class", "bound", "doc").agg(F.sum("times").alias("degree"), F.collect_list(F.struct("grp", "times")).alias("groups"))
+    lists = staged(lists.filter("degree >= bound").drop("degree"))
+    # of each class the rarest signatures: those that leave fewer than its bound behind them
+    before = Window.partitionBy("class").orderBy("size", "grp").rowsBetween(Window.unboundedPreceding, -1)
+    rare = groups.join(lists.select("class"), "class", "left_semi")
+    rare = rare.withColumn("left", F.sum("times").over(Window.partitionBy("class")) - F.coalesce(F.sum("times").over(before), F.lit(0)))
+    groups = staged(rare.filter(F.col("left") >= F.col("bound")).select("grp", "class", "n", "degree"))
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(lists.select("doc", "class"), "doc")
     sets = texts.select("class", "text").mapInArrow(_sets, "class long, set binary")
     ids = known.agg(F.count("doc").alias("rows"), F.count_distinct("doc").alias("ids")).first()
