@@ -45,7 +45,7 @@ def ts_text(col, tokens: Iterable[str] = NULL_TOKENS) -> Column:
 
 
 def money_amount(col, dtype: str = "decimal(20,0)") -> Column:
-    """Amount of a money text such as '$ 103244842' or 'INR 5000'."""
+    """Amount of a money text such as '$ 91000350' or 'INR 5000'."""
     return measure(col, dtype)
 
 

@@ -1,12 +1,9 @@
-"""Joins of facts to dimensions, with broadcast only behind a size check.
-
-Policy:
-  * A side is broadcast only when its row count is proven small: either by a
-    bounded check (`checked_broadcast`, one `limit(n+1).count()` job) or by
-    construction (the output of `limit(k)`).
-  * Everything else is left to Spark: the static `autoBroadcastJoinThreshold`
-    check on plan statistics and AQE's check on the real shuffle size choose
-    broadcast or sort-merge at run time, and AQE splits skewed partitions.
+"""Joins of facts to dimensions.
+
+No join here carries a broadcast hint: the static `autoBroadcastJoinThreshold` check
+on plan statistics and AQE's check on the real shuffle size choose broadcast or
+sort-merge at run time, and AQE splits skewed partitions. Only sides that a
+`limit(k)` bounds by construction are broadcast, where they are made.
 """
 
 from __future__ import annotations
@@ -14,35 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` with a broadcast hint if it holds at most `max_rows` rows, else unchanged.
-
-    The check reads at most `max_rows + 1` rows, so it is cheap even when the
-    side turns out to be large; beyond the bound the join falls back to a
-    shuffle join planned by Spark.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def join_dim(
-    fact: DataFrame,
-    dim: DataFrame,
-    on,
-    how: str = "inner",
-    max_rows: int | None = None,
-) -> DataFrame:
-    """Join `fact` to dimension `dim`.
-
-    With `max_rows`, the dimension is broadcast after `checked_broadcast`
-    confirms the bound; without it Spark decides from sizes at run time.
-    """
-    if max_rows is not None:
-        dim = checked_broadcast(dim, max_rows)
+
+
+def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join `fact` to dimension `dim`; Spark decides how from the sizes."""
     return fact.join(dim, on, how)
 
 

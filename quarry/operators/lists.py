@@ -35,14 +35,14 @@ def explode_list(
 def decode_list(
     df: DataFrame, row_key, col: str, dim: DataFrame, dim_key: str, dim_label: str,
     sep: str = ",", dtype: str = "int", out: str = "labels", out_sep: str = ", ",
-    dim_max_rows: int | None = None,
 ) -> DataFrame:
     """Replace a list of ids by the list of their labels, ordered by id.
 
     Tokens are exploded, joined to the dimension, and re-assembled per source row
     with an ordered `listagg`; `row_key` must identify one source row, so each
-    group holds one row's tokens. `dim_max_rows` broadcasts the dimension after
-    a size check; otherwise Spark sizes the join.
+    group holds one row's tokens. Ids that the dimension lacks are left out of the
+    labels, and rows without any known id are left out of the result, as in an
+    inner join.
     """
     from quarry.operators.joins import join_dim
 
@@ -50,7 +50,7 @@ def decode_list(
     tokens = explode_list(df, col, sep, dtype, out="_tok", keep=keys)
     named = join_dim(
         tokens, dim.select(F.col(dim_key).alias("_tok"), F.col(dim_label).alias("_lab")),
-        "_tok", "inner", dim_max_rows,
+        "_tok", "inner",
     )
     lit = out_sep.replace("\\", "\\\\").replace("'", "\\'")
     ordered = F.expr(f"listagg(_lab, '{lit}') WITHIN GROUP (ORDER BY _tok, _lab)")

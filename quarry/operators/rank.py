@@ -14,10 +14,12 @@ funnels the table through one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.sequence import global_rank
+from quarry.operators.sequence import _sort_cols, global_rank
 
 _RANKERS = {"all": F.rank, "dense": F.dense_rank, "first": F.row_number}
 
@@ -79,6 +81,11 @@ def last_per(df: DataFrame, key, order_col: str, ties: str = "all", tie_break=()
     return top_per_group(df, key, [F.col(order_col).desc_nulls_last()], 1, ties, tie_break)
 
 
+def _specs(order_by) -> list[tuple[str, bool]]:
+    """(column, descending) pairs; a bare name is ascending."""
+    return [(c, False) if isinstance(c, str) else tuple(c) for c in ([order_by] if isinstance(order_by, str) else order_by)]
+
+
 def top_k(
     df: DataFrame,
     order_by,
@@ -90,16 +97,30 @@ def top_k(
     """Highest k rows of the whole table.
 
     "first": sort + limit, planned as TakeOrderedAndProject (each task keeps its
-    own k best, the driver merges k x tasks rows). "all"/"dense": rank <= k with
-    a partial WindowGroupLimit before the single final partition.
+    own k best, the driver merges k x tasks rows).
+    "all"/"dense": `order_by` is a list of (column, descending). The sort keys of the
+    first k rows (for "dense": of the first k distinct keys) come from the same kind
+    of sort + limit and are ranked among themselves, at most k rows; the rows that
+    have one of them are kept by a join, so ties beyond k never meet in one task.
+    NULLs sort last in descending and first in ascending order.
     """
-    order = _order(order_by) + _order(tie_break)
     if ties == "first":
+        order = _order(order_by) + _order(tie_break)
         res = df.orderBy(*order).limit(k)
         if out:
             res = res.withColumn(out, F.row_number().over(Window.orderBy(*order)))
         return res
-    return top_per_group(df, [], order_by, k, ties, out=out)
+    specs = _specs(order_by)
+    order = _sort_cols(specs)
+    names = [c for c, _ in specs]
+    keys = df.select(*names)
+    keys = (keys.distinct() if ties == "dense" else keys).orderBy(*order).limit(k)
+    name = out or "_rank"
+    keys = keys.withColumn(name, _RANKERS[ties]().over(Window.orderBy(*order))).distinct()
+    right = keys.select(*[F.col(c).alias(f"_k_{c}") for c in names], name)
+    same = [df[c].eqNullSafe(right[f"_k_{c}"]) for c in names]
+    kept = df.join(F.broadcast(right), same, "inner").drop(*[f"_k_{c}" for c in names])
+    return kept if out else kept.drop(name)
 
 
 def mode_per_group(
@@ -125,18 +146,23 @@ def rank_of(
     grouped: DataFrame,
     group_col: str,
     metric_col: str,
-    value,
+    value: str,
     out: str = "rank",
 ) -> DataFrame:
-    """Rank (descending metric, ties share) of one named group among all groups.
+    """Rank (descending metric, ties share) of one named group (any case) among all groups.
 
-    rank = 1 + number of groups with a larger metric: two scalar subqueries and a
-    filter, no sort of all groups and no single-task window.
+    rank = 1 + number of groups with a larger metric. The group's metric is a scalar
+    subquery over the same grouped result, with no filter below it, so that both read
+    one and the same shuffle; the rest is one global aggregate.
     """
-    target = grouped.filter(F.col(group_col) == F.lit(value))
-    v = target.select(F.max(metric_col)).scalar()
-    larger = grouped.filter(F.col(metric_col) > v).select(F.count(F.lit(1))).scalar()
-    return target.select(group_col, metric_col, (larger + 1).cast("int").alias(out))
+    named = F.lower(F.col(group_col)) == F.lit(value.lower())
+    v = grouped.select(F.max(F.when(named, F.col(metric_col)))).scalar()
+    res = grouped.agg(
+        F.max(F.when(named, F.col(group_col))).alias(group_col),
+        F.max(F.when(named, F.col(metric_col))).alias(metric_col),
+        (F.count_if(F.col(metric_col) > v) + 1).cast("bigint").alias(out),
+    )
+    return res.filter(F.col(group_col).isNotNull())
 
 
 def weighted_rank(
@@ -148,13 +174,15 @@ def weighted_rank(
     tie_desc: str | None = "weight_total",
     out: str = "rnk",
     scale: int = 2,
+    count=None,
 ) -> DataFrame:
     """Entities ranked by weighted mean sum(v*w)/sum(w), with minimum support.
 
     `value_units` is the value in whole 10^-scale units (e.g. cents); the mean is
     rounded half up to `scale` exactly. Columns: key..., n, weight_total,
     weighted_mean, out. Ties on the mean are broken by `tie_desc` (descending)
-    and share a rank beyond that. The rank is computed without a single-task
+    and share a rank beyond that. Rows already reduced name the column of their
+    number of rows in `count` (`weight` is then their total weight). The rank is computed without a single-task
     window (see `global_rank`).
     """
     from quarry.functions.numeric import exact_mean
@@ -163,7 +191,7 @@ def weighted_rank(
     w = F.col(weight) if isinstance(weight, str) else weight
     v = F.col(value_units) if isinstance(value_units, str) else value_units
     agg = df.groupBy(*k).agg(
-        F.count(F.lit(1)).alias("n"),
+        (F.count(F.lit(1)) if count is None else F.sum(count)).alias("n"),
         F.sum(w.cast("decimal(18,0)")).alias("weight_total"),
         F.sum(v.cast("decimal(18,0)") * w.cast("decimal(18,0)")).alias("_vw"),
     )
@@ -173,54 +201,69 @@ def weighted_rank(
     return global_rank(agg, order, out=out)
 
 
+def in_top_categories(df: DataFrame, category: str, k: int, weight: str | None = None) -> DataFrame:
+    """Rows of the `k` categories with most rows (or most `weight`), ties by name.
+
+    The category set is cut with sort + limit (at most k rows by construction) and
+    joined back to the same `df`. Both branches keep the same filters and columns, and
+    the join is an inner one, which is not pushed below an aggregate, so that they
+    read one shuffle. Rows without a category or weight belong to none.
+    """
+    df = df.filter(F.col(category).isNotNull())
+    if weight is not None:
+        df = df.filter(F.col(weight) > 0)
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    top = df.groupBy(category).agg(size.alias("_n")).orderBy(F.desc("_n"), F.asc(category)).limit(k)
+    return df.join(F.broadcast(top.select(category)), category).select(*df.columns)
+
+
 def top_per_group_within_top_categories(
     df: DataFrame,
     category: str,
-    category_order,
     k_categories: int,
     partition_by,
     order_by,
     k: int,
     ties: str = "all",
     out: str | None = None,
+    weight: str | None = None,
+    then: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Top-k rows per group, counted only inside the best `k_categories` categories.
 
-    `category_order` ranks categories (e.g. by count); the category set is cut
-    with sort+limit (bounded by construction: k_categories rows), joined back as
-    a semi join, then ranked per group.
+    `weight` sizes the categories (default: rows); `then` adds what the ranking needs
+    (e.g. a join) after the categories are cut.
     """
-    top_cats = category_order.limit(k_categories).select(category)
-    inside = df.join(F.broadcast(top_cats), category, "left_semi")
-    return top_per_group(inside, partition_by, order_by, k, ties, out=out)
+    inside = in_top_categories(df, category, k_categories, weight)
+    return top_per_group(then(inside) if then else inside, partition_by, order_by, k, ties, out=out)
 
 
 def top_entity_then_partner(
-    lines: DataFrame,
+    pairs: DataFrame,
     entity: str,
+    link: str,
+    partners: DataFrame,
     partner: str,
-    amount: Column,
+    amount: str,
     entity_k: int = 1,
     partner_k: int = 1,
-    amount_col: str = "amount",
 ) -> DataFrame:
     """Best entity by total amount, then its best partner(s) by amount with it.
 
-    Both stages pre-aggregate (partial aggregation before each shuffle); the
-    chosen entity set is at most `entity_k` rows by construction, so it is
-    broadcast for the semi join.
+    `pairs` has one reduced row per (entity, link) with the amount, `partners` maps
+    each link to its partner. The chosen entities are at most `entity_k` rows by
+    construction; only their pairs meet the partners.
     """
-    per_entity = lines.groupBy(entity).agg(F.sum(amount).alias("_total"))
-    best = per_entity.orderBy(F.desc("_total"), F.asc(entity)).limit(entity_k).select(entity)
-    chosen = lines.join(F.broadcast(best), entity, "inner")
-    pairs = chosen.groupBy(entity, partner).agg(F.sum(amount).alias(amount_col))
-    return top_per_group(
-        pairs, entity, [F.col(amount_col).desc()], partner_k, "first", [partner]
-    )
+    # the same filters in both branches, and an inner join, so that they read one shuffle
+    pairs = pairs.filter(F.col(entity).isNotNull() & F.col(link).isNotNull())
+    best = pairs.groupBy(entity).agg(F.sum(amount).alias("_total")).orderBy(F.desc("_total"), F.asc(entity)).limit(entity_k)
+    chosen = pairs.join(F.broadcast(best.select(entity)), entity).join(partners, link)
+    per_partner = chosen.groupBy(entity, partner).agg(F.sum(amount).alias(amount))
+    return top_per_group(per_partner, entity, [F.col(amount).desc()], partner_k, "first", [partner])
 
 
 __all__ = [
-    "first_per", "global_rank", "last_per", "mode_per_group", "rank_of", "rank_within",
+    "first_per", "global_rank", "in_top_categories", "last_per", "mode_per_group", "rank_of", "rank_within",
     "top_entity_then_partner", "top_k", "top_per_group", "top_per_group_within_top_categories",
     "weighted_rank",
 ]

@@ -15,44 +15,25 @@ two passes instead:
   4. a window partitioned by range partition adds the local prefix to the offset.
 
 Each range partition holds a balanced slice of distinct keys, so no task sees
-more than its share.
+more than its share. The input itself is pinned once and read twice (for its keys
+and for the join back), so nothing upstream runs a second time. There is one path,
+whatever the size of the input.
 
-Behind a size check the operators take a shorter road: when the input is proven
-to hold at most `small_rows` rows (a bounded `limit(n + 1)` head, cached and
-counted), a single ordered window over that head is both correct and cheapest;
-beyond the bound the head is released and the two-pass prefix runs.
+Pinned tables are checkpoints in `spark.checkpoint.dir`; with
+`spark.cleaner.referenceTracking.cleanCheckpoints` (set by `build_session`) Spark
+deletes them once the result that reads them is no longer referenced.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
 
 _PART = "_range_part"
-SMALL_ROWS = 500_000
-
-
-def _small_head(df: DataFrame, small_rows: int | None) -> DataFrame | None:
-    """The whole of `df` if it is proven to hold at most `small_rows` rows
-    (default: the module's SMALL_ROWS at call time), else None.
-
-    Only `df.limit(n + 1)` is cached: at most n + 1 rows, whatever the input.
-    When the input is small that cached head *is* the input, so it is computed
-    once; when it is not, the head is released at once and the caller takes
-    the distributed path.
-    """
-    n = SMALL_ROWS if small_rows is None else small_rows
-    if n <= 0:
-        return None
-    head = df.limit(n + 1).persist()
-    if head.count() <= n:
-        return head
-    head.unpersist()
-    return None
-
-
 def _sort_cols(order_by: list[tuple[str, bool]]):
     # descending keys put NULLs last, ascending keys put NULLs first (SQL default
     # of the studied engine and of Spark)
@@ -62,6 +43,12 @@ def _sort_cols(order_by: list[tuple[str, bool]]):
     ]
 
 
+def _pinned(df: DataFrame) -> DataFrame:
+    """`df` computed once, in the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -69,13 +56,9 @@ def _partitions(df: DataFrame) -> int:
 def _range_split(df: DataFrame, partition_by: list[str], order) -> DataFrame:
     """Range-partition `df` on (partition_by, order), tag each row with its range
     partition and pin the split with a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
     group_order = [F.col(c).asc_nulls_first() for c in partition_by]
-    return (
-        df.repartitionByRange(_partitions(df), *group_order, *order)
-        .withColumn(_PART, F.spark_partition_id())
-        .checkpoint(eager=True)
-    )
+    split = df.repartitionByRange(_partitions(df), *group_order, *order)
+    return _pinned(split.withColumn(_PART, F.spark_partition_id()))
 
 
 def exclusive_prefix(
@@ -124,41 +107,37 @@ def global_rank(
     order_by: list[tuple[str, bool]],
     method: str = "rank",
     out: str = "rnk",
-    small_rows: int | None = None,
     partition_by: list[str] | tuple = (),
 ) -> DataFrame:
     """RANK / DENSE_RANK over `order_by` [(column, descending)], over the whole
     table or within each `partition_by` group.
 
     Equal keys share a rank, as the SQL functions do. The result keeps every
-    input row and adds `out` (INT). Unless the input is proven small, no task
-    sorts more than its range slice, however large one group is.
+    input row and adds `out` (BIGINT). No task sorts more than its range slice,
+    however large one group is.
     """
     if method not in ("rank", "dense_rank"):
         raise ValueError("global_rank supports 'rank' and 'dense_rank'")
     groups = list(partition_by)
-    head = _small_head(df, small_rows)
-    if head is not None:
-        fn = F.rank if method == "rank" else F.dense_rank
-        return head.withColumn(out, fn().over(Window.partitionBy(*groups).orderBy(*_sort_cols(order_by))))
     keys = [c for c, _ in order_by]
+    df = _pinned(df)
     counts = df.groupBy(*groups, *keys).agg(F.count(F.lit(1)).alias("_n"))
     if method == "dense_rank":
         counts = counts.withColumn("_n", F.lit(1).cast("bigint"))
     before = exclusive_prefix(counts, order_by, ["_n"], groups).select(
-        *groups, *keys, (F.col("_before__n") + 1).cast("int").alias(out)
+        *groups, *keys, (F.col("_before__n") + 1).cast("bigint").alias(out)
     )
     return _null_safe_join(df, before, groups + keys)
 
 
 def group_rank(
     df: DataFrame, partition_by, order_by: list[tuple[str, bool]], method: str = "rank",
-    out: str = "rnk", small_rows: int | None = None,
+    out: str = "rnk",
 ) -> DataFrame:
     """Full per-group RANK / DENSE_RANK (no top-k cut), safe for a group that
     holds a large share of all rows. See `global_rank`."""
     groups = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-    return global_rank(df, order_by, method, out, small_rows, groups)
+    return global_rank(df, order_by, method, out, groups)
 
 
 def cumulative(
@@ -168,33 +147,37 @@ def cumulative(
     total_col: str = "running_total",
     mean_col: str = "moving_avg",
     mean_scale: int | None = 2,
-    small_rows: int | None = None,
+    units_scale: int | None = None,
 ) -> DataFrame:
     """Running total and cumulative mean of `metric` in `order_by` order.
 
     RANGE semantics of an ordered window with no frame: a row's total includes
     every row with an equal sort key (peers). The mean is total / rows so far;
     with `mean_scale` it is rounded half up exactly from the decimal total.
+
+    With `units_scale` the metric is in whole 10^-units_scale units (e.g. means that
+    must not be rounded before they are summed); the total is summed in them and
+    rounded half up to `mean_scale` last, as is the mean.
     """
-    from quarry.functions.numeric import exact_mean
+    from quarry.functions.numeric import exact_mean, round_ratio, units_to_decimal
 
     def finish(res: DataFrame) -> DataFrame:
         # SUM and AVG skip NULL metrics: the mean divides by the non-NULL count,
         # and a total over no non-NULL value is NULL.
         total = F.when(F.col("_cnt") > 0, F.col(total_col))
-        if mean_scale is None:
+        if units_scale is not None:
+            step = F.lit(Decimal(10 ** (units_scale - mean_scale))).cast("decimal(38,0)")
+            mean = exact_mean(total, F.col("_cnt").cast("decimal(20,0)") * step, mean_scale)
+            total = units_to_decimal(round_ratio(total, step), mean_scale)
+        elif mean_scale is None:
             mean = total / F.col("_cnt")
         else:
             units = (total * F.lit(10**mean_scale)).cast("decimal(38,0)")
             mean = exact_mean(units, F.col("_cnt"), mean_scale)
-        return res.withColumn(total_col, total).withColumn(mean_col, mean).drop("_cnt")
-
-    head = _small_head(df, small_rows)
-    if head is not None:
-        w = Window.orderBy(*_sort_cols(order_by)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return finish(head.withColumn(total_col, F.sum(metric).over(w)).withColumn("_cnt", F.count(metric).over(w)))
+        return res.withColumn(mean_col, mean).withColumn(total_col, total).drop("_cnt")
 
     keys = [c for c, _ in order_by]
+    df = _pinned(df)
     per_key = df.groupBy(*keys).agg(
         F.coalesce(F.sum(metric), F.lit(0)).alias("_ksum"), F.count(metric).alias("_kcnt")
     )
@@ -213,23 +196,18 @@ def next_value(
     order_by: list[tuple[str, bool]],
     value: str,
     out: str = "next_value",
-    small_rows: int | None = None,
 ) -> DataFrame:
     """LEAD(value, 1) OVER (PARTITION BY key ORDER BY order_by): each row gets
     the `value` of the entity's next row, NULL for the last.
 
     `order_by` should be a total order within the entity (add a tie-break
-    column), as for any LEAD. Unless the input is proven small, the rows are
-    range-partitioned on (key, order) so a large entity is split across tasks:
-    LEAD runs inside each range slice, and the last row of each slice takes the
+    column), as for any LEAD. The rows are range-partitioned on (key, order), so a
+    large entity is split across tasks: LEAD runs inside each range slice, and the last row of each slice takes the
     first value of the entity's next slice (a window over slices, at most one
     row per range partition per entity), joined to those last rows only.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = _sort_cols(order_by)
-    head = _small_head(df, small_rows)
-    if head is not None:
-        return head.withColumn(out, F.lead(value, 1).over(Window.partitionBy(*keys).orderBy(*order)))
     ranged = _range_split(df, keys, order)
     w = Window.partitionBy(*keys, _PART).orderBy(*order)
     local = ranged.select(
@@ -249,13 +227,13 @@ def next_value(
 
 
 def event_gaps(
-    df: DataFrame, key, date_col: str, tie_break=(), out: str = "next_date", small_rows: int | None = None,
+    df: DataFrame, key, date_col: str, tie_break=(), out: str = "next_date",
 ) -> DataFrame:
     """Each event with the date of the entity's next event (LEAD 1 over date and
     the tie-break columns); NULL for the last. Distributed via `next_value`.
     For summaries use `gap_summary`, which needs no ordering at all."""
     order = [(date_col, False)] + [(c, False) for c in tie_break]
-    return next_value(df, key, order, date_col, out, small_rows)
+    return next_value(df, key, order, date_col, out)
 
 
 def gap_summary(df: DataFrame, key, date_col: str, scale: int = 2, extra_aggs: dict | None = None) -> DataFrame:

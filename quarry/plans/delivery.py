@@ -152,7 +152,7 @@ def standard_ingredients(t) -> DataFrame:
     """PC1: topping names of each recipe, in topping-id order."""
     decoded = lists.decode_list(
         t["pizza_recipes"], "pizza_id", "toppings", t["pizza_toppings"], "topping_id", "topping_name",
-        out="toppings", dim_max_rows=10_000,
+        out="toppings",
     )
     return decoded.join(t["pizza_names"], "pizza_id").select("pizza_name", "toppings")
 

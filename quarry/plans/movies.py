@@ -8,12 +8,13 @@ grouped by id with the name carried (namesakes stay apart).
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import contains_ci, has_many, in_ci, matches_ci, money_amount, money_currency
-from quarry.functions.numeric import cents, exact_mean
+from quarry.functions.numeric import cents, exact_mean, round_ratio
 from quarry.operators import profile, rank, rules, sequence, summary
 
 # ---- fixed values: labels of the rating classes ----
@@ -118,7 +119,8 @@ def top_hit_company(t, min_rating: float = 8, ties: str = "first") -> DataFrame:
     """RM13: production company with the most movies rated above `min_rating`."""
     hits = _rated(t).filter((F.col("avg_rating") > min_rating) & F.col("production_company").isNotNull())
     counts = hits.groupBy("production_company").agg(F.count("id").alias("movie_count"))
-    return rank.top_k(counts, [F.desc("movie_count")], 1, ties, ["production_company"], out="prod_company_rank")
+    order = [F.desc("movie_count")] if ties == "first" else [("movie_count", True)]
+    return rank.top_k(counts, order, 1, ties, ["production_company"], out="prod_company_rank")
 
 
 def genre_counts_filtered(t, country: str = "USA", month: int = 3, year: int = 2017, min_votes: int = 1000) -> DataFrame:
@@ -169,12 +171,10 @@ def top_directors_in_top_genres(t, min_rating: float = 8, k_genres: int = 3, k:
     `k_genres` genres with most such movies; a movie counts once per top genre."""
     good = t["ratings"].filter(F.col("avg_rating") > min_rating).select("movie_id")
     g = t["genre"].join(good, "movie_id", "left_semi")
-    genre_order = g.groupBy("genre").agg(F.count("movie_id").alias("_n")).orderBy(F.desc("_n"), F.asc("genre"))
-    d = _people(t, "director_mapping").join(good, "movie_id", "left_semi").join(g, "movie_id")
-    top_g = genre_order.limit(k_genres).select("genre")
-    inside = d.join(F.broadcast(top_g), "genre", "left_semi")
+    top_g = rank.in_top_categories(g, "genre", k_genres)
+    inside = _people(t, "director_mapping").join(good, "movie_id", "left_semi").join(top_g, "movie_id")
     per_director = inside.groupBy("name_id", "name").agg(F.count("movie_id").alias("movie_count"))
-    res = rank.top_k(per_director, [F.desc("movie_count")], k, "all", out="director_rank")
+    res = rank.top_k(per_director, [("movie_count", True)], k, "all", out="director_rank")
     return rank.top_k(res, [F.desc("movie_count")], k, "first", ["name_id"]).select(
         "name_id", F.col("name").alias("director_name"), "movie_count"
     )
@@ -196,7 +196,7 @@ def top_companies_by_votes(t, k: int = 3, drop_null: bool = False) -> DataFrame:
     if drop_null:
         rows = rows.filter(F.col("production_company").isNotNull())
     sums = rows.groupBy("production_company").agg(F.sum("total_votes").alias("vote_count"))
-    return rank.top_k(sums, [F.desc("vote_count")], k, "all", out="prod_comp_rank")
+    return rank.top_k(sums, [("vote_count", True)], k, "all", out="prod_comp_rank")
 
 
 def _weighted_people(t, category: str, where, min_movies: int) -> DataFrame:
@@ -241,28 +241,33 @@ def actress_rank(
 
 def classify(t, genre: str = "Thriller") -> DataFrame:
     """RM24: rating class of each movie of one genre; NULL rating is a flop."""
-    rows = _rated(t).join(t["genre"], F.col("id") == F.col("movie_id")).filter(F.col("genre") == genre)
+    rows = _rated(t).join(t["genre"], F.col("id") == F.col("movie_id")).filter(in_ci("genre", [genre]))
     return rows.select("title", "avg_rating", rules.bin_by_thresholds("avg_rating", RATING_CLASSES, RATING_DEFAULT).alias("movie_category"))
 
 
 def genre_running_duration(t) -> DataFrame:
-    """RM25: mean duration per genre, running total and cumulative mean in genre order."""
-    means = mean_duration_per_genre(t)
-    return sequence.cumulative(means, [("genre", False)], "avg_duration", "running_total_duration", "moving_avg_duration")
+    """RM25: mean duration per genre, with running total and cumulative mean of the
+    unrounded means in genre order."""
+    sums = _with_genre(t).groupBy("genre").agg(F.sum("duration").alias("_s"), F.count("duration").alias("_n"))
+    means = sums.select(
+        "genre", exact_mean(F.col("_s").cast("decimal(20,0)") * 100, "_n").alias("avg_duration"),
+        round_ratio(F.col("_s").cast("decimal(20,0)") * F.lit(Decimal(10**10)), "_n").alias("_mean_units"),
+    )
+    res = sequence.cumulative(means, [("genre", False)], "_mean_units", "running_total_duration", "moving_avg_duration", units_scale=10)
+    return res.drop("_mean_units")
 
 
 def top_grossing_in_top_genres(t, k_genres: int = 3, k: int = 5) -> DataFrame:
-    """RM26: per year, the k highest-grossing movies (dense rank) among the top
-    genres by movie count; gross text is parsed to amount + currency first."""
-    g = _with_genre(t)
-    genre_order = g.groupBy("genre").agg(F.count("id").alias("_n")).orderBy(F.desc("_n"), F.asc("genre"))
-    rows = g.select(
+    """RM26: per year and currency, the k highest-grossing movies (dense rank) among
+    the top genres by movie count. Gross text is parsed to amount + currency first;
+    amounts of different currencies are not ranked against each other."""
+    rows = _with_genre(t).select(
         "genre", "year", F.col("title").alias("movie_name"),
         money_currency("worlwide_gross_income").alias("currency"),
         money_amount("worlwide_gross_income").alias("worldwide_gross"),
     )
     return rank.top_per_group_within_top_categories(
-        rows, "genre", genre_order, k_genres, "year", [F.col("worldwide_gross").desc_nulls_last()], k, "dense", "movie_rank"
+        rows, "genre", k_genres, ["year", "currency"], [F.col("worldwide_gross").desc_nulls_last()], k, "dense", "movie_rank"
     )
 
 
@@ -272,7 +277,7 @@ def top_multilingual_companies(t, min_median: int = 8, k: int = 2) -> DataFrame:
         (F.col("median_rating") >= min_median) & F.col("production_company").isNotNull() & has_many("languages", ",")
     )
     counts = rows.groupBy("production_company").agg(F.count("id").alias("movie_count"))
-    return rank.top_k(counts, [F.desc("movie_count")], k, "first", ["production_company"])
+    return rank.top_k(counts, [F.desc("movie_count")], k, "first", ["production_company"], out="prod_comp_rank")
 
 
 def top_actresses_in_genre(t, genre: str = "drama", min_rating: float = 8, k: int = 3) -> DataFrame:
@@ -288,7 +293,7 @@ def top_actresses_in_genre(t, genre: str = "drama", min_rating: float = 8, k: in
     )
     agg = agg.select("name_id", F.col("name").alias("actress_name"), "total_votes", "movie_count",
                      exact_mean("_vw", "total_votes").alias("actress_avg_rating"))
-    return rank.top_k(agg, [F.desc("movie_count")], k, "first", [F.desc("actress_avg_rating"), F.asc("name_id")])
+    return rank.top_k(agg, [F.desc("movie_count")], k, "first", [F.desc("actress_avg_rating"), F.asc("name_id")], out="actress_rank")
 
 
 def director_gaps(t, k: int = 9) -> DataFrame:

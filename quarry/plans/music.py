@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import in_ci
 from quarry.operators import rank, summary
 
 
@@ -58,7 +59,7 @@ def _genre_lines(t) -> DataFrame:
 
 def genre_listeners(t, genre: str = "Rock") -> DataFrame:
     """MS5: distinct listeners of one genre (email, name, genre)."""
-    lines = _genre_lines(t).filter(F.col("genre") == genre)
+    lines = _genre_lines(t).filter(in_ci("genre", [genre]))
     c = t["customer"].select("customer_id", "email", _full_name().alias("customer_name"))
     return summary.segment_members(lines.join(c, "customer_id"), F.lit(True), ["email", "customer_name", "genre"])
 
@@ -67,12 +68,12 @@ def genre_listener_count(t, genre: str = "Rock") -> DataFrame:
     """MS6: their number."""
     c = t["customer"].select("customer_id", "email")
     lines = _genre_lines(t).join(c, "customer_id")
-    return summary.segment_count(lines, F.col("genre") == genre, "email", "number_of_customers")
+    return summary.segment_count(lines, in_ci("genre", [genre]), "email", "number_of_customers")
 
 
 def artists_by_genre_tracks(t, genre: str = "Rock", k: int | None = None) -> DataFrame:
     """MS7: artists by number of tracks in one genre (LIKE without wildcard = equality)."""
-    g = t["genre"].filter(F.col("name") == genre).select("genre_id")
+    g = t["genre"].filter(in_ci("name", [genre])).select("genre_id")
     tr = t["track"].join(g, "genre_id", "left_semi").join(t["album2"], "album_id")
     counts = tr.groupBy("artist_id").agg(F.count(F.lit(1)).alias("number_of_songs"))
     named = counts.join(t["artist"], "artist_id").select("artist_id", "name", "number_of_songs")
@@ -89,10 +90,11 @@ def long_tracks(t) -> DataFrame:
 def best_artist_top_customer(t) -> DataFrame:
     """MS9: best-selling artist, then the customer who spent most on it."""
     tr = t["track"].select("track_id", "album_id").join(t["album2"], "album_id")
-    lines = (t["invoice_line"].join(tr, "track_id")
-             .join(t["invoice"].select("invoice_id", "customer_id"), "invoice_id")
-             .withColumn("amount", F.col("unit_price") * F.col("quantity")))
-    best = rank.top_entity_then_partner(lines, "artist_id", "customer_id", F.col("amount"), amount_col="spends")
+    sold = t["invoice_line"].join(tr, "track_id").groupBy("artist_id", "invoice_id").agg(
+        F.sum(F.col("unit_price") * F.col("quantity")).alias("spends")
+    )
+    buyers = t["invoice"].select("invoice_id", "customer_id")
+    best = rank.top_entity_then_partner(sold, "artist_id", "invoice_id", buyers, "customer_id", "spends")
     c = t["customer"].select("customer_id", _full_name().alias("customer_name"))
     a = t["artist"].select("artist_id", F.col("name").alias("artist_name"))
     return best.join(c, "customer_id").join(a, "artist_id").select("customer_id", "customer_name", "artist_name", "spends")

@@ -5,7 +5,7 @@ the plain line-grain joins and SQL window functions (RANK, DENSE_RANK,
 ROW_NUMBER, LEAD, running SUM) that the Spark side replaces with pre-aggregation,
 partial top-k and prefix sums. Column names and types match the Spark results:
 money is DECIMAL(18,2) per row and DECIMAL(38,2) in totals, counts are BIGINT,
-ranks and calendar parts INTEGER, and means are rounded half up exactly with
+ranks over whole tables or full groups BIGINT, top-k ranks and calendar parts INTEGER, and means are rounded half up exactly with
 integer arithmetic (DuckDB's AVG and `/` return DOUBLE).
 """
 
@@ -52,7 +52,7 @@ DIRTY_BRAND = """dirty AS (
         WHEN p_type = 'LARGE' THEN 'NaN' ELSE p_brand END AS raw_brand FROM part)"""
 
 ENCODED = """vocab AS (
-    SELECT word, CAST(DENSE_RANK() OVER (ORDER BY word) AS INTEGER) AS word_id
+    SELECT word, DENSE_RANK() OVER (ORDER BY word) AS word_id
     FROM (SELECT DISTINCT trim(UNNEST(string_split(p_name, ' '))) AS word FROM part) WHERE word <> ''),
 toks AS (SELECT p_partkey, trim(UNNEST(string_split(p_name, ' '))) AS word FROM part),
 enc AS (
@@ -207,7 +207,7 @@ SQL: dict[str, str] = {
         WHERE token <> ''""",
     "decode_list": f"""
         WITH {ENCODED},
-        tok AS (SELECT p_partkey, CAST(trim(UNNEST(string_split(word_ids, ','))) AS INTEGER) AS tok FROM enc)
+        tok AS (SELECT p_partkey, CAST(trim(UNNEST(string_split(word_ids, ','))) AS BIGINT) AS tok FROM enc)
         SELECT p_partkey, string_agg(word, ', ' ORDER BY tok, word) AS words
         FROM tok JOIN vocab ON tok = word_id GROUP BY p_partkey""",
     "token_frequency": """
@@ -277,22 +277,16 @@ SQL: dict[str, str] = {
         SELECT n_name, o_custkey, CAST(spent AS DECIMAL(38,2)) AS spent
         FROM r JOIN nation ON c_nationkey = n_nationkey WHERE rn = 1""",
     # ---------------------------------------------------------- movie analogues
-    "row_counts": """
-        SELECT 'region' AS table_name, COUNT(*) AS row_count FROM region
-        UNION ALL SELECT 'nation', COUNT(*) FROM nation
-        UNION ALL SELECT 'customer', COUNT(*) FROM customer
-        UNION ALL SELECT 'supplier', COUNT(*) FROM supplier
-        UNION ALL SELECT 'part', COUNT(*) FROM part
-        UNION ALL SELECT 'orders', COUNT(*) FROM orders
-        UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem
-        UNION ALL SELECT 'events', COUNT(*) FROM events""",
-    "null_profile": """
-        SELECT COUNT(*) FILTER (WHERE o_orderkey IS NULL) AS o_orderkey_nulls,
-               COUNT(*) FILTER (WHERE l_orderkey IS NULL) AS l_orderkey_nulls,
-               COUNT(*) FILTER (WHERE l_partkey IS NULL) AS l_partkey_nulls,
-               COUNT(*) FILTER (WHERE l_quantity IS NULL) AS l_quantity_nulls,
-               COUNT(*) FILTER (WHERE l_returnflag IS NULL) AS l_returnflag_nulls
-        FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""",
+    "row_counts": "\n        UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}"
+        for t in ("region nation customer supplier part orders lineitem events documents "
+                  "embeddings pages benchmark labels conversations").split()),
+    "null_profile": "SELECT " + ", ".join(
+        f"COUNT(*) FILTER (WHERE {c} IS NULL) AS {c}_nulls"
+        for c in ("o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority "
+                  "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
+                  "l_returnflag l_linestatus l_shipdate").split()
+    ) + " FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey",
     "null_profile_cleaned": f"""
         WITH {DIRTY_BRAND},
         c AS (SELECT p_partkey, p_type,
@@ -332,12 +326,12 @@ SQL: dict[str, str] = {
     "rank_of_one": """
         WITH c AS (SELECT p_brand, COUNT(*) AS line_count FROM lineitem JOIN part ON l_partkey = p_partkey
                    GROUP BY p_brand),
-        r AS (SELECT *, CAST(RANK() OVER (ORDER BY line_count DESC) AS INTEGER) AS brand_rank FROM c)
+        r AS (SELECT *, RANK() OVER (ORDER BY line_count DESC) AS brand_rank FROM c)
         SELECT p_brand, line_count, brand_rank FROM r WHERE p_brand = 'Brand#7'""",
     "rank_all_groups": """
         WITH c AS (SELECT p_brand, COUNT(*) AS line_count FROM lineitem JOIN part ON l_partkey = p_partkey
                    GROUP BY p_brand)
-        SELECT p_brand, line_count, CAST(RANK() OVER (ORDER BY line_count DESC) AS INTEGER) AS brand_rank FROM c""",
+        SELECT p_brand, line_count, RANK() OVER (ORDER BY line_count DESC) AS brand_rank FROM c""",
     "top10_rank": f"""
         SELECT p_partkey, {_money('p_retailprice')} AS price,
                CAST(RANK() OVER (ORDER BY p_retailprice DESC) AS INTEGER) AS price_rank
@@ -376,7 +370,7 @@ SQL: dict[str, str] = {
             GROUP BY l_suppkey HAVING COUNT(*) >= 400),
         m AS (SELECT l_suppkey, n, weight_total, {_mean('vw', 'weight_total')} AS weighted_mean FROM a)
         SELECT l_suppkey, n, weight_total, weighted_mean,
-               CAST(RANK() OVER (ORDER BY weighted_mean DESC, weight_total DESC) AS INTEGER) AS supp_rank
+               RANK() OVER (ORDER BY weighted_mean DESC, weight_total DESC) AS supp_rank
         FROM m""",
     "weighted_rank_by_count": f"""
         WITH a AS (
@@ -388,18 +382,19 @@ SQL: dict[str, str] = {
         r AS (SELECT *, CAST(RANK() OVER (ORDER BY n DESC, weighted_mean DESC) AS INTEGER) AS supp_rank FROM m)
         SELECT l_suppkey, n, weighted_mean, supp_rank FROM r WHERE supp_rank <= 3""",
     "bins": """
-        SELECT p_partkey, CASE WHEN p_retailprice > 1800 THEN 'Superhit'
-            WHEN p_retailprice BETWEEN 1400 AND 1800 THEN 'Hit'
-            WHEN p_retailprice BETWEEN 1000 AND 1400 THEN 'One-time-watch'
-            ELSE 'Flop' END AS price_class
+        SELECT p_partkey, CASE WHEN p_retailprice > 1800 THEN 'luxury'
+            WHEN p_retailprice BETWEEN 1400 AND 1800 THEN 'upper'
+            WHEN p_retailprice BETWEEN 1000 AND 1400 THEN 'middle'
+            ELSE 'basic' END AS price_class
         FROM part""",
+    # the means that are summed are not rounded: the running total of AVG, rounded last
     "cumulative": f"""
-        WITH {MEAN_PER_TYPE},
-        w AS (SELECT p_type, avg_price,
-                     SUM(avg_price) OVER (ORDER BY p_type) AS rt,
-                     COUNT(*) OVER (ORDER BY p_type) AS cnt FROM g)
-        SELECT p_type, avg_price, CAST(rt AS DECIMAL(38,2)) AS running_total,
-               {_mean('rt * 100', 'cnt')} AS moving_avg
+        WITH m AS (SELECT p_type, SUM({_cents('l_extendedprice')}) AS s, COUNT(*) AS n
+                   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type),
+        u AS (SELECT p_type, {_mean('s', 'n')} AS avg_price, {_half_up('CAST(s AS HUGEINT) * 100000000', 'n')} AS units FROM m),
+        w AS (SELECT *, SUM(units) OVER (ORDER BY p_type) AS rt, COUNT(*) OVER (ORDER BY p_type) AS cnt FROM u)
+        SELECT p_type, avg_price, {_mean('rt', '100000000')} AS running_total,
+               {_mean('rt', 'cnt * 100000000')} AS moving_avg
         FROM w""",
     "gap_summary": f"""
         WITH g AS (
@@ -418,15 +413,46 @@ SQL: dict[str, str] = {
         SELECT o_orderkey, COUNT(l_orderkey) AS n_lines, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_qty
         FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
     # ---------------------------------------------------------- ordered analytics at full scale
+    "best_nation": f"""
+        SELECT n_name, CAST(SUM({_money('o_totalprice')}) AS DECIMAL(38,2)) AS order_total
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+        GROUP BY n_name ORDER BY order_total DESC, n_name LIMIT 1""",
+    "best_customer": f"""
+        SELECT c_custkey, c_name, CAST(SUM({_money('o_totalprice')}) AS DECIMAL(38,2)) AS order_total
+        FROM orders JOIN customer ON o_custkey = c_custkey
+        GROUP BY c_custkey, c_name ORDER BY order_total DESC, c_custkey LIMIT 1""",
+    "top_type_per_nation": """
+        WITH c AS (SELECT n_name, p_type, COUNT(*) AS purchases
+                   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+                   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+                   GROUP BY n_name, p_type)
+        SELECT n_name, p_type, purchases FROM c
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY n_name ORDER BY purchases DESC, p_type) = 1""",
+    "top_type_in_year": """
+        SELECT p_type, COUNT(*) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey
+        JOIN orders ON l_orderkey = o_orderkey WHERE year(o_orderdate) = 1997
+        GROUP BY p_type ORDER BY lines DESC, p_type LIMIT 1""",
+    "orders_per_size": """
+        WITH s AS (SELECT o_orderkey, COUNT(*) AS n_lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+        SELECT n_lines, COUNT(*) AS n_orders FROM s GROUP BY n_lines""",
+    "top_suppliers_by_hits": f"""
+        SELECT l_suppkey, s_name, COUNT(*) AS hit_count FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+        WHERE {HIT} GROUP BY 1, 2 ORDER BY hit_count DESC, l_suppkey LIMIT 2""",
+    "typed_from_text": f"""
+        SELECT o_orderkey AS order_id,
+               CASE WHEN o_orderstatus = 'P' THEN NULL ELSE {_money('o_totalprice')} END AS price,
+               CAST(o_orderdate AS DATE) AS order_day
+        FROM orders""",
+    "staged_statuses": "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus",
     "next_event": """
         SELECT user_id, event_id, ts, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts
         FROM events""",
     "customer_spend_rank": f"""
         WITH s AS (SELECT o_custkey, {TOTAL_PRICE} AS total_spent FROM {LO} GROUP BY o_custkey)
-        SELECT o_custkey, total_spent, CAST(RANK() OVER (ORDER BY total_spent DESC) AS INTEGER) AS spend_rank FROM s""",
+        SELECT o_custkey, total_spent, RANK() OVER (ORDER BY total_spent DESC) AS spend_rank FROM s""",
     "order_rank_within_customer": f"""
         SELECT o_orderkey, o_custkey, {_money('o_totalprice')} AS price,
-               CAST(RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS INTEGER) AS price_rank
+               RANK() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS price_rank
         FROM orders""",
     "running_daily_revenue": f"""
         WITH d AS (SELECT CAST(o_orderdate AS DATE) AS order_day,

@@ -62,7 +62,7 @@ def totals_before_joining(t) -> DataFrame:
     """DD8: items and spend before joining."""
     return anchor.totals_before(
         _sold(t), t["members"], "customer_id", "order_date", "join_date",
-        {"total_items": F.count("product_id"), "amount_spent": F.sum("price")},
+        "total_items", {"amount_spent": "price"},
     )
 
 
@@ -74,7 +74,8 @@ def points(t) -> DataFrame:
 def january_points(t, cutoff: dt.date = dt.date(2021, 1, 31)) -> DataFrame:
     """DD10: members only; 2x on everything during the first week from the join
     day (inclusive), sushi 2x otherwise; purchases up to the cutoff."""
-    members = anchor.with_anchor(_sold(t), t["members"], "customer_id")
+    days = anchor.per_time(_sold(t), ["customer_id", "order_date", "product_name"], "n", {"price": "price"})
+    members = anchor.with_anchor(days, t["members"], "customer_id")
     return rules.points_with_bonus_window(
         members, "customer_id", "price", "order_date", "join_date", 7, cutoff, 10, 2,
         "product_name", {"sushi": 2}, "member_points",

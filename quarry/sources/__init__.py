@@ -4,7 +4,6 @@ from quarry.sources.tables import (
     DRIVER_TABLES,
     append_rows,
     apply_schema,
-    forget_tables,
     load,
     read_text_table,
     save,
@@ -14,5 +13,5 @@ from quarry.sources.tables import (
     table,
 )
 
-__all__ = ["DRIVER_TABLES", "append_rows", "apply_schema", "forget_tables", "load", "read_text_table", "save", "save_bucketed", "stage",
+__all__ = ["DRIVER_TABLES", "append_rows", "apply_schema", "load", "read_text_table", "save", "save_bucketed", "stage",
            "stage_all", "table"]

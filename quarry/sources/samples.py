@@ -29,9 +29,9 @@ MUSIC_SCHEMAS = {
 
 MUSIC_ROWS = {
     "employee": [
-        ("General Manager", "Adams", "Andrew", "L6"),
-        ("Sales Manager", "Edwards", "Nancy", "L4"),
-        ("Sales Support Agent", "Peacock", "Jane", "L1"),
+        ("General Manager", "Okafor", "Lena", "L6"),
+        ("Sales Manager", "Brandt", "Olaf", "L4"),
+        ("Sales Support Agent", "Moreau", "Cleo", "L1"),
     ],
     "customer": [
         (1, "Ana", "Silva", "ana@x.org", "Brazil"),
@@ -72,8 +72,8 @@ MUSIC_ROWS = {
         (12, 4, D("0.99"), 2),
     ],
     "track": [
-        (1, 1, 1, "Thunder", 300000),
-        (2, 1, 1, "Highway", 240000),
+        (1, 1, 1, "Rain Drums", 300000),
+        (2, 1, 1, "Long Lane", 240000),
         (3, 2, 1, "Back Road", 200000),
         (4, 3, 2, "Iron Sky", 260000),
         (5, 2, 1, "Long Night", 400000),
@@ -82,7 +82,7 @@ MUSIC_ROWS = {
         (8, 4, 3, "Blue Note", 200000),
     ],
     "album2": [(1, 1), (2, 2), (3, 3), (4, 3)],
-    "artist": [(1, "AC/DC"), (2, "Aerosmith"), (3, "Metallica")],
+    "artist": [(1, "Copper Kites"), (2, "North Ferry"), (3, "The Lanterns")],
     "genre": [(1, "Rock"), (2, "Metal"), (3, "Jazz")],
 }
 
@@ -105,9 +105,9 @@ def _d(y, m, d):
 
 MOVIE_ROWS = {
     "movie": [
-        ("tt01", "The Heist", 2017, _d(2017, 3, 10), 120, "USA", "$ 103244842", "English", "Marvel Studios"),
-        ("tt02", "Theeran", 2017, _d(2017, 3, 22), 150, "India", "INR 500000", "Tamil, Hindi", "Dream Factory"),
-        ("tt03", "Other Side", 2018, _d(2018, 5, 1), 95, "USA, India", "$ 9", "English, Hindi", "Marvel Studios"),
+        ("tt01", "The Heist", 2017, _d(2017, 3, 10), 120, "USA", "$ 91000350", "English", "Harbour Films"),
+        ("tt02", "Thermal", 2017, _d(2017, 3, 22), 150, "India", "INR 500000", "Tamil, Hindi", "Dream Factory"),
+        ("tt03", "Other Side", 2018, _d(2018, 5, 1), 95, "USA, India", "$ 9", "English, Hindi", "Harbour Films"),
         ("tt04", "the quiet", 2019, _d(2019, 1, 15), 101, "Germany", None, "German", None),
         ("tt05", "Blue Sky", 2019, _d(2019, 3, 3), 88, "Italy", "$ 2500", "Italian", "Rai"),
         ("tt06", "Red River", 2019, _d(2019, 7, 19), 132, "india", "$ 7000000", "Hindi", "Dream Factory"),
@@ -115,7 +115,7 @@ MOVIE_ROWS = {
         ("tt08", "Lost Key", 2017, _d(2017, 12, 25), 99, "UK", "$ 120", "English", "Warner"),
         ("tt09", "Night Train", 2019, _d(2019, 3, 30), 140, "India, USA", "$ 88888", "Hindi, English", "Dream Factory"),
         ("tt10", "Paper Moon", 2018, _d(2018, 4, 1), 105, "France", "$ 300", "French", "Gaumont"),
-        ("tt11", "Final Act", 2019, _d(2019, 3, 3), 97, "USA", "$ 99", "English", "Marvel Studios"),
+        ("tt11", "Final Act", 2019, _d(2019, 3, 3), 97, "USA", "$ 99", "English", "Harbour Films"),
         ("tt12", "Zero Hour", 2017, _d(2017, 6, 6), 118, "India", None, "Hindi", "Dream Factory"),
         ("tt13", "Theory", 2018, _d(2018, 11, 11), 92, "USA", "$ 103", "english", None),
     ],

@@ -19,32 +19,9 @@ DRIVER_TABLES = (
 ).split()
 
 
-# Resolved scans per (application, session, path). Resolving a parquet table lists
-# its files and reads footers; on a large dataset that is thousands of files, so
-# a session resolves each table once and every question reuses the relation, as
-# with tables registered in a catalog. The DataFrames hold no data.
-_SCANS: dict[tuple, DataFrame] = {}
-
-
 def table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """One table stored as `<base_dir>/<name>.parquet` (file or folder),
-    resolved once per session."""
-    path = os.path.join(base_dir, f"{name}.parquet")
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # sessions without a local SparkContext (Spark Connect)
-        app = None
-    key = (app, id(spark), path)
-    df = _SCANS.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _SCANS[key] = df
-    return df
-
-
-def forget_tables() -> None:
-    """Drop resolved scans, e.g. after files were added to a table folder."""
-    _SCANS.clear()
+    """One table stored as `<base_dir>/<name>.parquet` (file or folder), as it is now."""
+    return spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
 
 
 def load(

@@ -1,3 +1,4 @@
+# The answers of the delivery questions on their own tables, as printed with them.
 import datetime as dt
 from decimal import Decimal as D
 

@@ -1,4 +1,4 @@
-"""Operator edge cases and the equivalence of the distributed and one-task paths."""
+"""Operator edge cases, and ordered operators against one-task SQL windows."""
 
 import datetime as dt
 from decimal import Decimal as D
@@ -25,11 +25,11 @@ def test_round_ratio_half_up_exact(spark):
 
 def test_cleaning_expressions(spark):
     df = spark.createDataFrame(
-        [("23.4 km", "null", "$ 103244842"), ("15 minute", "2021-01-01 18:15:34", "INR 500"), ("null", "bad", None)],
+        [("23.4 km", "null", "$ 91000350"), ("15 minute", "2021-01-01 18:15:34", "INR 500"), ("null", "bad", None)],
         "m string, ts string, money string")
     got = df.select(measure("m").alias("m"), ts_text("ts").alias("ts"),
                     money_currency("money").alias("cur"), money_amount("money").alias("amt")).collect()
-    assert got[0].m == D("23.40") and got[0].ts is None and got[0].cur == "$" and got[0].amt == D(103244842)
+    assert got[0].m == D("23.40") and got[0].ts is None and got[0].cur == "$" and got[0].amt == D(91000350)
     assert got[1].m == D("15.00") and got[1].ts == dt.datetime(2021, 1, 1, 18, 15, 34) and got[1].cur == "INR"
     assert got[2].m is None and got[2].ts is None and got[2].amt is None
 
@@ -56,7 +56,7 @@ def test_global_rank_distributed_equals_window(spark, groups):
     for method, fn in [("rank", F.rank), ("dense_rank", F.dense_rank)]:
         order = [("v", True), ("g", False)]
         want = groups.withColumn("r", fn().over(Window.orderBy(F.col("v").desc_nulls_last(), F.col("g").asc_nulls_first())))
-        dist = sequence.global_rank(groups, order, method, "r", small_rows=0)
+        dist = sequence.global_rank(groups, order, method, "r")
         small = sequence.global_rank(groups, order, method, "r")
         assert rows(dist) == rows(want) == rows(small)
 
@@ -64,7 +64,7 @@ def test_global_rank_distributed_equals_window(spark, groups):
 def test_cumulative_distributed_equals_window(spark, groups):
     per = groups.groupBy("g").agg(F.sum("v").cast("decimal(18,2)").alias("m"))
     w = Window.orderBy(F.col("g").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)
-    dist = sequence.cumulative(per, [("g", False)], "m", small_rows=0)
+    dist = sequence.cumulative(per, [("g", False)], "m")
     small = sequence.cumulative(per, [("g", False)], "m")
     want = per.select("g", "m", F.sum("m").over(w).alias("running_total"))
     mean = per.select("g", F.round(F.avg("m").over(w), 2).alias("moving_avg"))
@@ -75,7 +75,7 @@ def test_cumulative_distributed_equals_window(spark, groups):
 
 def test_cumulative_peers_share_total(spark):
     df = spark.createDataFrame([(1, D(1)), (2, D(2)), (2, D(3)), (3, D(4))], "k int, m decimal(10,2)")
-    got = rows(sequence.cumulative(df, [("k", False)], "m", small_rows=0), "k", "m", "running_total")
+    got = rows(sequence.cumulative(df, [("k", False)], "m"), "k", "m", "running_total")
     assert got == [(1, D(1), D(1)), (2, D(2), D(6)), (2, D(3), D(6)), (3, D(4), D(10))]
 
 
@@ -91,8 +91,8 @@ def test_gap_summary_telescopes(spark):
 def test_top_k_ties(spark):
     df = spark.createDataFrame([("a", 3), ("b", 3), ("c", 2), ("d", 1)], "k string, n int")
     assert rows(rank.top_k(df, [F.desc("n")], 1, "first", ["k"])) == [("a", 3)]
-    assert rows(rank.top_k(df, [F.desc("n")], 1, "all")) == [("a", 3), ("b", 3)]
-    assert rows(rank.top_k(df, [F.desc("n")], 2, "dense")) == [("a", 3), ("b", 3), ("c", 2)]
+    assert rows(rank.top_k(df, [("n", True)], 1, "all")) == [("a", 3), ("b", 3)]
+    assert rows(rank.top_k(df, [("n", True)], 2, "dense")) == [("a", 3), ("b", 3), ("c", 2)]
 
 
 def test_rank_of_counts_larger_groups(spark):
@@ -139,16 +139,16 @@ def test_group_rank_distributed_equals_window(spark, skewed):
     w = Window.partitionBy("k").orderBy(F.col("v").desc_nulls_last(), F.col("day").asc_nulls_first())
     for method, fn in [("rank", F.rank), ("dense_rank", F.dense_rank)]:
         want = skewed.withColumn("r", fn().over(w))
-        got = sequence.group_rank(skewed, "k", order, method, "r", small_rows=0)
+        got = sequence.group_rank(skewed, "k", order, method, "r")
         assert rows(got) == rows(want)
 
 
 def test_next_value_distributed_equals_lead(spark, skewed):
     w = Window.partitionBy("k").orderBy(F.col("day").asc_nulls_first(), F.col("id").asc_nulls_first())
     want = skewed.withColumn("nxt", F.lead("v", 1).over(w))
-    got = sequence.next_value(skewed, "k", [("day", False), ("id", False)], "v", "nxt", small_rows=0)
+    got = sequence.next_value(skewed, "k", [("day", False), ("id", False)], "v", "nxt")
     assert rows(got) == rows(want)
-    gaps = sequence.event_gaps(skewed, "k", "day", ["id"], small_rows=0)
+    gaps = sequence.event_gaps(skewed, "k", "day", ["id"])
     want_days = skewed.withColumn("next_date", F.lead("day", 1).over(w))
     assert rows(gaps) == rows(want_days)
 
@@ -225,28 +225,91 @@ def test_range_split_spreads_a_hot_key(spark, skewed):
     assert len(parts) >= 2 and max(parts.values()) < hot
 
 
-def test_checked_broadcast_respects_the_bound(spark):
+def plan_text(df, **conf):
+    """The static plan with broadcasts and AQE off."""
     import contextlib
     import io
 
+    spark = df.sparkSession
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_joins_carry_no_hint(spark):
     from quarry.operators.joins import join_dim
 
     fact = spark.range(1000).withColumnRenamed("id", "k")
-    dim = spark.range(10).withColumnRenamed("id", "k")
+    assert "BroadcastHashJoin" not in plan_text(join_dim(fact, fact.limit(5).distinct(), "k"))
+
+
+def test_hot_user_is_reduced_before_the_anchor_join(spark):
+    """Whatever a join on the entity alone receives is aggregated per (entity, day) first."""
+    import re
+
+    from quarry.operators import anchor
+
+    ev = spark.range(3000).selectExpr("id AS event_id", "IF(id % 3 = 0, 0, id % 50) AS user_id",
+                                      "date_add(DATE'2024-01-01', CAST(id % 45 AS INT)) AS day", "id % 97 AS v").repartition(4)
+    anchors = ev.groupBy("user_id").agg(F.date_add(F.min("day"), 20).alias("a"))
+    for res in (
+        anchor.first_on_or_after(ev, anchors, "user_id", "day", "a"),
+        anchor.last_before(ev, anchors, "user_id", "day", "a"),
+        anchor.totals_before(ev, anchors, "user_id", "day", "a", "n", {"v": "v"}),
+    ):
+        lines = plan_text(res).splitlines()
+        for k, line in enumerate(lines):
+            if m := re.search(r"Exchange hashpartitioning\((user_id#\d+L?), \d+\)", line):
+                assert "HashAggregate" in lines[k + 1], (m.group(0), lines[k + 1])
+
+
+def test_top_k_ties_across_partitions(spark):
+    """All rows tied: every one is kept, by a join, and no window holds more than k rows."""
+    df = spark.range(2000).selectExpr("id", "CAST(5 AS BIGINT) AS n", "CAST(NULL AS INT) AS z").repartition(6)
+    for ties in ("all", "dense"):
+        got = rank.top_k(df, [("n", True), ("z", False)], 3, ties, out="r")
+        assert got.count() == 2000 and [r["r"] for r in got.select("r").distinct().collect()] == [1]
+    df = spark.createDataFrame([(1, 9), (2, 9), (3, 7), (4, 7), (5, 7), (6, 3), (7, None)], "id int, n int")
+    assert rows(rank.top_k(df, [("n", True)], 3, "all", out="r"), "id", "r") == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)]
+    assert rows(rank.top_k(df, [("n", True)], 3, "dense", out="r"), "id", "r") == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 3)]
+    assert rows(rank.top_k(df, [("n", False)], 1, "all"), "id") == [(7,)]
+
+
+def test_cumulative_rounds_last(spark):
+    """Three means of a third: rounded first they would add up to 0.99."""
+    units = spark.createDataFrame([(g, D(3333333333)) for g in "abc"], "g string, u decimal(38,0)")
+    got = rows(sequence.cumulative(units, [("g", False)], "u", units_scale=10), "g", "running_total", "moving_avg")
+    assert [(g, str(t), str(m)) for g, t, m in got] == [("a", "0.33", "0.33"), ("b", "0.67", "0.33"), ("c", "1.00", "0.33")]
+
+
+def test_rank_of_ignores_case_and_reads_the_groups_once(spark):
+    df = spark.createDataFrame([("Drama", 5), ("THRILLER", 3), ("War", 9)], "genre string, n int")
+    assert rows(rank.rank_of(df, "genre", "n", "thriller", "r"), "genre", "n", "r") == [("THRILLER", 3, 3)]
+    assert rank.rank_of(df, "genre", "n", "none").count() == 0
+
+
+def test_ranks_are_long(spark):
+    df = spark.range(5)
+    assert dict(sequence.global_rank(df, [("id", False)], out="r").dtypes)["r"] == "bigint"
+
 
-    def plan(max_rows):
-        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        try:
-            buf = io.StringIO()
-            with contextlib.redirect_stdout(buf):
-                join_dim(fact, dim, "k", "inner", max_rows).explain()
-            return buf.getvalue()
-        finally:
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+def test_a_file_added_to_a_table_is_read(spark, tmp_path):
+    from quarry.sources import table
 
-    assert "BroadcastHashJoin" in plan(10)          # 10 rows proven <= 10: broadcast
-    assert "BroadcastHashJoin" not in plan(5)       # bound exceeded: shuffle join
+    path = str(tmp_path / "t.parquet")
+    spark.range(10).write.parquet(path)
+    assert table(spark, str(tmp_path), "t").count() == 10
+    spark.range(5).write.mode("append").parquet(path)
+    assert table(spark, str(tmp_path), "t").count() == 15
 
 
 def test_anchor_operators_with_a_hot_user(spark):
@@ -266,7 +329,7 @@ def test_anchor_operators_with_a_hot_user(spark):
     buys = ev.filter("event_type = 'purchase'")
     first = anchor.first_on_or_after(buys, anchors, "user_id", "day", "join_date").select("user_id", "event_id")
     last = anchor.last_before(buys, anchors, "user_id", "day", "join_date").select("user_id", "event_id")
-    tot = anchor.totals_before(buys, anchors, "user_id", "day", "join_date", {"n": F.count(F.lit(1))})
+    tot = anchor.totals_before(buys, anchors, "user_id", "day", "join_date", "n", {})
 
     con = duckdb.connect()
     con.execute(f"CREATE TABLE ev ({schema.replace('long', 'BIGINT').replace('string', 'VARCHAR')})")
