@@ -23,7 +23,10 @@ linked sets share, the rarest is among them on both sides, and what very many se
 share (a common line) is not. A pair is compared only if it shares both bounds. Within
 the sets of a signature nothing is paired with everything: all are compared with the
 one that shares most signatures, links become components, and only then sets of
-different components of a signature are compared with each other.
+different components of a signature are compared with each other. Of these sets the
+shingles that only one of them has are counted, and a pair is left out if it could not
+link even if all its other shingles were common: very many variants of one text, too
+far from each other to link, so make no pairs.
 
 Equal sets are one class from the start, so copies cost nothing. Shingles and classes
 are 64-bit hashes.
@@ -241,6 +244,20 @@ def _linked(pairs: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) -
     return staged(_joined(some, sets, "set").mapInArrow(sure, "a long, b long"))
 
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """(class, alone): how many shingles of a class no other class of these has."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("set")]
+            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            shingles = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles), batch.column("class").take(pa.array(owner))], names=["shingle", "class"])
+
+    holders = sets.mapInArrow(flat, "shingle long, class long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class"))
+    return holders.filter("n = 1").groupBy("class").agg(F.count("*").alias("alone"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per document: id, n_shingles, component_id and n_links (of its class with other classes that were compared).
 
@@ -282,8 +299,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = staged(own.select("grp", "class", "n", "component"))
     mixed = own.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("grp")
     own = staged(own.join(mixed, "grp"))
-    other = own.select("grp", F.col("class").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-    rest = own.withColumnRenamed("class", "a").join(other, "grp").filter("a < b and component <> c and 4 * least(n, m) >= 3 * greatest(n, m)").select("a", "b").distinct()
+    alone = _alone(sets.join(own.select("class").distinct(), "class", "left_semi"))
+    own = own.join(alone, "class", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).filter(f"{100 + percent} * common >= {percent} * (n + common)")
+    own = staged(own.select("grp", F.col("class").alias("a"), "component", "n", "common"))
+    other = own.toDF("grp", "b", "c", "m", "common2")
+    most = "least(common, common2)"
+    rest = own.join(other, "grp").filter(f"a < b and component <> c and {100 + percent} * {most} >= {percent} * (n + m)").select("a", "b").distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti")
     more = _linked(rest, lists, sets, percent)
     links = links.unionByName(more)
