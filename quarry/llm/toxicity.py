@@ -27,7 +27,7 @@ from quarry.llm.frames import free_name, read
 from quarry.llm.subwords import LETTERS, Distinct, bucket_of, grams, lowered, sample_ids
 from quarry.llm.words import Block, as_bytes, blocks
 
-SAMPLE = 2000
+SAMPLE = 1000
 SIZES = (3, 4, 5, 6, 7)
 BUCKETS = 1 << 17
 WIDTH, PASSES, BATCH, RATE, DECAY = 4, 8, 64, 0.5, 1e-7
@@ -63,11 +63,18 @@ class Model:
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(texts))
         texts, label, weight = [texts[i] for i in order], label[order], weight[order]
-        parts = [(d + i, f, s) for i in range(0, len(texts), 200) for d, f, s in [document_features(texts[i : i + 200])]]
-        doc, feature, share = (np.concatenate(x) for x in zip(*parts))
-        common = np.bincount(feature, minlength=BUCKETS)[feature] >= RARE  # n-grams of a few texts would be learned by heart
-        doc, feature, share = doc[common], feature[common], share[common].astype(np.float32)
-        used, feature = np.unique(feature, return_inverse=True)
+        parts, seen_in = [], np.zeros(BUCKETS, np.int64)
+        for i in range(0, len(texts), 100):
+            d, f, x = document_features(texts[i : i + 100])
+            seen_in += np.bincount(f, minlength=BUCKETS)
+            parts.append([(d + i).astype(np.int32), f.astype(np.int32), x.astype(np.float32)])
+        used = np.flatnonzero(seen_in >= RARE)  # n-grams of a few texts would be learned by heart
+        place = np.full(BUCKETS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        for part in parts:
+            kept = place[part[1]] >= 0
+            part[:] = part[0][kept], place[part[1][kept]], part[2][kept]
+        doc, feature, share = (np.concatenate([part.pop(0) for part in parts]) for _ in range(3))
         edge = np.searchsorted(doc, np.arange(0, len(texts) + BATCH, BATCH))
         embedding = rng.uniform(-0.5, 0.5, (WIDTH, len(used))).astype(np.float32)
         layer, bias = rng.uniform(-0.5, 0.5, (WIDTH, 2)), np.zeros(2)
