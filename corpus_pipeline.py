@@ -5,9 +5,10 @@ the last keep the columns of documents. `run` writes every stage's rows to the s
 checkpoint folder and reads them again for the next one, so a lost executor costs a
 stage's tasks and never the stages before.
 
-1. language_id: documents stay whose language is identified (one of the learned
-   languages) with an expected share of at least half of their words. The model is
-   learned from the rows that the stage is given.
+1. language_id: documents stay whose language is identified: one of the learned
+   languages, with an expected share of at least `LEAST_SHARE` of their words, so that
+   short and code-switched texts with a leading language stay too. The model is learned
+   from the rows that the stage is given.
 2. near_duplicates: of documents that near-duplicate links connect, the one with the
    smallest id stays (of equal ids, the first text).
 3. substring_dedup: passages of 50 words or more that also stand in a document with a
@@ -34,7 +35,7 @@ from quarry.llm.language_id import identify, learn
 from quarry.llm.packing import pack, tokenizer_path
 from quarry.llm.substring_dedup import substring_dedup
 
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
