@@ -20,15 +20,17 @@ Candidates. Signatures are compared in buckets by packed blocks, and only those
 or more different sets go on. A set with fewer shared signatures than its bound drops
 out. Of the others, the rarest go on that leave fewer than the bound: of all that two
 linked sets share, the rarest is among them on both sides, and what very many sets
-share (a common line) is not. A pair is compared only if it shares both bounds. Within
-the sets of a signature nothing is paired with everything: all are compared with the
-one that shares most signatures, links become components, and only then sets of
-different components of a signature are compared with each other. Of these sets the
-shingles that only one of them has are counted, and a pair is left out if it could not
-link even if all its other shingles were common: very many variants of one text, too
-far from each other to link, so make no pairs.
-
-Equal sets are one class from the start, so copies cost nothing. Shingles and classes
+share (a common line) is not. Sets
+that have a signature of the same members in common meet in cells: the members are
+dealt over parts of bounded size, and each two parts are a cell. A pair
+that meets in several signatures counts in the first that both have. Sets that have no
+such pair in a cell leave it; the cell compares all pairs of the others exactly by their
+shingles, so each link counts once. A cell gives each set the number of
+its links and, of the links themselves, only as many as connect what they connect: the
+work on m sets that share a signature is m * m, the rows are not.
+
+Equal sets are one class from the start, so copies cost nothing; links are weighted by
+the documents of the class. Shingles and classes
 are 64-bit hashes.
 
 Defined results: null and empty texts have the empty set and link with nothing;
@@ -55,6 +57,8 @@ SHINGLE = 5
 TABLES = 2
 #: Signatures that linked sets share at least; sets of three shingles have no more.
 SHARED = 3
+#: Sets, and shingles, of a part on average.
+PART_SETS, PART_SHINGLES = 512, 1_000_000
 #: Signatures that a packed block holds, and that a bucket holds on average.
 BLOCK_SIGNATURES, BUCKET_SIGNATURES = 2_000_000, 1_500_000
 
@@ -203,65 +207,120 @@ def _shared(bucket: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, set) of the texts, where a class is given only of those that have it: a repeated id may carry another text."""
     for batch, texts in blocks(batches, "text"):
         sets = shingle_sets(texts)
-        same = [class_id(s) == c for s, c in zip(sets, batch.column("class").to_pylist())]  # a repeated id may carry another text
-        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"]).filter(pa.array(same, pa.bool_()))
-
-
-def _joined(pairs: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
-    """(a, b, and of either class each column with 1 and 2 after its name)."""
-    for side, n in (("a", 1), ("b", 2)):
-        pairs = pairs.join(values.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}{n}") for c in columns)), side)
-    return pairs
-
-
-def _linked(pairs: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that share enough signatures and whose sets link."""
-
-    def lists_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        flat, edge = column.flatten(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
-        grp, times = flat.field("grp").to_numpy(), flat.field("times").to_numpy()
-        return ((grp[i:j], times[i:j]) for i, j in zip(edge[:-1], edge[1:]))
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(lists_of(batch.column("groups1")), lists_of(batch.column("groups2")))
-            shared = [int(times[np.isin(grp, other, assume_unique=True)].sum()) for (grp, times), (other, _) in both]
-            ok = np.array(shared) >= np.maximum(batch.column("bound1").to_numpy(), batch.column("bound2").to_numpy())
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        own = [class_id(s) if len(s) else None for s in sets]
+        known = batch.column("class").to_pylist() if "class" in batch.schema.names else own
+        same = [c is not None and c == k for c, k in zip(own, known)]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"]).filter(pa.array(same, pa.bool_()))
+
+
+class _Lists:
+    """Lists of distinct values, to be compared with one of them at a time."""
+
+    def __init__(self, lists: list):
+        values, self.index = np.unique(np.concatenate([np.asarray(x) for x in lists if len(x)] or [np.zeros(0, np.int64)]), return_inverse=True)
+        self.at, self.mark = np.concatenate(([0], np.cumsum([len(x) for x in lists]))), np.zeros(len(values), np.int64)
+
+    def common(self, a: int, lo: int) -> np.ndarray:
+        """Of each list from `lo` on: how much it shares with list `a`."""
+        own, at = self.index[self.at[a] : self.at[a + 1]], self.at[lo:] - self.at[lo]
+        self.mark[own] = 1
+        run = np.concatenate(([0], np.cumsum(self.mark[self.index[self.at[lo] :]])))
+        self.mark[own] = 0
+        return run[at[1:]] - run[at[:-1]]
+
+
+def _pairs(part: list[int]) -> Iterator[tuple[int, int]]:
+    """(a, lo) for rows ordered by part: a is compared with all from lo on; with two parts only rows of different ones are."""
+    m = part.count(part[0])
+    for a in range(m if m < len(part) else m - 1):
+        yield a, m if m < len(part) else a + 1
+
+
+def cell_candidates(rows: list[tuple], percent: int) -> list[tuple]:
+    """The rows (part, class, before, n) that can link by their sizes with another that they first meet here."""
+    part, _, before, n = zip(*rows)
+    take: set[int] = set()
+    if len(rows) <= 4:
+        for a, lo in _pairs(list(part)):
+            for b in range(lo, len(rows)):
+                if 100 * min(n[a], n[b]) >= percent * max(n[a], n[b]) and set(before[a]).isdisjoint(before[b]):
+                    take |= {a, b}
+    else:
+        size, earlier = np.array(n), _Lists(before)
+        for a, lo in _pairs(list(part)):
+            ok = (100 * np.minimum(size[a], size[lo:]) >= percent * np.maximum(size[a], size[lo:])) & (earlier.common(a, lo) == 0)
+            if ok.any():
+                take |= {a, *(lo + np.flatnonzero(ok)).tolist()}
+    return [rows[k][:3] for k in sorted(take)]
+
+
+def cell_links(rows: list[tuple], percent: int) -> list[tuple]:
+    """(a, null, number of documents that class a links with here) and links (a, b, null) that connect all that the links connect.
+
+    The rows are (part, class, before, copies, set); a pair counts unless it also meets in an earlier group.
+    """
+    part, ids, before, copies, sets = zip(*rows)
+    earlier, shingles, copies = _Lists(before), _Lists([np.frombuffer(s, U) for s in sets]), np.array(copies)
+    size, total, label, tree = np.diff(shingles.at), np.zeros(len(rows), np.int64), np.arange(len(rows)), []
+    for a, lo in _pairs(list(part)):
+        both = shingles.common(a, lo)
+        ok = 100 * both >= percent * (size[a] + size[lo:] - both)
+        if ok.any() and (ok := ok & (earlier.common(a, lo) == 0)).any():
+            linked = lo + np.flatnonzero(ok)
+            total[a] += copies[linked].sum()
+            total[linked] += copies[a]
+            labels, first = np.unique(label[linked], return_index=True)
+            tree += [(ids[a], ids[linked[i]], None) for x, i in zip(labels, first) if x != label[a]]
+            label[np.isin(label, labels)] = label[a]
+    return tree + [(ids[k], None, int(x)) for k, x in enumerate(total) if x]
+
+
+def _by_cell(work: Callable, names: list[str], fields: list[tuple[str, pa.DataType]], keyed: bool) -> Callable:
+    """`work` on the rows of each cell, from rows ordered by cell; the result has the cell's key before it if `keyed`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell, out = None, [], []
+
+        def close() -> None:
+            if cell and (key[1] == key[2] or len({r[0] for r in cell}) == 2) and len(cell) > 1:  # not if a part has no sets
+                cell.sort(key=lambda r: r[:2])
+                out.extend((*key, *r) if keyed else r for r in work(cell))
+
+        def result() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
+            out.clear()
+            return rows
 
-    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("set1"), batch.column("set2")):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            keys = zip(*(batch.column(c).to_pylist() for c in ("grp", "low", "high")))
+            for k, *row in zip(keys, *(batch.column(c).to_pylist() for c in names)):
+                if k != key:
+                    close()
+                    key, cell = k, []
+                cell.append(tuple(row))
+            yield result()
+        close()
+        yield result()
 
-    some = staged(_joined(pairs.select("a", "b"), lists, "groups", "bound").mapInArrow(likely, "a long, b long"))
-    return staged(_joined(some, sets, "set").mapInArrow(sure, "a long, b long"))
+    return run
 
 
-def _alone(sets: DataFrame) -> DataFrame:
-    """(class, alone): how many shingles of a class no other class of these has."""
+def _in_cells(rows: DataFrame, work: Callable, names: list[str], schema: str, keyed: bool) -> DataFrame:
+    types = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    fields = [(f.split()[0], types[f.split()[1]]) for f in schema.split(", ")]
+    rows = rows.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high").select("grp", "low", "high", *names)
+    return staged(rows.mapInArrow(_by_cell(work, names, fields, keyed), schema))
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("set")]
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            shingles = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shingles), batch.column("class").take(pa.array(owner))], names=["shingle", "class"])
 
-    holders = sets.mapInArrow(flat, "shingle long, class long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class"))
-    return holders.filter("n = 1").groupBy("class").agg(F.count("*").alias("alone"))
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc, n, class, bound), and the classes (class, doc, copies, component, n_links).
 
-
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """One row per document: id, n_shingles, component_id and n_links (of its class with other classes that were compared).
-
-    component_id is the smallest id reachable by links. Only percent=75 has its bands here.
+    doc is the smallest id of the class, component the class that names what links reach,
+    n_links the number of documents that each of the class links with. Only percent=75
+    has its bands here.
     """
     if percent != 75:
         raise ValueError("the size bands are those of 75 per cent")
@@ -273,46 +332,50 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = packed.groupBy("bucket").applyInPandas(_shared, "grp long, class long, times long")
     groups = staged(groups.groupBy("grp", "class").agg(F.sum("times").alias("times")))
     one = known.filter("class is not null").groupBy("class")
-    one = staged(one.agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bound").alias("bound")))
-    members = groups.groupBy("class").agg(F.sum("times").alias("degree")).join(one, "class").filter("degree >= bound")
-    groups = groups.join(staged(members), "class")
+    one = staged(one.agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bound").alias("bound"), F.count("*").alias("copies")))
+    degrees = groups.groupBy("class").agg(F.sum("times").alias("degree")).join(one, "class").filter("degree >= bound")
+    groups = groups.join(staged(degrees.drop("degree")), "class")
     sizes = staged(groups.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1"))
     groups = staged(groups.join(sizes, "grp"))
-    lists = groups.groupBy("class", "bound", "doc").agg(F.sum("times").alias("degree"), F.collect_list(F.struct("grp", "times")).alias("groups"))
-    lists = staged(lists.filter("degree >= bound").drop("degree"))
     # of each class the rarest signatures: those that leave fewer than its bound behind them
     before = Window.partitionBy("class").orderBy("size", "grp").rowsBetween(Window.unboundedPreceding, -1)
-    rare = groups.join(lists.select("class"), "class", "left_semi")
-    rare = rare.withColumn("left", F.sum("times").over(Window.partitionBy("class")) - F.coalesce(F.sum("times").over(before), F.lit(0)))
-    groups = staged(rare.filter(F.col("left") >= F.col("bound")).select("grp", "class", "n", "degree"))
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(lists.select("doc", "class"), "doc")
-    sets = texts.select("class", "text").mapInArrow(_sets, "class long, set binary")
-    ids = known.agg(F.count("doc").alias("rows"), F.count_distinct("doc").alias("ids")).first()
+    rare = groups.withColumn("left", F.sum("times").over(Window.partitionBy("class")) - F.coalesce(F.sum("times").over(before), F.lit(0)))
+    groups = staged(rare.filter(F.col("left") >= F.col("bound")).select("grp", "class", "doc", "n", "copies"))
+    spread = groups.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
+    parts = F.greatest(F.ceil(F.col("size") / PART_SETS), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int")
+    groups = groups.join(spread.select("grp", "size", parts.alias("parts")), "grp")
+    # the largest first, so that most pairs of a cluster meet in one group
+    places = groups.groupBy("class", "doc", "n", "copies").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("size"), "grp", "parts"))).alias("all"))
+    places = staged(places)
+    cells = places.select("class", "n", "all", F.posexplode("all").alias("place", "own"))
+    cells = cells.select("class", "n", F.expr("slice(all.grp, 1, place)").alias("before"), "own.grp", "own.parts")
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("class", "grp"), F.col("parts")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("grp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "before", "n")
+    likely = _in_cells(cells, lambda rows: cell_candidates(rows, percent), ["part", "class", "before", "n"], "grp long, low int, high int, part int, class long, before array<long>", True)
+    lists = staged(places.select("class", "doc", "copies").join(likely.select("class").distinct(), "class"))
+    text = F.col(text_col).alias("text")
+    sets = docs.select(F.col(id_col).alias("doc"), text).join(lists.select("doc", "class"), "doc").select("class", "text").mapInArrow(_sets, "class long, set binary")
+    ids = known.agg(F.count("*").alias("rows"), F.count("doc").alias("with_id"), F.count_distinct("doc").alias("ids")).first()
+    if ids["rows"] > ids["with_id"]:  # classes of rows without an id
+        bare = docs.filter(F.col(id_col).isNull()).select(text).mapInArrow(_sets, "class long, set binary")
+        sets = sets.unionByName(bare.join(lists.filter("doc is null").select("class"), "class", "left_semi"))
     sets = staged(sets if ids["rows"] == ids["ids"] else sets.dropDuplicates(["class"]))
-    hub = staged(groups.groupBy("grp").agg(F.max(F.struct("degree", "class"))["class"].alias("hub")))
-    stars = groups.join(hub, "grp").filter(F.col("class") != F.col("hub"))
-    pairs = staged(stars.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
-    links = _linked(pairs, lists, sets, percent)
-    found = staged(components(links, "a", "b"))
-    # sets of a signature in different components: compare them with each other
-    own = groups.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    own = staged(own.select("grp", "class", "n", "component"))
-    mixed = own.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("grp")
-    own = staged(own.join(mixed, "grp"))
-    alone = _alone(sets.join(own.select("class").distinct(), "class", "left_semi"))
-    own = own.join(alone, "class", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).filter(f"{100 + percent} * common >= {percent} * (n + common)")
-    own = staged(own.select("grp", F.col("class").alias("a"), "component", "n", "common"))
-    other = own.toDF("grp", "b", "c", "m", "common2")
-    most = "least(common, common2)"
-    rest = own.join(other, "grp").filter(f"a < b and component <> c and {100 + percent} * {most} >= {percent} * (n + m)").select("a", "b").distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = _linked(rest, lists, sets, percent)
-    links = links.unionByName(more)
-    if more.limit(1).count():
-        found = staged(components(links, "a", "b"))
-    counts = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
-    named = one.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = staged(named.join(counts, "class", "left").select("class", "component", "doc", "n_links"))
+    cells = likely.join(lists.select("class", "copies"), "class").join(sets, "class")
+    compared = _in_cells(cells, lambda rows: cell_links(rows, percent), ["part", "class", "before", "copies", "set"], "a long, b long, n long", False)
+    found = staged(components(compared.filter("b is not null"), "a", "b"))
+    counts = compared.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
+    named = one.join(found.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
+    n_links = F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1
+    return known, staged(named.select("class", "doc", "copies", F.coalesce("component", "class").alias("component"), n_links.alias("n_links")))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """One row per document: id, n_shingles, component_id and n_links, the number of other documents it links with (copies too).
+
+    component_id is the smallest id reachable by links.
+    """
+    known, named = members(docs, id_col, text_col, percent)
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = staged(named.join(least, "component").select("class", "component_id", "n_links"))
     return known.join(named, "class", "left").select(

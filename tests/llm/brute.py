@@ -56,6 +56,11 @@ def decontaminate(docs: list[tuple], items: list[tuple], n: int = 10) -> list[tu
     return out
 
 
+def shingles(text: str | None) -> frozenset:
+    w = SPACED.findall((text or "").translate(LOW))
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
 def jaccard(docs: list[tuple]) -> list[tuple]:
     """(id, n_shingles, component_id) of rows (id, text)."""
     sets = []
