@@ -6,9 +6,10 @@ blocks are the text, without those of elements that are no content wherever they
 
 Weights come from labelled pages: those that mark their article themselves with one
 `article` or `main` element. Over all of them, tags and class or id words are counted
-inside and outside the mark; a tag's penalty is the log-odds of standing outside, and
-class words found (nearly) only outside make their elements no content, as fixed
-element names and class words do. The weights are one bounded table.
+inside and outside the mark, the elements that the mark stands in as neither; a tag's
+penalty is the log-odds of standing outside, and class words found (nearly) only outside
+make their elements no content, as fixed element names and class words do. The table of
+weights holds every tag, and every class word that Spark finds to be of that kind.
 
 Defined results: null and empty pages have an empty text; a page without content
 words too; unclosed elements end where their page or article ends; repeated rows
@@ -29,10 +30,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.frames import read
 
-#: Rows of the weight table; the most frequent features.
-FEATURES = 5000
-#: Occurrences that a class word needs before it alone makes an element no content.
-SUPPORT = 20
+#: Occurrences that a class word needs before it alone makes an element no content, and times that it must be outside for each time inside.
+SUPPORT, RATIO = 20, 50
 
 # Element names.
 RAW = ("script", "style", "textarea", "noscript", "iframe", "template", "xmp", "noembed", "noframes", "svg", "math", "select", "object", "audio", "video", "canvas")
@@ -54,6 +53,17 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
+# What an opening tag ends without an end tag, each as (elements ended, elements that it doesn't look beyond).
+_SCOPE = {"html", "table", "td", "th", "caption", "button", "object", "marquee", "applet", "template"}
+_BLOCKS = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "listing", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}
+_LIST = _SCOPE | _BLOCKS - {"address", "div", "p"} | {"body", "li", "dt", "dd", "tr", "tbody"}
+_P = ({"p"}, _SCOPE)
+_CELLS, _GROUPS = {"td", "th"}, {"tbody", "thead", "tfoot", "caption", "colgroup"}
+ENDS = {n: [_P] for n in _BLOCKS} | {"li": [({"li"}, _LIST), _P], **dict.fromkeys(("dt", "dd"), [({"dt", "dd"}, _LIST), _P])}
+ENDS |= {"option": [({"option"}, {"datalist"})], "optgroup": [({"option", "optgroup"}, {"datalist"})]}
+ENDS |= dict.fromkeys(_CELLS, [(_CELLS, {"table"})]) | {"tr": [(_CELLS | {"tr"}, {"table"})]} | dict.fromkeys(_GROUPS, [(_CELLS | {"tr"} | _GROUPS, {"table"})])
+_IN_HEAD = {"base", "link", "meta", "title"}
+
 DEFAULT_PENALTY = 0.3
 LEAST, MOST = 0.1, 2.0
 
@@ -72,6 +82,54 @@ def tokens(page: str) -> Iterator[tuple[str, str, list[str]]]:
                 yield "open", name, words
 
 
+class Open:
+    """The open elements at a place of a page; end tags that HTML lets be omitted are put in."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.places: list[int] = []
+        self.count: Counter = Counter()
+
+    def cut(self, n: int) -> None:
+        while len(self.names) > n:
+            self.count[self.names.pop()] -= 1
+            self.places.pop()
+
+    def ended_by(self, name: str) -> None:
+        """End what an opening tag of `name` ends."""
+        if self.count["head"] and name not in _IN_HEAD and self.names[-1] == "head":
+            self.cut(len(self.names) - 1)
+        for ended, beyond in ENDS.get(name, ()):
+            if any(self.count[n] for n in ended):
+                last = None
+                for at in range(len(self.names) - 1, -1, -1):
+                    if self.names[at] in ended:
+                        last = at
+                    elif self.names[at] in beyond:
+                        break
+                if last is not None:
+                    self.cut(last)
+
+    def push(self, name: str, place: int) -> None:
+        if name not in VOID:
+            self.names.append(name)
+            self.places.append(place)
+            self.count[name] += 1
+
+    def close(self, name: str) -> None:
+        """End the innermost element of `name` and what is open in it; an end tag that has none in reach ends nothing."""
+        if not self.count[name]:
+            return
+        table = name in _CELLS | _GROUPS | {"table", "tr"}
+        for at in range(len(self.names) - 1, -1, -1):
+            inner = self.names[at]
+            if inner == name:
+                self.cut(at)
+                return
+            if name in INLINE and inner not in INLINE or (inner == "table" if table else inner in _SCOPE - {"html"} and name not in ("body", "html")):
+                return
+
+
 def marked(seen: list[tuple[str, str, list[str]]]) -> tuple[int, int] | None:
     """The range of tokens in the page's mark, if it has one that is closed and unique."""
     for name in ("article", "main"):
@@ -91,8 +149,17 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             mark = marked(seen)
             if not mark:
                 continue
-            for i, (kind, name, words) in enumerate(seen):
+            around = Open()
+            for i, (kind, name, _) in enumerate(seen[: mark[0]]):
                 if kind == "open":
+                    around.ended_by(name)
+                    around.push(name, i)
+                elif kind == "close":
+                    around.close(name)
+            around.ended_by(seen[mark[0]][1])
+            own = set(around.places)
+            for i, (kind, name, words) in enumerate(seen):
+                if kind == "open" and i not in own:
                     (inside if mark[0] <= i <= mark[1] else outside).update([f"<{name}", *(f".{w}" for w in words)])
     features = sorted({*inside, *outside})
     yield pa.RecordBatch.from_arrays(
@@ -102,17 +169,17 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def learn(pages: DataFrame, html_col: str = "html") -> dict[str, tuple[int, int]]:
-    """feature: (times inside, times outside the mark), over all labelled pages."""
+    """feature: (times inside, times outside the mark) over all labelled pages, of all tags and of the class words that are no content."""
     counts = pages.select(F.col(html_col).alias("html")).mapInArrow(_label_counts, "feature string, inside long, outside long")
     counts = counts.groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    top = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(FEATURES)
-    return {r["feature"]: (r["inside"], r["outside"]) for r in top.collect()}
+    counts = counts.filter(F.col("feature").startswith("<") | (F.col("outside") >= SUPPORT) & (F.col("outside") >= RATIO * F.col("inside")))
+    return {r["feature"]: (r["inside"], r["outside"]) for r in counts.collect()}
 
 
 class Extractor:
     def __init__(self, counts: dict[str, tuple[int, int]]):
         self.penalty = {f[1:]: min(MOST, max(LEAST, math.log((o + 1) / (i + 1)) / 2)) for f, (i, o) in counts.items() if f[0] == "<"}
-        self.no_words = NO_CONTENT_WORDS | {f[1:] for f, (i, o) in counts.items() if f[0] == "." and o >= SUPPORT and o >= 50 * i}
+        self.no_words = NO_CONTENT_WORDS | {f[1:] for f, (i, o) in counts.items() if f[0] == "." and o >= SUPPORT and o >= RATIO * i}
 
     def text(self, page: str) -> str:
         blocks: list[tuple[list[int], list[str]]] = []  # the places of each block's pieces in the scores, and the pieces
@@ -168,7 +235,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """`pages` without the html, with text and n_chars; input columns of these names give way."""
-    extractor = Extractor(learn(pages, html_col))  # at most FEATURES rows
+    extractor = Extractor(learn(pages, html_col))
     rest = [c for c in pages.columns if c != html_col and c.lower() not in ("text", "n_chars")]
     schema = pages.select(*rest, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 

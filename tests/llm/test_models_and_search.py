@@ -89,6 +89,17 @@ def test_extract_learns_class_words(spark):
     assert html.extract(pages.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
 
 
+def test_extract_weights_of_wrappers_and_of_many_class_words(spark):
+    """What the marks stand in is content; a class word is learned however many others are more frequent."""
+    letters = "abcdefghij"
+    many = " ".join("q" + "".join(letters[int(d)] for d in str(k)) for k in range(5200))
+    page = "<body><p class='lead'>skip this<div class='wrapper'><div class='zzbox'>noise words</div><article><p class='{c}'>text {i}</p><p class='{c}'></p></article></div></body>"
+    rows = [(i, page.format(i=i, c=many)) for i in range(25)]
+    rows += [(50, "<body><div class='wrapper'><p>plain text here</p><div class='zzbox'>noise words</div></div></body>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, html string").repartition(2)).collect()}
+    assert got == {**{i: f"text {i}" for i in range(25)}, 50: "plain text here"}
+
+
 def test_extract_given_pages(spark):
     """The articles of the given pages are the marked ones; a plain cut at the marks is the other way to get them."""
     import html as codec
