@@ -12,7 +12,8 @@ make their elements no content, as fixed element names and class words do. The t
 weights holds every tag, and every class word that Spark finds to be of that kind.
 
 Defined results: null and empty pages have an empty text; a page without content
-words too; unclosed elements end where their page or article ends; repeated rows
+words too; unclosed elements end where HTML ends them, at
+the latest with their parent, page or article; repeated rows
 each have their row.
 """
 
@@ -44,7 +45,7 @@ NO_CONTENT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertis
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>"
     r"|(?P<text>[^<]+|<)",
@@ -184,11 +185,12 @@ class Extractor:
     def text(self, page: str) -> str:
         blocks: list[tuple[list[int], list[str]]] = []  # the places of each block's pieces in the scores, and the pieces
         scores: list[float] = []
-        skip, depth, marks = "", 0, 0
+        open_, marks = Open(), 0
+        skip = -1  # the depth of the element that is no content, or -1
         new = True
         for kind, name, words in tokens(page):
             if kind == "text":
-                if skip:
+                if skip >= 0:
                     continue
                 n = len(name.split())
                 if new and n:
@@ -201,16 +203,19 @@ class Extractor:
                 continue
             if name in MARKS:
                 marks = max(0, marks + (1 if kind == "open" else -1))
-                skip = "" if kind == "open" or not marks else skip
-            if skip:
-                if name == skip:
-                    depth += 1 if kind == "open" else -1
-                if depth == 0 or (kind, name) in (("close", "body"), ("open", "body")):
-                    skip = ""
-            elif kind == "open" and name not in VOID and name not in MARKS | {"html", "body"}:
-                named = name in NO_CONTENT and not (name == "header" and marks)
-                if named or self.no_words.intersection(words):
-                    skip, depth = name, 1
+                skip = -1 if kind == "open" or not marks else skip
+            if kind == "open":
+                open_.ended_by(name)
+            else:
+                open_.close(name)
+            if len(open_.names) <= skip or name == "body":
+                skip = -1
+            if kind == "open":
+                if skip < 0 and name not in VOID and name not in MARKS | {"html", "body"}:
+                    named = name in NO_CONTENT and not (name == "header" and marks)
+                    if named or self.no_words.intersection(words):
+                        skip = len(open_.names)
+                open_.push(name, 0)
             if name not in INLINE:
                 new = True
             scores.append(-self.penalty.get(name, LEAST if name in INLINE else DEFAULT_PENALTY))

@@ -71,6 +71,20 @@ def test_extractor_without_labels():
     assert own.text("<p>" + "long " * 50000 + "</p>").count("long") == 50000
 
 
+def test_extract_with_end_tags_left_out():
+    own = html.Extractor({})
+    assert own.text("<article><p>Text<p class='notice'>Ad <b>x</b><p>More text<p>and more</article>") == "Text More text and more"
+    assert own.text("<article><p>Text here now<div><p class=notice>Ad</div>More text</article>") == "Text here now More text"
+    assert own.text("<article><ul><li>a b<li class=ad>x<ul><li>y<li>z</ul><li>c d</ul><dl><dt class=ad>x<dd>e f</dl></article>") == "a b c d e f"
+    assert own.text("<article><div>a b<ul><li>c d<li class=ad>x</ul>e f</div></article>") == "a b c d e f"
+    assert own.text("<article><table><tr><td>a b g h<td class=ad>x<table><tr><td>y<td>z</table>w<tr><td>c d i j</table></article>") == "a b g h c d i j"
+    assert own.text("<head><title>t</title><p>a b") == "a b"
+    assert own.text("<article><div class=ad>x<p>y<div>z</div></span>w</div>a b</article>") == "a b"
+    for name in ("video-js", "svg-icon", "select-menu", "template-x"):
+        assert own.text(f"<article><p>a b</p><{name} x='1'>c</{name}><p>d e</p></article>") == "a b c d e"
+    assert own.text("<article><p>a b</p><video src=x>no</video><svg\n>t</svg><p>d e</p></article>") == "a b d e"
+
+
 def test_best_region_is_the_maximum():
     rng = random.Random(1)
     for _ in range(200):
