@@ -27,7 +27,7 @@ from quarry.llm.frames import free_name, read
 from quarry.llm.subwords import LETTERS, Distinct, bucket_of, grams, lowered, sample_ids
 from quarry.llm.words import Block, as_bytes, blocks
 
-SAMPLE = 1000
+SAMPLE = 2000
 SIZES = (3, 4, 5, 6, 7)
 BUCKETS = 1 << 17
 WIDTH, PASSES, BATCH, RATE, DECAY = 4, 8, 64, 0.5, 1e-7
@@ -64,27 +64,24 @@ class Model:
         order = rng.permutation(len(texts))
         texts, label, weight = [texts[i] for i in order], label[order], weight[order]
         parts, seen_in = [], np.zeros(BUCKETS, np.int64)
-        for i in range(0, len(texts), 100):
-            d, f, x = document_features(texts[i : i + 100])
+        for i in range(0, len(texts), BATCH):
+            d, f, x = document_features(texts[i : i + BATCH])
             seen_in += np.bincount(f, minlength=BUCKETS)
-            parts.append([(d + i).astype(np.int32), f.astype(np.int32), x.astype(np.float32)])
+            parts.append((d.astype(np.uint8), f.astype(np.int32), x.astype(np.float32)))  # BATCH texts: the place of one fits a byte
         used = np.flatnonzero(seen_in >= RARE)  # n-grams of a few texts would be learned by heart
         place = np.full(BUCKETS, -1, np.int32)
         place[used] = np.arange(len(used))
-        for part in parts:
-            kept = place[part[1]] >= 0
-            part[:] = part[0][kept], place[part[1][kept]], part[2][kept]
-        doc, feature, share = (np.concatenate([part.pop(0) for part in parts]) for _ in range(3))
-        edge = np.searchsorted(doc, np.arange(0, len(texts) + BATCH, BATCH))
+        for k, (d, f, x) in enumerate(parts):
+            kept = place[f] >= 0
+            parts[k] = d[kept], place[f[kept]], x[kept]
         embedding = rng.uniform(-0.5, 0.5, (WIDTH, len(used))).astype(np.float32)
         layer, bias = rng.uniform(-0.5, 0.5, (WIDTH, 2)), np.zeros(2)
         truth = np.eye(2)[label]
         seen = [np.full_like(x, 1e-12) for x in (embedding, layer, bias)]
         for _ in range(PASSES):
-            for k in rng.permutation(len(edge) - 1):
+            for k in rng.permutation(len(parts)):
                 lo, hi = k * BATCH, min(len(texts), (k + 1) * BATCH)
-                f, s = feature[edge[k] : edge[k + 1]], share[edge[k] : edge[k + 1]]
-                d = doc[edge[k] : edge[k + 1]] - lo
+                d, f, s = parts[k]
                 hidden = np.stack([np.bincount(d, e[f] * s, hi - lo) for e in embedding], 1)
                 logit = hidden @ layer + bias
                 p = np.exp(logit - logit.max(1, keepdims=True))

@@ -215,6 +215,14 @@ def test_toxicity_shares_n_grams_of_misspellings():
     assert auc(np.concatenate([unseen, clean]), np.repeat([1, 0], 40)) > 0.8
 
 
+def test_toxicity_learns_from_two_thousand_texts_of_a_label(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.Model, "fit", lambda self, texts, label, weight: seen.append(np.bincount(label).tolist()) or self)
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") < 2200).cast("int").alias("y")), "doc_id", "text", "y")
+    assert seen == [[2000, 2000]]
+
+
 # pipeline
 
 
