@@ -9,16 +9,17 @@ stage's tasks and never the stages before.
    languages, with an expected share of at least `LEAST_SHARE` of their words, so that
    short and code-switched texts with a leading language stay too. The model is learned
    from the rows that the stage is given.
-2. near_duplicates: of documents that near-duplicate links connect, the one with the
-   smallest id stays (of equal ids, the first text).
+2. near_duplicates: of rows that near-duplicate links connect, the one with the smallest
+   id stays (a null id after all others; of equal ids, the first text). Rows are told
+   apart by their texts, so ids may repeat or be null.
 3. substring_dedup: passages of 50 words or more that also stand in a document with a
    smaller id are cut; a text that loses words becomes its kept words joined by a
    space, and a document that loses all of them goes.
 4. decontaminate: documents that hold a window of a benchmark item go.
 5. pack: what is left, packed into sequences of 4096 tokens.
 
-Rows with a null id have no identity that stages 2 and 3 could keep or cite, and go in
-stage 2. Every stage takes an empty table and returns one.
+Rows with a null id have no identity that stage 3 could cite: it neither cuts them nor
+cuts others by them. Every stage takes an empty table and returns one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.frames import free_name, read, staged
-from quarry.llm.jaccard_join import jaccard_join
+from quarry.llm.jaccard_join import members, with_class
 from quarry.llm.language_id import identify, learn
 from quarry.llm.packing import pack, tokenizer_path
 from quarry.llm.substring_dedup import substring_dedup
@@ -45,14 +46,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = jaccard_join(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    ids = docs.agg(F.count("doc_id").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
-    if ids["rows"] != ids["ids"]:  # repeated ids: the first text of each
-        place = free_name(docs, "place")
-        order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-        kept = kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
-    return kept.select(*docs.columns)
+    own, component, place = (free_name(docs, n) for n in ("class", "component", "place"))
+    _, named = members(docs)
+    sizes = named.groupBy("component").agg(F.sum("copies").alias("rows")).filter("rows > 1")
+    several = staged(named.join(sizes, "component").select(F.col("class").alias(own), F.col("component").alias(component)))
+    tagged = with_class(docs, own)
+    alone = tagged.join(several, own, "left_anti")  # texts without words too
+    order = Window.partitionBy(component).orderBy(F.asc_nulls_last("doc_id"), "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    first = tagged.join(several, own).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    return alone.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -370,6 +370,17 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     return known, staged(named.select("class", "doc", "copies", F.coalesce("component", "class").alias("component"), n_links.alias("n_links")))
 
 
+def with_class(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """`docs` with the class of each row, null for the empty set, in the new column `name`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, text_col):
+            own = [class_id(s) if len(s) else None for s in shingle_sets(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("long").alias(name)).schema)
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per document: id, n_shingles, component_id and n_links, the number of other documents it links with (copies too).
 

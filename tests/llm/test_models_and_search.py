@@ -248,6 +248,16 @@ def test_pipeline_stages_against_brute_force(spark):
     brute.sequences([(r["sequence_id"], r["offset"], r["length"]) for r in last])
 
 
+def test_near_duplicates_keep_a_row_of_each_component_whatever_its_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = text(1).replace("w1x0 ", "aa ", 1)  # sorts before every other text
+    rows = [(1, text(1)), (5, near), (5, text(2)), (5, text(3)), (5, text(3)), (7, text(4)), (None, text(4)), (None, text(6)), (None, text(6)), (None, text(7)), (8, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    want = [(1, text(1)), (5, text(2)), (5, text(3)), (7, text(4)), (None, text(6)), (None, text(7)), (8, ""), (None, None)]
+    assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_pipeline_takes_odd_rows(spark):
     docs = spark.read.parquet(f"{SF0001}/documents.parquet").limit(60).withColumn("runs", F.lit("r")).withColumn("n_words", F.lit("n"))
     odd = docs.limit(6).withColumn("text", F.element_at(F.array(*(F.lit(t).cast("string") for t in ODD)), (F.col("doc_id") % len(ODD) + 1).cast("int")))
