@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 
 LOW = {c: c + 32 for c in range(65, 91)}
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -117,3 +119,56 @@ def top_k(rows: list[tuple], k: int = 20, every: int = 20, scale: int = 64) -> s
             best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i)[:k]
             out.update((i, r + 1, j, -s) for r, (s, j) in enumerate(best))
     return out
+
+
+def resample(docs: list[tuple], target: list, ngrams: int, buckets: int, min_words: int, percent: int) -> list[tuple]:
+    """(id, n_features, weight, score, rank) of rows (id, text)."""
+
+    def features(text):
+        w = ALNUM.findall((text or "").translate(LOW))
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, ngrams + 1) for i in range(len(w) - n + 1)]
+
+    s, t = Counter(b for _, x in docs for b in features(x)[1]), Counter(b for x in target for b in features(x)[1])
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets)))) for b in range(buckets)}
+    rows = []
+    for i, text in docs:
+        n_words, f = features(text)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(sha(f"2024:{'' if i is None else i}")[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        rows.append([i, len(f), weight, score, None, n_words, xxhash.xxh3_64_intdigest((text or "").encode())])
+    drawn = sorted((r for r in rows if r[5] >= min_words), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[6] - (r[6] >> 63 << 64)))
+    for place, r in enumerate(drawn[: percent * len(drawn) // 100]):
+        r[4] = place + 1
+    return [tuple(r[:5]) for r in rows]
+
+
+def reachable(nodes: list, links: list[tuple]) -> dict:
+    """The smallest node that links reach, of each node."""
+    up = {x: x for x in nodes}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in nodes}
+
+
+def simhash(docs: list[tuple], bits: int = 4) -> list[tuple]:
+    """(id, fingerprint, component_id) of rows (id, text)."""
+    prints = []
+    for _, text in docs:
+        w = SPACED.findall((text or "").translate(LOW))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    known = sorted(set(prints))
+    component = reachable(known, [(a, b) for k, a in enumerate(known) for b in known[k + 1 :] if (a ^ b).bit_count() <= bits])
+    least: dict[int, int] = {}
+    for (i, _), p in zip(docs, prints):
+        if i is not None:
+            least[component[p]] = min(least.get(component[p], i), i)
+    return [(i, f"{p:016x}", least.get(component[p])) for (i, _), p in zip(docs, prints)]
