@@ -1,23 +1,26 @@
 """Order-dependent operators that must not run in one task: whole-table ranks,
 running totals over ordered groups, and gaps between consecutive events.
 
-A window with ORDER BY and no PARTITION BY sends every row to a single task. At
-scale that is both slow and a memory risk, so ordered prefixes are computed in
-two passes instead:
-
-  1. collapse peers: one row per distinct sort key (hash aggregate, map-side
-     partial, so a hot key is one row before the shuffle);
-  2. range-partition the keys; each partition gets its id, and the split is
-     pinned with `checkpoint()` in the session's checkpoint folder (a range
-     split recomputed after a lost executor may fall differently);
-  3. per-partition totals (one row per partition) -> exclusive offsets over
-     those few rows -> broadcast back (bounded by the partition count);
-  4. a window partitioned by range partition adds the local prefix to the offset.
-
-Each range partition holds a balanced slice of distinct keys, so no task sees
-more than its share. The input itself is pinned once and read twice (for its keys
-and for the join back), so nothing upstream runs a second time. There is one path,
-whatever the size of the input.
+A window with ORDER BY and no PARTITION BY sends every row to a single task, and one
+with PARTITION BY sends a hot group to one. Both are computed in slices instead:
+
+  1. the rows are range-partitioned on (group, order keys) into slices; where the
+     operator allows it, also on a random number, so that a very long run of equal keys
+     spans several slices like any other stretch;
+  2. a window inside each slice gives the local result (rank, running total, next
+     value) and marks the slice's first and last row; this is pinned with
+     `checkpoint()` in the session's checkpoint folder, because a range split that is
+     computed twice may fall differently;
+  3. only the boundary rows, at most two of each slice, tell what a slice continues:
+     just the first group of a slice can have begun before it, and just its first
+     and last run of equal keys can be shared with a neighbour. Windows over these few
+     rows give each slice its carry;
+  4. the carries, one row for each slice (bounded by the partition count), are
+     broadcast to the pinned rows and added.
+
+So the input is computed once, its rows move twice (range split, slice) and are pinned
+once, and no result is joined back to them. There is one path, whatever the size
+of the input.
 
 Pinned tables are checkpoints in `spark.checkpoint.dir`; with
 `spark.cleaner.referenceTracking.cleanCheckpoints` (set by `build_session`) Spark
@@ -33,7 +36,9 @@ from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
 
-_PART = "_range_part"
+_PART, _FIRST, _LAST, _SPREAD = "_range_part", "_slice_first", "_slice_last", "_spread"
+
+
 def _sort_cols(order_by: list[tuple[str, bool]]):
     # descending keys put NULLs last, ascending keys put NULLs first (SQL default
     # of the studied engine and of Spark)
@@ -53,53 +58,45 @@ def _partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _range_split(df: DataFrame, partition_by: list[str], order) -> DataFrame:
-    """Range-partition `df` on (partition_by, order), tag each row with its range
-    partition and pin the split with a reliable checkpoint."""
-    group_order = [F.col(c).asc_nulls_first() for c in partition_by]
-    split = df.repartitionByRange(_partitions(df), *group_order, *order)
-    return _pinned(split.withColumn(_PART, F.spark_partition_id()))
+def _range_split(df: DataFrame, partition_by: list[str], order, spread_peers: bool = False) -> DataFrame:
+    """Range-partition `df` on (partition_by, order) and tag each row with its slice.
+    With `spread_peers` a run of equal keys may be cut anywhere. The split must be used
+    in one place only, and pinned."""
+    by = [F.col(c).asc_nulls_first() for c in partition_by] + list(order)
+    if spread_peers:
+        df, by = df.withColumn(_SPREAD, F.rand(0)), [*by, F.col(_SPREAD)]
+    return df.repartitionByRange(_partitions(df), *by).withColumn(_PART, F.spark_partition_id()).drop(_SPREAD)
 
 
-def exclusive_prefix(
-    keyed: DataFrame,
-    order_by: list[tuple[str, bool]],
-    values: list[str],
-    partition_by: list[str] | tuple = (),
-) -> DataFrame:
-    """For a table with one row per distinct (partition_by, sort key), add
-    `_before_<v>`: the sum of `v` over the rows of the same group that come
-    strictly earlier in the order, for each `v` in `values`.
+def _in_slice(groups: list[str], order):
+    """The order of a whole slice. A window by (slice, group) has the same sort."""
+    return Window.partitionBy(_PART).orderBy(*[F.col(c).asc_nulls_first() for c in groups], *order)
 
-    A large group spans several range partitions; each partition's share of it
-    is a "chunk", and a chunk's offset is the total of the group's earlier chunks
-    (a window over chunks, at most one row per range partition per group).
-    """
-    groups = list(partition_by)
-    order = _sort_cols(order_by)
-    ranged = _range_split(keyed, groups, order)
-    totals = ranged.groupBy(*groups, _PART).agg(*[F.sum(v).alias(f"_ptot_{v}") for v in values])
-    earlier = Window.partitionBy(*groups).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *groups, _PART,
-        *[F.coalesce(F.sum(f"_ptot_{v}").over(earlier), F.lit(0)).alias(f"_off_{v}") for v in values],
+
+def _marked(df: DataFrame, whole) -> DataFrame:
+    """Adds marks of the first and the last row of each slice."""
+    return df.withColumn(_FIRST, F.row_number().over(whole) == 1).withColumn(
+        _LAST, F.lead(F.lit(1)).over(whole).isNull()
     )
-    if groups:
-        res = _null_safe_join(ranged, offsets, groups + [_PART])
-    else:  # one row per range partition: bounded by the partition count
-        res = ranged.join(F.broadcast(offsets), _PART, "inner")
-    local = Window.partitionBy(*groups, _PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    for v in values:
-        res = res.withColumn(
-            f"_before_{v}", F.col(f"_off_{v}") + F.coalesce(F.sum(v).over(local), F.lit(0))
-        )
-    return res.drop(_PART, *[f"_off_{v}" for v in values])
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    r = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = [left[k].eqNullSafe(r[f"_k_{k}"]) for k in keys]
-    return left.join(r, cond, "inner").drop(*[f"_k_{k}" for k in keys])
+def _ends(marked: DataFrame, cols: list[str]) -> DataFrame:
+    """The boundary rows: (slice, end, cols), end 0 for the first and 1 for the last row."""
+    end = F.explode(F.array_compact(F.array(F.when(F.col(_FIRST), 0), F.when(F.col(_LAST), 1))))
+    rows = marked.filter(F.col(_FIRST) | F.col(_LAST)).select(_PART, end.alias("_end"), *cols)
+    return rows.groupBy(_PART, "_end").agg(*[F.first(c).alias(c) for c in cols])
+
+
+def _same(names: list[str], other: str = "_c_"):
+    """Null-safe equality of the named columns with those of the carry."""
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(other + c))
+    return same
+
+
+def _with_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(carry), _PART)  # one row per slice: bounded by the partition count
 
 
 def global_rank(
@@ -113,21 +110,46 @@ def global_rank(
     table or within each `partition_by` group.
 
     Equal keys share a rank, as the SQL functions do. The result keeps every
-    input row and adds `out` (BIGINT). No task sorts more than its range slice,
-    however large one group is.
+    input row and adds `out` (BIGINT). No task sorts more than its slice,
+    however large one group or one run of equal keys is.
+
+    Carry of a slice: for its first group, the rows (dense: the keys) of the
+    group in earlier slices; for its first run of equal keys, the rank at which that run
+    began (dense: one key less, if the previous slice ended in the same run).
     """
     if method not in ("rank", "dense_rank"):
         raise ValueError("global_rank supports 'rank' and 'dense_rank'")
-    groups = list(partition_by)
-    keys = [c for c, _ in order_by]
-    df = _pinned(df)
-    counts = df.groupBy(*groups, *keys).agg(F.count(F.lit(1)).alias("_n"))
-    if method == "dense_rank":
-        counts = counts.withColumn("_n", F.lit(1).cast("bigint"))
-    before = exclusive_prefix(counts, order_by, ["_n"], groups).select(
-        *groups, *keys, (F.col("_before__n") + 1).cast("bigint").alias(out)
+    dense = method == "dense_rank"
+    groups, keys = list(partition_by), [c for c, _ in order_by]
+    order = _sort_cols(order_by)
+    local = Window.partitionBy(_PART, *groups).orderBy(*order)
+    ranked = _range_split(df, groups, order, spread_peers=True).withColumn(
+        "_r", (F.dense_rank() if dense else F.rank()).over(local).cast("bigint")
     )
-    return _null_safe_join(df, before, groups + keys)
+    # what the group holds of the slice up to this run: keys, or rows with all peers
+    ranked = ranked.withColumn("_upto", F.col("_r") if dense else F.count(F.lit(1)).over(local))
+    ranked = _pinned(_marked(ranked, _in_slice(groups, order)))
+
+    ends = _ends(ranked, [*groups, *keys, "_r", "_upto"])
+    along = Window.partitionBy(*groups).orderBy(_PART, "_end")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col("_end") == 1, F.col("_upto"))).over(earlier), F.lit(0))
+    previous = F.lag(F.struct(*keys)).over(along)
+    ends = ends.withColumn("_before", before).withColumn("_previous", previous)
+    if dense:
+        shared = F.col("_previous").isNotNull() & (F.col("_end") == 0)
+        for c in keys:
+            shared = shared & F.col("_previous").getField(c).eqNullSafe(F.col(c))
+        ends = ends.withColumn("_shared", shared.cast("bigint"))
+        upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ends = ends.withColumn("_before", F.col("_before") - F.sum("_shared").over(upto))
+        ends = ends.withColumn("_began", F.col("_before") + 1)
+    else:
+        began = F.min(F.col("_before") + F.col("_r")).over(Window.partitionBy(*groups, *keys))
+        ends = ends.withColumn("_began", began)
+    carry = ends.filter("_end = 0").select(_PART, *[F.col(c).alias(f"_c_{c}") for c in groups], "_before", "_began")
+    result = F.when(~_same(groups), F.col("_r")).when(F.col("_r") == 1, F.col("_began")).otherwise(F.col("_before") + F.col("_r"))
+    return _with_carry(ranked, carry).select(*df.columns, result.cast("bigint").alias(out))
 
 
 def group_rank(
@@ -158,13 +180,16 @@ def cumulative(
     With `units_scale` the metric is in whole 10^-units_scale units (e.g. means that
     must not be rounded before they are summed); the total is summed in them and
     rounded half up to `mean_scale` last, as is the mean.
+
+    Carry of a slice: the totals of all earlier slices, and for its last run of
+    equal keys the total at the end of that run, in whichever slice it ends.
     """
     from quarry.functions.numeric import exact_mean, round_ratio, units_to_decimal
 
     def finish(res: DataFrame) -> DataFrame:
         # SUM and AVG skip NULL metrics: the mean divides by the non-NULL count,
         # and a total over no non-NULL value is NULL.
-        total = F.when(F.col("_cnt") > 0, F.col(total_col))
+        total = F.when(F.col("_cnt") > 0, F.col("_total"))
         if units_scale is not None:
             step = F.lit(Decimal(10 ** (units_scale - mean_scale))).cast("decimal(38,0)")
             mean = exact_mean(total, F.col("_cnt").cast("decimal(20,0)") * step, mean_scale)
@@ -174,20 +199,30 @@ def cumulative(
         else:
             units = (total * F.lit(10**mean_scale)).cast("decimal(38,0)")
             mean = exact_mean(units, F.col("_cnt"), mean_scale)
-        return res.withColumn(mean_col, mean).withColumn(total_col, total).drop("_cnt")
+        return res.select(*df.columns, total.alias(total_col), mean.alias(mean_col))
 
     keys = [c for c, _ in order_by]
-    df = _pinned(df)
-    per_key = df.groupBy(*keys).agg(
-        F.coalesce(F.sum(metric), F.lit(0)).alias("_ksum"), F.count(metric).alias("_kcnt")
-    )
-    pref = exclusive_prefix(per_key, order_by, ["_ksum", "_kcnt"])
-    pref = pref.select(
-        *keys,
-        (F.col("_before__ksum") + F.col("_ksum")).alias(total_col),
-        (F.col("_before__kcnt") + F.col("_kcnt")).alias("_cnt"),
+    order = _sort_cols(order_by)
+    whole = _in_slice([], order)  # no frame: peers of the slice are included
+    summed = _range_split(df, [], order, spread_peers=True)
+    summed = summed.withColumn("_sum", F.coalesce(F.sum(metric).over(whole), F.lit(0))).withColumn("_n", F.count(metric).over(whole))
+    summed = _pinned(_marked(summed, whole))
+
+    ends = _ends(summed, [*keys, "_sum", "_n"])
+    earlier = Window.orderBy(_PART, "_end").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy(*keys).orderBy(_PART, "_end").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    for v in ("_sum", "_n"):
+        before = F.coalesce(F.sum(F.when(F.col("_end") == 1, F.col(v))).over(earlier), F.lit(0))
+        ends = ends.withColumn(f"_before{v}", before)
+    for v in ("_sum", "_n"):
+        ends = ends.withColumn(f"_through{v}", F.last(F.col(f"_before{v}") + F.col(v)).over(run))
+    carry = ends.filter("_end = 1").select(
+        _PART, *[F.col(c).alias(f"_c_{c}") for c in keys], "_before_sum", "_before_n", "_through_sum", "_through_n"
     )
-    return _null_safe_join(df, finish(pref), keys)
+    rows = _with_carry(summed, carry)
+    for v, name in (("_sum", "_total"), ("_n", "_cnt")):
+        rows = rows.withColumn(name, F.when(_same(keys), F.col(f"_through{v}")).otherwise(F.col(f"_before{v}") + F.col(v)))
+    return finish(rows)
 
 
 def next_value(
@@ -202,28 +237,26 @@ def next_value(
 
     `order_by` should be a total order within the entity (add a tie-break
     column), as for any LEAD. The rows are range-partitioned on (key, order), so a
-    large entity is split across tasks: LEAD runs inside each range slice, and the last row of each slice takes the
-    first value of the entity's next slice (a window over slices, at most one
-    row per range partition per entity), joined to those last rows only.
+    large entity is split across slices. Inside a slice, LEAD over the slice gives the next row
+    of whatever entity, and its value counts if the entity is the same.
+
+    Carry of a slice: the entity and value of the next slice's first row, for the
+    slice's last row only.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = _sort_cols(order_by)
-    ranged = _range_split(df, keys, order)
-    w = Window.partitionBy(*keys, _PART).orderBy(*order)
-    local = ranged.select(
-        "*", F.lead(value, 1).over(w).alias(out), F.lead(F.lit(1), 1).over(w).isNull().alias("_last"),
-        (F.row_number().over(w) == 1).alias("_first"),
-    ).checkpoint(eager=True)
-    firsts = local.filter("_first").select(*keys, _PART, F.col(value).alias("_fv"))
-    chunks = firsts.select(
-        *keys, _PART, F.lead("_fv", 1).over(Window.partitionBy(*keys).orderBy(_PART)).alias("_next_first")
-    )
-    last = _null_safe_join(local.filter("_last").drop(out), chunks, keys + [_PART]).withColumnRenamed(
-        "_next_first", out
-    )
-    inner = local.filter(~F.col("_last"))
-    cols = [c for c in df.columns] + [out]
-    return inner.select(*cols).unionByName(last.select(*cols))
+    whole = _in_slice(keys, order)
+    row = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.col(value).alias("v"))
+    led = _range_split(df, keys, order).withColumn("_next", F.lead(row).over(whole))
+    led = _pinned(led.withColumn(_FIRST, F.row_number().over(whole) == 1))
+
+    firsts = led.filter(_FIRST).groupBy(_PART).agg(F.first(row).alias("_row"))
+    carry = firsts.select(_PART, F.lead("_row").over(Window.orderBy(_PART)).alias("_coming"))
+    following = F.coalesce("_next", "_coming")  # the last row of a slice has no next row inside it
+    same = following.isNotNull()
+    for i, c in enumerate(keys):
+        same = same & following.getField(f"k{i}").eqNullSafe(F.col(c))
+    return _with_carry(led, carry).select(*df.columns, F.when(same, following.getField("v")).alias(out))
 
 
 def event_gaps(
