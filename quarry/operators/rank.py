@@ -239,7 +239,7 @@ def top_per_group_within_top_categories(
 
 
 def top_entity_then_partner(
-    pairs: DataFrame,
+    sales: DataFrame,
     entity: str,
     link: str,
     partners: DataFrame,
@@ -250,14 +250,14 @@ def top_entity_then_partner(
 ) -> DataFrame:
     """Best entity by total amount, then its best partner(s) by amount with it.
 
-    `pairs` has one reduced row per (entity, link) with the amount, `partners` maps
-    each link to its partner. The chosen entities are at most `entity_k` rows by
-    construction; only their pairs meet the partners.
+    `sales` has the amount of each (entity, link), in any number of rows; `partners` maps each
+    link to its partner. The totals are partial sums, so no sale moves for them; the
+    chosen entities (at most `entity_k` rows by construction) are broadcast to a second
+    scan, and only their sales meet the partners.
     """
-    # the same filters in both branches, and an inner join, so that they read one shuffle
-    pairs = pairs.filter(F.col(entity).isNotNull() & F.col(link).isNotNull())
-    best = pairs.groupBy(entity).agg(F.sum(amount).alias("_total")).orderBy(F.desc("_total"), F.asc(entity)).limit(entity_k)
-    chosen = pairs.join(F.broadcast(best.select(entity)), entity).join(partners, link)
+    sales = sales.filter(F.col(entity).isNotNull() & F.col(link).isNotNull())
+    best = sales.groupBy(entity).agg(F.sum(amount).alias("_total")).orderBy(F.desc("_total"), F.asc(entity)).limit(entity_k)
+    chosen = sales.join(F.broadcast(best.select(entity)), entity).join(partners, link)
     per_partner = chosen.groupBy(entity, partner).agg(F.sum(amount).alias(amount))
     return top_per_group(per_partner, entity, [F.col(amount).desc()], partner_k, "first", [partner])
 

@@ -26,6 +26,7 @@ Scale notes, shared by many entries:
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -50,9 +51,10 @@ from quarry.functions import (
     null_if_token,
     ts_text,
 )
-from quarry.operators import anchor, audit, lists, profile, rank, rules, sequence, summary
+from quarry.operators import anchor, audit, lists, prefilter, profile, rank, rules, sequence, summary
 from quarry.operators.joins import join_dim
-from quarry.sources import append_rows, apply_schema, load, stage, table
+from quarry.session import ensure_checkpoint_dir
+from quarry.sources import DRIVER_TABLES, append_rows, apply_schema, read_text_table, replace, stage, table, table_path
 
 TOTAL = "decimal(38,2)"
 
@@ -123,14 +125,11 @@ def _word_vocabulary(t: Tables) -> DataFrame:
 
 
 def _encoded_word_lists(t: Tables, vocab: DataFrame) -> DataFrame:
-    """Per part, the ids of its name's words as comma-separated text: a
-    multi-valued text column derived row by row (each group is one part's own
-    words, so no group grows with the data)."""
-    tokens = lists.explode_list(t.part, "p_name", " ", None, out="word", keep=["p_partkey"])
-    ids = tokens.join(vocab, "word")
-    return ids.groupBy("p_partkey").agg(
-        F.concat_ws(",", F.collect_list(F.col("word_id").cast("string"))).alias("word_ids")
-    )
+    """Per part, the ids of its name's words as comma-separated text: a multi-valued
+    text column. Names recur, so each distinct name is encoded once."""
+    ids = vocab.select("word", F.col("word_id").cast("string").alias("id"))
+    encoded = lists.translate_list(t.part, "p_name", " ", None, ids, "word", "id", "word_ids", ",")
+    return t.part.select("p_partkey", "p_name").join(encoded, "p_name").select("p_partkey", "word_ids")
 
 
 # ---------------------------------------------------------------- restaurant analogues
@@ -151,18 +150,26 @@ def active_days(spark, d):
     )
 
 
+def _chosen_lines(t: Tables, cols: list[str], chosen: DataFrame) -> DataFrame:
+    """The lines of the chosen orders, joined to them. Lines of other orders are dropped
+    by a filter of the order keys in the lineitem scan, before they are shuffled."""
+    lines = t.lineitem.select("l_orderkey", *cols)
+    return prefilter.may_match(lines, "l_orderkey", chosen, "l_orderkey").join(chosen, "l_orderkey")
+
+
 def first_item_per_customer(spark, d):
-    """Brands bought on each customer's first order day (all ties kept).
+    """Brands bought on each customer's first day with lines (all ties kept).
 
-    Lines are reduced to distinct (order, brand) before they meet orders; the first
-    day per customer is a rank with a partial top-k before the shuffle.
+    Orders alone are ranked (a partial top-k before the shuffle); only the lines of
+    the orders that stay are moved.
     """
     t = Tables(spark, d)
-    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    brands = t.lineitem.select("l_orderkey", "l_partkey").join(parts, "l_partkey").select("l_orderkey", "p_brand").distinct()
     orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.to_date("o_orderdate").alias("order_day"))
-    first = rank.first_per(brands.join(orders, "l_orderkey"), "o_custkey", "order_day", ties="all")
-    return first.select("o_custkey", "p_brand").distinct()
+    with_lines = orders.join(t.lineitem.filter("l_partkey is not null").select("l_orderkey").distinct(), "l_orderkey")
+    first = rank.first_per(with_lines, "o_custkey", "order_day", ties="all")
+    lines = _chosen_lines(t, ["l_partkey"], first.select("l_orderkey", "o_custkey"))
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return lines.join(parts, "l_partkey").select("o_custkey", "p_brand").distinct()
 
 
 def _lines_per_part(t: Tables, where=None) -> DataFrame:
@@ -281,7 +288,7 @@ def lines_ordered(spark, d):
 
 def distinct_orders(spark, d):
     t = Tables(spark, d)
-    return t.lineitem.agg(F.countDistinct("l_orderkey").alias("distinct_orders"))
+    return summary.count_distinct_whole(t.lineitem, "l_orderkey", "distinct_orders")
 
 
 def completed_per_worker(spark, d):
@@ -513,17 +520,18 @@ def segment_count(spark, d):
     return summary.segment_count(_promo_buyers(Tables(spark, d)), F.lit(True), "o_custkey", "members")
 
 
-def _supplier_parts(t: Tables, where=None) -> DataFrame:
-    """lineitem reduced per (supplier, part): lines and quantity; one shuffle of partial sums."""
+def _priced_lines(t: Tables, where=None, part_where=None) -> DataFrame:
+    """Lines with their part's type and price. The join's shuffle on the part key is the
+    only one of lines; what follows are partial sums by supplier."""
     li = t.lineitem if where is None else t.lineitem.filter(where)
-    return li.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("qty"))
+    li = li.select("l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("qty"))
+    parts = t.part if part_where is None else t.part.filter(part_where)
+    return li.join(parts.select(F.col("p_partkey").alias("l_partkey"), "p_type", cents("p_retailprice").alias("price_cents")), "l_partkey")
 
 
 def producers_in_segment(spark, d):
     t = Tables(spark, d)
-    promo = t.part.filter(F.col("p_type") == "PROMO").select(F.col("p_partkey").alias("l_partkey"))
-    pairs = _supplier_parts(t).join(promo, "l_partkey", "left_semi")
-    per_supp = pairs.groupBy("l_suppkey").agg(F.sum("n").alias("line_count"))
+    per_supp = _priced_lines(t, part_where=F.col("p_type") == "PROMO").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("line_count"))
     named = per_supp.join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
     return rank.top_k(named, [F.desc("line_count")], 10, "first", ["s_name"]).select("s_name", "line_count")
 
@@ -536,9 +544,9 @@ def above_average(spark, d):
 
 def top_supplier_top_buyer(spark, d):
     t = Tables(spark, d)
-    pairs = t.lineitem.groupBy("l_suppkey", "l_orderkey").agg(F.sum(cents("l_extendedprice")).alias("amount"))
+    sales = t.lineitem.select("l_suppkey", "l_orderkey", cents("l_extendedprice").alias("amount"))
     buyers = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    res = rank.top_entity_then_partner(pairs, "l_suppkey", "l_orderkey", buyers, "o_custkey", "amount")
+    res = rank.top_entity_then_partner(sales, "l_suppkey", "l_orderkey", buyers, "o_custkey", "amount")
     return res.select("l_suppkey", "o_custkey", units_to_decimal("amount").alias("amount"))
 
 
@@ -564,20 +572,26 @@ def best_customer(spark, d):
     )
 
 
+def _typed_lines(t: Tables) -> DataFrame:
+    """(order, part type) of each line: lines move once, on the part key."""
+    lines = t.lineitem.filter("l_orderkey is not null").select("l_orderkey", "l_partkey")
+    return lines.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey").select("l_orderkey", "p_type")
+
+
 def _typed_orders(t: Tables) -> DataFrame:
-    """Lines per (order, part type): lineitem reduced per (order, part) before it meets part."""
-    lines = t.lineitem.filter("l_orderkey is not null").groupBy("l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    return lines.join(parts, "l_partkey").groupBy("l_orderkey", "p_type").agg(F.sum("n").alias("n"))
+    """Lines per (order, part type)."""
+    return _typed_lines(t).groupBy("l_orderkey", "p_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_type_per_nation(spark, d):
-    """Part type with most lines per nation of the customer (tie: type)."""
+    """Part type with most lines per nation of the customer (tie: type).
+
+    Orders find their nation first, at their own grain; lines then meet (order, nation) and
+    end as partial counts per (nation, type)."""
     t = Tables(spark, d)
-    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    per_cust = _typed_orders(t).join(o, "l_orderkey").groupBy("o_custkey", "p_type").agg(F.sum("n").alias("n"))
     c = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
-    counts = per_cust.join(c, "o_custkey").groupBy("n_nationkey", "p_type").agg(F.sum("n").alias("purchases"))
+    o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(c, "o_custkey").select("l_orderkey", "n_nationkey")
+    counts = _typed_lines(t).join(o, "l_orderkey").groupBy("n_nationkey", "p_type").agg(F.count(F.lit(1)).alias("purchases"))
     best = rank.top_per_group(counts, "n_nationkey", [F.desc("purchases")], 1, "first", ["p_type"])
     return join_dim(best, t.nation.select("n_nationkey", "n_name"), "n_nationkey").select("n_name", "p_type", "purchases")
 
@@ -599,7 +613,13 @@ def best_customer_per_nation(spark, d):
 # ---------------------------------------------------------------- movie analogues
 
 def row_counts(spark, d):
-    return profile.row_counts(load(spark, d))
+    return profile.row_counts_from_footers(spark, {n: table_path(d, n) for n in DRIVER_TABLES})
+
+
+def key_ranges(spark, d):
+    """Rows, values and range of each whole-number column of lineitem, from the file footers."""
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return profile.footer_profile(spark, table_path(d, "lineitem"), cols)
 
 
 def null_profile(spark, d):
@@ -758,8 +778,7 @@ def HIT():
 
 def top_in_top_categories(spark, d):
     t = Tables(spark, d)
-    hits = _supplier_parts(t, HIT()).join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
-    hits = hits.groupBy("l_suppkey", "p_type").agg(F.sum("n").alias("n"))
+    hits = _priced_lines(t, HIT()).groupBy("l_suppkey", "p_type").agg(F.count(F.lit(1)).alias("n"))
     per_supp = rank.in_top_categories(hits, "p_type", 3, "n").groupBy("l_suppkey").agg(F.sum("n").alias("hit_count"))
     return rank.top_k(per_supp, [("hit_count", True)], 3, "all", out="supp_rank")
 
@@ -777,16 +796,10 @@ def top_per_year_in_top_categories(spark, d):
     return res.select("p_type", "order_year", F.col("l_orderkey").alias("o_orderkey"), "price", "order_rank")
 
 
-def _supplier_weights(t: Tables, where, part_where=None) -> DataFrame:
-    parts = t.part if part_where is None else t.part.filter(part_where)
-    priced = parts.select(F.col("p_partkey").alias("l_partkey"), cents("p_retailprice").alias("price_cents"))
-    return _supplier_parts(t, where).join(priced, "l_partkey")
-
-
 def weighted_rank(spark, d):
     t = Tables(spark, d)
-    res = rank.weighted_rank(_supplier_weights(t, NOT_CANCELLED()), "l_suppkey", "price_cents", "qty",
-                             WEIGHTED_MIN_LINES, "weight_total", out="supp_rank", count="n")
+    res = rank.weighted_rank(_priced_lines(t, NOT_CANCELLED()), "l_suppkey", "price_cents", "qty",
+                             WEIGHTED_MIN_LINES, "weight_total", out="supp_rank")
     return res.select("l_suppkey", "n", F.col("weight_total").cast("bigint").alias("weight_total"),
                       "weighted_mean", "supp_rank")
 
@@ -795,9 +808,9 @@ def weighted_rank_by_count(spark, d):
     """Suppliers ranked by number of hit lines on PROMO parts, then by the
     quantity-weighted mean part price; top 3 with ties."""
     t = Tables(spark, d)
-    w = _supplier_weights(t, HIT(), F.col("p_type") == "PROMO")
+    w = _priced_lines(t, HIT(), F.col("p_type") == "PROMO")
     agg = w.groupBy("l_suppkey").agg(
-        F.sum("n").alias("n"), F.sum("qty").alias("_w"),
+        F.count(F.lit(1)).alias("n"), F.sum("qty").alias("_w"),
         F.sum(F.col("price_cents") * F.col("qty").cast("decimal(18,0)")).alias("_vw"),
     )
     agg = agg.select("l_suppkey", "n", exact_mean("_vw", "_w").alias("weighted_mean"))
@@ -839,11 +852,13 @@ def left_join_null_sum(spark, d):
 
 
 def top_type_in_year(spark, d):
-    """Part type with the most lines in orders of 1997."""
+    """Part type with the most lines in orders of 1997; only lines of these orders move."""
     t = Tables(spark, d)
     start, end = (F.lit(dt.datetime(y, 1, 1)).cast("timestamp_ntz") for y in (1997, 1998))
     o = t.orders.filter((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end)).select(F.col("o_orderkey").alias("l_orderkey"))
-    counts = _typed_orders(t).join(o, "l_orderkey", "left_semi").groupBy("p_type").agg(F.sum("n").alias("lines"))
+    per_part = _chosen_lines(t, ["l_partkey"], o).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    counts = per_part.join(parts, "l_partkey").groupBy("p_type").agg(F.sum("n").alias("lines"))
     return rank.top_k(counts, [F.desc("lines")], 1, "first", ["p_type"])
 
 
@@ -864,22 +879,51 @@ def top_suppliers_by_hits(spark, d):
     return s.join(F.broadcast(best), "l_suppkey").select("l_suppkey", "s_name", "hit_count")
 
 
-def typed_from_text(spark, d):
-    """Orders given as text and read with a declared schema; text that does not fit is NULL."""
-    t = Tables(spark, d)
-    text = t.orders.select(
+ORDERS_SCHEMA = "order_id BIGINT, price DECIMAL(18,2), order_day DATE"
+
+
+def _orders_as_text(t: Tables) -> DataFrame:
+    return t.orders.select(
         F.col("o_orderkey").cast("string").alias("order_id"),
         F.when(F.col("o_orderstatus") == "P", F.lit("n/a")).otherwise(money("o_totalprice").cast("string")).alias("price"),
         F.to_date("o_orderdate").cast("string").alias("order_day"),
     )
-    return apply_schema(text, StructType.fromDDL("order_id BIGINT, price DECIMAL(18,2), order_day DATE"))
+
+
+def typed_from_text(spark, d):
+    """Orders given as text and read with a declared schema; text that does not fit is NULL."""
+    return apply_schema(_orders_as_text(Tables(spark, d)), StructType.fromDDL(ORDERS_SCHEMA))
 
 
 def staged_statuses(spark, d):
     """A temporary table made from a query, and a query on it."""
     t = Tables(spark, d)
-    stage(t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), "status_counts")
-    return spark.sql("SELECT o_orderstatus, n FROM status_counts WHERE n > 0")
+    name = f"status_counts_{uuid.uuid4().hex}"  # never a view of the user's
+    stage(t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), name)
+    return spark.sql(f"SELECT o_orderstatus, n FROM {name} WHERE n > 0")
+
+
+def _own_path(spark, name: str) -> str:
+    """A new path for a saved table in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def replaced_table(spark, d):
+    """A saved table replaced by a query that reads it (CREATE TABLE AS over its own name):
+    order totals per customer, then only those of several orders."""
+    t = Tables(spark, d)
+    path = _own_path(spark, "customer_orders")
+    per_cust = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.sum(cents("o_totalprice")).alias("spent"))
+    saved = replace(per_cust, path)
+    return replace(saved.filter("n_orders > 1").select("o_custkey", "n_orders", units_to_decimal("spent").alias("total_spent")), path)
+
+
+def typed_from_files(spark, d):
+    """Orders written as text files and read back with a declared schema; text that does not fit is NULL."""
+    t = Tables(spark, d)
+    path = _own_path(spark, "orders_as_text")
+    _orders_as_text(t).write.option("header", "true").csv(path)
+    return read_text_table(spark, path, StructType.fromDDL(ORDERS_SCHEMA))
 
 
 # ---------------------------------------------------------------- ordered analytics at full scale
@@ -960,7 +1004,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rank_with_null_group, rank_without_null_group, top_in_top_categories,
         top_per_year_in_top_categories, weighted_rank, weighted_rank_by_count, bins,
         cumulative, gap_summary, left_join_null_sum,
-        top_type_in_year, orders_per_size, top_suppliers_by_hits, typed_from_text, staged_statuses,
+        top_type_in_year, orders_per_size, top_suppliers_by_hits, typed_from_text, typed_from_files, staged_statuses, replaced_table, key_ranges,
         next_event, customer_spend_rank, order_rank_within_customer, running_daily_revenue,
         audit_duplicates, audit_nulls, audit_orphans, audit_length,
     ]
@@ -969,7 +1013,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # SURVEY §2 ids exercised by each catalogue question (for the coverage check).
 SURVEY_IDS: dict[str, str] = {
     "best_nation": "MS3", "best_customer": "MS4", "top_type_per_nation": "MS10", "top_type_in_year": "RM6",
-    "orders_per_size": "RM12", "top_suppliers_by_hits": "RM20", "typed_from_text": "A3", "staged_statuses": "A4",
+    "orders_per_size": "RM12", "top_suppliers_by_hits": "RM20", "typed_from_text": "A3", "typed_from_files": "A1 A3", "staged_statuses": "A4", "replaced_table": "A5", "key_ranges": "K27 D11 D3",
     "spend_per_customer": "DD1 A1 A7 C1 C2 D5 B20", "active_days": "DD2 D4", "first_item_per_customer": "DD3 K9 E1 B16 C6",
     "most_bought_item": "DD4 D3 F5", "favourite_item_ties": "DD5 K15 E5 D15 F8 B14", "favourite_item_one": "K15 E9",
     "first_purchase_after_join": "DD6 K10 C5 E3", "last_before_join": "DD7 K11 C5 E4",

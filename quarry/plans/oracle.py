@@ -443,7 +443,19 @@ SQL: dict[str, str] = {
                CASE WHEN o_orderstatus = 'P' THEN NULL ELSE {_money('o_totalprice')} END AS price,
                CAST(o_orderdate AS DATE) AS order_day
         FROM orders""",
+    "typed_from_files": f"""
+        SELECT o_orderkey AS order_id,
+               CASE WHEN o_orderstatus = 'P' THEN NULL ELSE {_money('o_totalprice')} END AS price,
+               CAST(o_orderdate AS DATE) AS order_day
+        FROM orders""",
     "staged_statuses": "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus",
+    "replaced_table": f"""
+        SELECT o_custkey, COUNT(*) AS n_orders, CAST(SUM({_money('o_totalprice')}) AS DECIMAL(38,2)) AS total_spent
+        FROM orders GROUP BY o_custkey HAVING COUNT(*) > 1""",
+    "key_ranges": "\n        UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COUNT(*) AS rows, COUNT({c}) AS values, "
+        f"CAST(MIN({c}) AS BIGINT) AS min_value, CAST(MAX({c}) AS BIGINT) AS max_value FROM lineitem"
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")),
     "next_event": """
         SELECT user_id, event_id, ts, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts
         FROM events""",

@@ -6,12 +6,14 @@ from quarry.sources.tables import (
     apply_schema,
     load,
     read_text_table,
+    replace,
     save,
     save_bucketed,
     stage,
     stage_all,
     table,
+    table_path,
 )
 
-__all__ = ["DRIVER_TABLES", "append_rows", "apply_schema", "load", "read_text_table", "save", "save_bucketed", "stage",
-           "stage_all", "table"]
+__all__ = ["DRIVER_TABLES", "append_rows", "apply_schema", "load", "read_text_table", "replace", "save", "save_bucketed", "stage",
+           "stage_all", "table", "table_path"]

@@ -7,6 +7,7 @@ prunes columns and pushes filters into each parquet scan of the final plan.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,13 @@ DRIVER_TABLES = (
 ).split()
 
 
+def table_path(base_dir: str, name: str) -> str:
+    return os.path.join(base_dir, f"{name}.parquet")
+
+
 def table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     """One table stored as `<base_dir>/<name>.parquet` (file or folder), as it is now."""
-    return spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
+    return spark.read.parquet(table_path(base_dir, name))
 
 
 def load(
@@ -77,13 +82,49 @@ def apply_schema(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def save(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
-    """Persist a result as parquet, replacing what was there (CREATE TABLE AS)."""
+    """Persist a result as parquet. `overwrite` removes what was there before it writes:
+    use `replace` where the query reads the old table, or the old rows must outlive a failure."""
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
+def replace(df: DataFrame, path: str, partition_by=None) -> DataFrame:
+    """Replace the parquet table at `path` by a query's result (CREATE TABLE AS over an
+    existing name), and return the new table.
+
+    The result is written beside the old table first, so the query may read the table
+    that it replaces, and a write that fails leaves the old rows as they were. Only a
+    whole result is switched in: the old folder is renamed away, the new one takes its
+    name, and the old one is deleted; if the switch fails, the old one is renamed back.
+    DataFrames made from the old table must not be used afterwards. On an object store,
+    where renaming is copying, name tables in a catalog and switch there instead.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    names = (path, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}")
+    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in names)
+    files = target.getFileSystem(conf)
+    try:
+        save(df, names[1], "errorifexists", partition_by)
+    except BaseException:
+        files.delete(fresh, True)
+        raise
+    had = files.exists(target)
+    if had and not files.rename(target, old):
+        files.delete(fresh, True)
+        raise OSError(f"{path} could not be renamed")
+    if not files.rename(fresh, target):
+        if had:
+            files.rename(old, target)
+        raise OSError(f"{path} could not be replaced; the new rows are in {names[1]}")
+    if had:
+        files.delete(old, True)
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
+
+
 def save_bucketed(
     df: DataFrame, table_name: str, keys: list[str], buckets: int, mode: str = "overwrite"
 ) -> DataFrame:
