@@ -44,31 +44,30 @@ def decode_list(
     rows without any known id are left out of the result, as in an inner join.
     """
     keys = [row_key] if isinstance(row_key, str) else list(row_key)
-    decoded = translate_list(df, col, sep, dtype, dim, dim_key, dim_label, out, out_sep)
-    rows = df.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col(col).alias("_of"))
-    rows = rows.join(decoded.withColumnRenamed(col, "_list"), F.col("_of") == F.col("_list"))
-    return rows.select(*[F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)], out)
+    return translate_list(df, col, sep, dtype, dim, dim_key, dim_label, out, out_sep).select(*keys, out)
 
 
 def translate_list(
     df: DataFrame, col: str, sep: str, dtype: str | None, dim: DataFrame, dim_key: str, dim_label: str,
     out: str, out_sep: str,
 ) -> DataFrame:
-    """(col, out): each distinct list of `df` with its tokens replaced by their labels, in
-    token order. While its tokens move, a list is known by a hash of its text, and each
-    group that is put together again holds one list's tokens."""
+    """The rows whose list has known tokens, with the column `out`: the tokens' labels in
+    token order. Each distinct list is translated once, known by a hash of its text, by
+    which the rows are joined to it; each group that is put together again holds one
+    list's tokens."""
     from quarry.operators.joins import join_dim
 
-    known = df.select(F.col(col).alias("_list")).filter("_list is not null").distinct().withColumn("_hash", F.sha2("_list", 256))
-    tokens = explode_list(known, "_list", sep, dtype, out="_tok", keep=["_hash"])
+    of = F.sha2(F.col(col), 256).alias("_of")
+    known = df.select(of, F.col(col).alias("_list")).filter("_list is not null").distinct()
+    tokens = explode_list(known, "_list", sep, dtype, out="_tok", keep=["_of"])
     named = join_dim(
         tokens, dim.select(F.col(dim_key).alias("_tok"), F.col(dim_label).alias("_lab")),
         "_tok", "inner",
     )
     lit = out_sep.replace("\\", "\\\\").replace("'", "\\'")
     ordered = F.expr(f"listagg(_lab, '{lit}') WITHIN GROUP (ORDER BY _tok, _lab)")
-    labels = named.groupBy("_hash").agg(ordered.alias(out))
-    return known.join(labels, "_hash").select(F.col("_list").alias(col), out)
+    labels = named.groupBy("_of").agg(ordered.alias(out))
+    return df.select("*", of).join(labels, "_of").drop("_of")
 
 
 def token_frequency(

@@ -75,16 +75,17 @@ def _in_slice(groups: list[str], order):
 
 def _marked(df: DataFrame, whole) -> DataFrame:
     """Adds marks of the first and the last row of each slice."""
-    return df.withColumn(_FIRST, F.row_number().over(whole) == 1).withColumn(
-        _LAST, F.lead(F.lit(1)).over(whole).isNull()
-    )
+    first, last = F.row_number().over(whole) == 1, F.lead(F.lit(1)).over(whole).isNull()
+    return df.select("*", first.alias(_FIRST), last.alias(_LAST))
 
 
-def _ends(marked: DataFrame, cols: list[str]) -> DataFrame:
-    """The boundary rows: (slice, end, cols), end 0 for the first and 1 for the last row."""
+def _ends(marked: DataFrame, cols: list[str], amounts: list[str]) -> DataFrame:
+    """The boundary rows: (slice, end, cols), end 0 for the first and 1 for the last row,
+    which alone carries the `amounts` out of the slice, as `_out<amount>`."""
     end = F.explode(F.array_compact(F.array(F.when(F.col(_FIRST), 0), F.when(F.col(_LAST), 1))))
     rows = marked.filter(F.col(_FIRST) | F.col(_LAST)).select(_PART, end.alias("_end"), *cols)
-    return rows.groupBy(_PART, "_end").agg(*[F.first(c).alias(c) for c in cols])
+    carried = [F.first(F.when(F.col("_end") == 1, F.col(c))).alias(f"_out{c}") for c in amounts]
+    return rows.groupBy(_PART, "_end").agg(*[F.first(c).alias(c) for c in cols], *carried)
 
 
 def _same(names: list[str], other: str = "_c_"):
@@ -123,17 +124,16 @@ def global_rank(
     groups, keys = list(partition_by), [c for c, _ in order_by]
     order = _sort_cols(order_by)
     local = Window.partitionBy(_PART, *groups).orderBy(*order)
-    ranked = _range_split(df, groups, order, spread_peers=True).withColumn(
-        "_r", (F.dense_rank() if dense else F.rank()).over(local).cast("bigint")
-    )
+    # the marks first: rows dealt by slice are also dealt by (slice, group), not the other way round
+    marked = _marked(_range_split(df, groups, order, spread_peers=True), _in_slice(groups, order))
     # what the group holds of the slice up to this run: keys, or rows with all peers
-    ranked = ranked.withColumn("_upto", F.col("_r") if dense else F.count(F.lit(1)).over(local))
-    ranked = _pinned(_marked(ranked, _in_slice(groups, order)))
+    place = (F.dense_rank() if dense else F.rank()).over(local).cast("bigint")
+    ranked = _pinned(marked.select("*", place.alias("_r"), (place if dense else F.count(F.lit(1)).over(local)).alias("_upto")))
 
-    ends = _ends(ranked, [*groups, *keys, "_r", "_upto"])
+    ends = _ends(ranked, [*groups, *keys, "_r", "_upto"], ["_upto"])
     along = Window.partitionBy(*groups).orderBy(_PART, "_end")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.when(F.col("_end") == 1, F.col("_upto"))).over(earlier), F.lit(0))
+    before = F.coalesce(F.sum("_out_upto").over(earlier), F.lit(0))
     previous = F.lag(F.struct(*keys)).over(along)
     ends = ends.withColumn("_before", before).withColumn("_previous", previous)
     if dense:
@@ -208,14 +208,12 @@ def cumulative(
     summed = summed.withColumn("_sum", F.coalesce(F.sum(metric).over(whole), F.lit(0))).withColumn("_n", F.count(metric).over(whole))
     summed = _pinned(_marked(summed, whole))
 
-    ends = _ends(summed, [*keys, "_sum", "_n"])
+    ends = _ends(summed, [*keys, "_sum", "_n"], ["_sum", "_n"])
     earlier = Window.orderBy(_PART, "_end").rowsBetween(Window.unboundedPreceding, -1)
     run = Window.partitionBy(*keys).orderBy(_PART, "_end").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for v in ("_sum", "_n"):
-        before = F.coalesce(F.sum(F.when(F.col("_end") == 1, F.col(v))).over(earlier), F.lit(0))
-        ends = ends.withColumn(f"_before{v}", before)
-    for v in ("_sum", "_n"):
-        ends = ends.withColumn(f"_through{v}", F.last(F.col(f"_before{v}") + F.col(v)).over(run))
+    amounts = ("_sum", "_n")
+    ends = ends.select("*", *[F.coalesce(F.sum(f"_out{v}").over(earlier), F.lit(0)).alias(f"_before{v}") for v in amounts])
+    ends = ends.select("*", *[F.last(F.col(f"_before{v}") + F.col(v)).over(run).alias(f"_through{v}") for v in amounts])
     carry = ends.filter("_end = 1").select(
         _PART, *[F.col(c).alias(f"_c_{c}") for c in keys], "_before_sum", "_before_n", "_through_sum", "_through_n"
     )

@@ -128,8 +128,8 @@ def _encoded_word_lists(t: Tables, vocab: DataFrame) -> DataFrame:
     """Per part, the ids of its name's words as comma-separated text: a multi-valued
     text column. Names recur, so each distinct name is encoded once."""
     ids = vocab.select("word", F.col("word_id").cast("string").alias("id"))
-    encoded = lists.translate_list(t.part, "p_name", " ", None, ids, "word", "id", "word_ids", ",")
-    return t.part.select("p_partkey", "p_name").join(encoded, "p_name").select("p_partkey", "word_ids")
+    parts = t.part.select("p_partkey", "p_name")
+    return lists.translate_list(parts, "p_name", " ", None, ids, "word", "id", "word_ids", ",").select("p_partkey", "word_ids")
 
 
 # ---------------------------------------------------------------- restaurant analogues
@@ -160,8 +160,9 @@ def _chosen_lines(t: Tables, cols: list[str], chosen: DataFrame) -> DataFrame:
 def first_item_per_customer(spark, d):
     """Brands bought on each customer's first day with lines (all ties kept).
 
-    Orders alone are ranked (a partial top-k before the shuffle); only the lines of
-    the orders that stay are moved.
+    Orders that have lines are ranked (a partial top-k before the shuffle); of the lines,
+    only the distinct order keys and the lines of the orders that stay are moved. Part
+    keys are taken to be those of parts, as the foreign key says.
     """
     t = Tables(spark, d)
     orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.to_date("o_orderdate").alias("order_day"))

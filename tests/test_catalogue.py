@@ -101,13 +101,15 @@ MAX_EXCHANGES = {
     "changed_unchanged": 3,       # flags counted per order before meeting orders
     "best_customer_per_nation": 6, # one of them nation, 25 rows, without a broadcast hint
     "favourite_item_ties": 6,
-    "first_item_per_customer": 6,
-    "top_supplier_top_buyer": 7,  # (supplier, order) sums are read twice: one of these is a reuse of another
-    "top_in_top_categories": 10,
-    "top_per_year_in_top_categories": 12,
-    "rank_of_one": 8,             # the grouped result twice, with the same plan
-    "weighted_rank_by_count": 5,
-    "producers_in_segment": 5,
+    "first_item_per_customer": 10,  # of order keys and chosen lines: see test_only_lines_of_chosen_orders_move; one is a reuse
+    "top_supplier_top_buyer": 5,  # supplier totals, then the lines of one supplier
+    "top_in_top_categories": 7,
+    "top_per_year_in_top_categories": 8,
+    "top_type_per_nation": 9,
+    "top_type_in_year": 6,
+    "rank_of_one": 6,             # the grouped result twice, with the same plan
+    "weighted_rank_by_count": 4,
+    "producers_in_segment": 4,
     "in_list_sum": 7,
     "count_per_group_filtered": 5,
 }
@@ -118,8 +120,8 @@ def line_shuffles(plan: str) -> int:
     return len(re.findall(r"FileScan parquet \[l_", plan))
 
 
-@pytest.mark.parametrize("name", ["top_supplier_top_buyer", "top_in_top_categories", "top_per_year_in_top_categories",
-                                  "rank_of_one", "first_item_per_customer", "producers_in_segment", "weighted_rank_by_count"])
+@pytest.mark.parametrize("name", ["top_in_top_categories", "top_per_year_in_top_categories", "rank_of_one",
+                                  "producers_in_segment", "weighted_rank_by_count", "top_type_in_year", "top_type_per_nation"])
 def test_lineitem_is_scanned_once(spark, name):
     """Broadcast branches over the same reduced lines reuse their exchange."""
     df = QUERIES[name](spark, SF0001)
@@ -175,3 +177,85 @@ def test_every_query_names_its_survey_ids():
     from quarry.plans.catalogue import SURVEY_IDS
 
     assert set(SURVEY_IDS) == set(QUERIES)
+
+
+def static_plan(spark, name) -> str:
+    """The plan with broadcasts and AQE off, where every join shuffles unless it is hinted."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            QUERIES[name](spark, SF0001).explain()
+        return buf.getvalue()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def below_exchanges(plan: str) -> list[list[str]]:
+    """For each exchange: the operators between it and the exchanges or scans below it."""
+    lines = [(len(re.match(r"[ :+\-]*", x).group(0)), x) for x in plan.splitlines()]
+    out = []
+    for i, (depth, x) in enumerate(lines):
+        if re.search(r"(?<!Broadcast)Exchange (hash|range)partitioning", x) and "ReusedExchange" not in x:
+            stage, cut = [x], None
+            for d, y in lines[i + 1 :]:
+                if d <= depth:
+                    break
+                if cut is not None and d > cut:
+                    continue
+                cut = d if "Exchange" in y else None
+                if cut is None:
+                    stage.append(y)
+            out.append(stage)
+    return out
+
+
+def line_exchanges(plan: str) -> list[list[str]]:
+    return [s for s in below_exchanges(plan) if any("FileScan parquet [l_" in y for y in s)]
+
+
+@pytest.mark.parametrize("name", ["weighted_rank_by_count", "top_in_top_categories", "producers_in_segment"])
+def test_lines_move_once_on_the_part_key(spark, name):
+    """Later exchanges carry partial sums by supplier."""
+    plan = static_plan(spark, name)
+    moved = line_exchanges(plan)
+    assert moved and all("hashpartitioning(l_partkey" in s[0] for s in moved), plan
+    assert len({re.sub(r"#\d+L?|plan_id=\d+", "", s[0]) for s in moved}) == 1
+    for s in below_exchanges(plan):
+        if "l_suppkey" in s[0] and not any("FileScan" in y for y in s):
+            assert "partial_" in "".join(s), s
+
+
+@pytest.mark.parametrize("name", ["top_type_in_year", "first_item_per_customer"])
+def test_only_lines_of_chosen_orders_move(spark, name):
+    """Lines meet the broadcast key filter in their scan stage; what else moves of them are distinct order keys."""
+    moved = line_exchanges(static_plan(spark, name))
+    assert moved
+    for s in moved:
+        text = "".join(s)
+        assert "getbit" in text or ("HashAggregate(keys=[l_orderkey" in text and "l_partkey" not in s[0]), s
+    assert any("getbit" in "".join(s) for s in moved)
+
+
+def test_only_lines_of_the_chosen_supplier_move(spark):
+    """Totals are partial sums; the second scan meets the one chosen supplier before it is shuffled."""
+    moved = line_exchanges(static_plan(spark, "top_supplier_top_buyer"))
+    assert len(moved) == 2
+    for s in moved:
+        text = "".join(s)
+        assert "partial_sum" in text if "l_suppkey" in s[0] else "BroadcastHashJoin" in text, s
+
+
+def test_row_counts_come_from_footers(spark):
+    plan = plan_of(QUERIES["row_counts"](spark, SF0001))
+    assert plan.count("PushedAggregation: [COUNT(*)]") == len(DRIVER_TABLES)
+    assert "PushedAggregation: [COUNT(*), COUNT(l_orderkey), MIN(l_orderkey)" in plan_of(QUERIES["key_ranges"](spark, SF0001))
+
+
+def test_distinct_keys_move_as_words(spark):
+    plan = plan_of(QUERIES["distinct_orders"](spark, SF0001))
+    assert "bit_or" in plan and "hashpartitioning(_word" in plan

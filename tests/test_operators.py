@@ -225,7 +225,7 @@ def test_range_split_spreads_a_hot_key(spark, skewed):
     assert len(parts) >= 2 and max(parts.values()) < hot
 
 
-def plan_text(df, **conf):
+def plan_text(df, mode="simple"):
     """The static plan with broadcasts and AQE off."""
     import contextlib
     import io
@@ -238,7 +238,7 @@ def plan_text(df, **conf):
     try:
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
-            df.explain()
+            df.select("*").explain(mode)
         return buf.getvalue()
     finally:
         for k, v in old.items():
@@ -352,3 +352,145 @@ def test_decode_list_separator_with_quote(spark):
     dim = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
     got = lists.decode_list(df, "k", "l", dim, "id", "name", out_sep="' \\\\ ").collect()
     assert got[0]["labels"] == "a' \\\\ b"
+
+
+# ---- orderings: boundary rows --------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def long_runs(spark):
+    """Runs of equal keys and groups that span many slices, single-row groups, NULLs."""
+    data = [("a", 5, i, i % 7) for i in range(150)] + [("a", i % 3, 200 + i, None) for i in range(60)]
+    data += [("b", 1, 300 + i, 2) for i in range(40)] + [(None, None, 400 + i, 1) for i in range(30)]
+    data += [(f"s{i}", i % 2, 500 + i, i) for i in range(25)]
+    return spark.createDataFrame(data, "g string, k int, id int, v int").repartition(3)
+
+
+@pytest.fixture(params=[1, 3, 16, 61])
+def slices(spark, request):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("desc", [False, True])
+def test_ranks_over_runs_that_span_slices(spark, long_runs, slices, desc):
+    order = [F.col("k").desc_nulls_last() if desc else F.col("k").asc_nulls_first()]
+    for method, fn in (("rank", F.rank), ("dense_rank", F.dense_rank)):
+        want = long_runs.withColumn("r", fn().over(Window.orderBy(*order)).cast("bigint"))
+        assert rows(sequence.global_rank(long_runs, [("k", desc)], method, "r")) == rows(want)
+        want = long_runs.withColumn("r", fn().over(Window.partitionBy("g").orderBy(*order)).cast("bigint"))
+        assert rows(sequence.group_rank(long_runs, "g", [("k", desc)], method, "r")) == rows(want)
+
+
+def test_totals_over_runs_that_span_slices(spark, long_runs, slices):
+    df = long_runs.select("k", "id", F.col("v").cast("decimal(10,2)").alias("m"))
+    w = Window.orderBy(F.col("k").asc_nulls_first())
+    want = df.withColumn("running_total", F.sum("m").over(w))
+    assert rows(sequence.cumulative(df, [("k", False)], "m"), "k", "id", "running_total") == rows(want, "k", "id", "running_total")
+
+
+def test_next_value_over_slices(spark, long_runs, slices):
+    w = Window.partitionBy("g").orderBy(F.col("k").desc_nulls_last(), F.col("id").asc_nulls_first())
+    want = long_runs.withColumn("nxt", F.lead("v", 1).over(w))
+    assert rows(sequence.next_value(long_runs, "g", [("k", True), ("id", False)], "v", "nxt")) == rows(want)
+
+
+@pytest.mark.parametrize("run", [
+    lambda df: sequence.global_rank(df, [("k", False)], out="r"),
+    lambda df: sequence.group_rank(df, "g", [("k", False)], "dense_rank", "r"),
+    lambda df: sequence.cumulative(df.withColumn("m", F.col("v").cast("decimal(10,2)")), [("k", False)], "m"),
+    lambda df: sequence.next_value(df, "g", [("id", False)], "v"),
+])
+def test_orderings_pin_once_and_join_back_nothing(spark, long_runs, run, monkeypatch):
+    pins = []
+    pinned = sequence._pinned
+    monkeypatch.setattr(sequence, "_pinned", lambda df: pins.append(df) or pinned(df))
+    res = run(long_runs)
+    assert len(pins) == 1 and run(long_runs.limit(0)).collect() == []
+    # the rows meet only the broadcast carry, one row per slice; none of them moves again
+    plan = plan_text(res)
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
+    big = plan.split("BroadcastExchange")[0]
+    assert "Exchange" not in big
+    first = plan_text(pins[0])
+    assert first.count("Exchange rangepartitioning") == 1 and first.count("Exchange hashpartitioning") == 1
+
+
+# ---- what reaches a shuffle -----------------------------------------------------------
+
+
+def test_key_filter_keeps_all_matches(spark):
+    from quarry.operators import prefilter
+
+    keys = spark.range(0, 5000, 7).union(spark.createDataFrame([(-5,), (2**62,), (None,)], "id long"))
+    facts = spark.range(-100, 6000).union(spark.createDataFrame([(None,), (2**62,)], "id long")).withColumn("x", F.lit(1))
+    for bits in (64, 1 << 12, 1 << 25):
+        kept = [r["id"] for r in prefilter.may_match(facts, "id", keys, "id", bits).collect()]
+        wanted = {r["id"] for r in facts.join(keys, "id", "left_semi").collect()}
+        assert wanted <= set(kept) and None not in kept and len(kept) == len(set(kept))
+    assert set(kept) == wanted  # few keys, many bits
+    assert prefilter.key_filter(spark.range(100_000), "id", 1 << 10).count() == 16  # bounded by the bits
+
+
+def test_count_distinct_whole(spark):
+    values = [0, 1, 63, 64, 64, -1, -64, -65, 2**63 - 1, -(2**63), None, 5, 5]
+    df = spark.createDataFrame([(v,) for v in values], "k long")
+    assert summary.count_distinct_whole(df, "k").collect()[0][0] == len({v for v in values if v is not None})
+    assert summary.count_distinct_whole(df.limit(0), "k").collect()[0][0] == 0
+    dense = summary.count_distinct_whole(spark.range(64_000).withColumnRenamed("id", "k"), "k")
+    assert dense.collect()[0][0] == 64_000
+
+
+def test_footer_profile_reads_footers_only(spark, tmp_path):
+    from quarry.operators import profile
+
+    path = str(tmp_path / "t.parquet")
+    data = [(i, None if i % 3 else i - 50, float("nan")) for i in range(100)]
+    spark.createDataFrame(data, "a long, b int, x double").repartition(4).write.parquet(path)
+    res = profile.footer_profile(spark, path, ["a", "b"])
+    assert rows(res) == [("a", 100, 100, 0, 99), ("b", 100, 34, -50, 49)]
+    assert "PushedAggregation: [COUNT(*), COUNT(a), MIN(a), MAX(a)" in plan_text(res, mode="formatted")
+    counts = profile.row_counts_from_footers(spark, {"t": path})
+    assert rows(counts) == [("t", 100)] and "PushedAggregation: [COUNT(*)]" in plan_text(counts, mode="formatted")
+    with pytest.raises(ValueError):
+        profile.footer_profile(spark, path, ["x"])  # NaN is not in the footers
+
+
+def test_each_list_is_translated_once(spark):
+    dim = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "id int, name string")
+    df = spark.createDataFrame([(i, "3, 1,9" if i % 2 else "4") for i in range(1000)] + [(1001, None), (1002, "9"), (1003, "")], "k int, l string")
+    got = lists.decode_list(df, "k", "l", dim, "id", "name")
+    assert rows(got) == [(i, "n1, n3" if i % 2 else "n4") for i in range(1000)]
+    exploded = got._jdf.queryExecution().optimizedPlan().toString()
+    below = exploded[exploded.index("Generate explode"):]
+    assert "Aggregate [_of" in below  # only distinct lists are exploded
+
+
+# ---- replacing a table -----------------------------------------------------------------
+
+
+def test_replace_reads_the_table_it_replaces(spark, tmp_path):
+    from quarry.sources import replace
+
+    path = str(tmp_path / "t")
+    first = replace(spark.range(10).withColumn("x", F.lit("old")), path)
+    assert first.count() == 10
+    second = replace(first.filter("id >= 4").select("id", F.lit("new").alias("x")), path)
+    assert rows(second) == [(i, "new") for i in range(4, 10)] == rows(spark.read.parquet(path))
+    third = replace(second.groupBy("x").count(), path, partition_by=["x"])
+    assert rows(third, "x", "count") == [("new", 6)]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]  # nothing left beside it
+
+
+def test_failed_replace_keeps_the_old_rows(spark, tmp_path):
+    from quarry.sources import replace
+
+    path = str(tmp_path / "t")
+    old = replace(spark.range(100), path)
+    broken = old.select(F.when(F.col("id") > 50, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        replace(broken, path)
+    assert rows(spark.read.parquet(path)) == [(i,) for i in range(100)]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
