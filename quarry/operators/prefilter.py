@@ -31,5 +31,14 @@ def key_filter(keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:
 def may_match(facts: DataFrame, fact_key: str, keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:
     """The rows of `facts` whose key can be among the keys: all that are, and few others."""
     place = _place(F.col(fact_key), bits)
-    near = facts.withColumn(_WORD, F.shiftright(place, 6)).join(F.broadcast(key_filter(keys, key, bits)), _WORD)
+    known = facts.filter(F.col(fact_key).isNotNull()).withColumn(_WORD, F.shiftright(place, 6))
+    near = known.join(F.broadcast(key_filter(keys, key, bits)), _WORD)
     return near.filter(F.getbit(F.col(_BITS), place % 64) == 1).select(*facts.columns)
+
+
+def cannot_match(facts: DataFrame, fact_key: str, keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:
+    """The other rows of `facts`, those with a NULL key among them: none has a key among the keys."""
+    place = _place(F.col(fact_key), bits)
+    near = facts.withColumn(_WORD, F.shiftright(place, 6)).join(F.broadcast(key_filter(keys, key, bits)), _WORD, "left")
+    unset = F.coalesce(F.getbit(F.col(_BITS), place % 64), F.lit(0)) == 0
+    return near.filter(unset | F.col(fact_key).isNull()).select(*facts.columns)
