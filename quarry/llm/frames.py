@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,27 +16,51 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder of the tables staged inside `scratch`.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def staging_folder(spark: SparkSession) -> str:
     """This application's folder under the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    return f"{staging_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside (without a path of its own) is deleted at the end."""
+    path = new_path(spark)
+    token = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        delete(spark, path)
+
+
+def staged(df: DataFrame, path: str | None = None) -> DataFrame:
     """The frame written as Parquet to the shared checkpoint folder and read back.
 
     It cuts lineage, keeps a result that several later steps read, and outlives
-    lost executors. `drop_staged` removes all such tables of the application.
+    lost executors. `scratch` removes such tables when a step is done, `drop_staged`
+    all of the application.
     """
-    path = f"{staging_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = path or f"{_SCRATCH.get() or staging_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete the staged tables; call it when no result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, staging_folder(spark))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -270,5 +270,5 @@ def test_pipeline_takes_odd_rows(spark):
 
 
 def test_every_operator_has_its_query():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "substring_dedup", "decontaminate", "pack"]
