@@ -3,7 +3,8 @@
 Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; all but
 the last keep the columns of documents. `run` writes every stage's rows to the shared
 checkpoint folder and reads them again for the next one, so a lost executor costs a
-stage's tasks and never the stages before.
+stage's tasks and never the stages before. What a stage staged on its way, and the rows of the
+stage before, are deleted then.
 
 1. language_id: documents stay whose language is identified: one of the learned
    languages, with an expected share of at least `LEAST_SHARE` of their words, so that
@@ -30,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.decontaminate import decontaminate
-from quarry.llm.frames import free_name, read, staged
-from quarry.llm.jaccard_join import members, with_class
+from quarry.llm.frames import delete, free_name, new_path, read, scratch, staged
+from quarry.llm.jaccard_join import members
 from quarry.llm.language_id import identify, learn
 from quarry.llm.packing import pack, tokenizer_path
 from quarry.llm.substring_dedup import substring_dedup
+from quarry.operators import prefilter
 
 LEAST_SHARE = 0.3
 
@@ -46,14 +48,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own, component, place = (free_name(docs, n) for n in ("class", "component", "place"))
-    _, named = members(docs)
+    """Which rows stay is settled on (id, text hash, component); texts move only of rows that
+    have a partner. All others are told apart in their scan, by a broadcast filter of the
+    partners' text hashes (8 MB at most), and never shuffled; the few that pass it by chance
+    are kept by the exact join."""
+    key, id_, hash_, component, place = (free_name(docs, n) for n in ("key", "partner_id", "partner_key", "component", "place"))
+    tagged = docs.withColumn(key, F.xxhash64("text"))
+    known, named = members(tagged.select(F.struct(F.col("doc_id").alias("id"), F.col(key).alias("key")).alias("doc"), "text"), "doc")
     sizes = named.groupBy("component").agg(F.sum("copies").alias("rows")).filter("rows > 1")
-    several = staged(named.join(sizes, "component").select(F.col("class").alias(own), F.col("component").alias(component)))
-    tagged = with_class(docs, own)
-    alone = tagged.join(several, own, "left_anti")  # texts without words too
-    order = Window.partitionBy(component).orderBy(F.asc_nulls_last("doc_id"), "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    first = tagged.join(several, own).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    classes = named.join(sizes, "component").select("class", F.col("component").alias(component))
+    partners = known.join(classes, "class").select(F.col("doc.id").alias(id_), F.col("doc.key").alias(hash_), component)
+    partners = staged(partners.distinct())
+    least = partners.groupBy(component).agg(F.min(id_).alias("least"))  # null only if no row has an id
+    firsts = staged(partners.join(least, component).filter(F.col(id_).eqNullSafe(F.col("least"))).drop("least"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_))
+
+    near = prefilter.may_match(tagged, key, partners, hash_)
+    alone = prefilter.cannot_match(tagged, key, partners, hash_).unionByName(near.join(partners, same, "left_anti"))
+    # rows of one component with its smallest id, most often one: the first by its text
+    held = prefilter.may_match(tagged, key, firsts, hash_).join(firsts, same)
+    order = Window.partitionBy(component).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    first = held.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
     return alone.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
@@ -88,9 +103,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = staged(docs)
-    return docs
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = new_path(spark)
+        with scratch(spark):  # what the stage staged goes once its rows are written
+            docs = staged(stage(spark, docs, sf_dir), path)
+        if before:
+            delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
