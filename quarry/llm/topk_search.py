@@ -8,14 +8,16 @@ falling order of that bound, until it lies below the k-th score found so far.
 
 1. Every query searches the shard it lies in; its k-th score there is a floor that
    the final k-th score cannot fall below.
-2. The queries, in groups of bounded size, meet every shard with that floor; each
-   pair keeps its k best, and the best of all pairs are the result.
+2. Queries meet the term maxima of the shards, a few hundred of both at a time. A query goes
+   on only to shards whose bound reaches its floor.
+3. There the queries, in groups of bounded size, meet the shard's blocks with that floor; each
+   pair of a shard and a group keeps its k best, and the best of all pairs are the result.
 
 The order is fitted on `PIVOTS` vectors; it decides how much is pruned, never the
 result. Weights are whole numbers, so sums in doubles are exact up to 2**53.
 
 Defined results: vectors that are null or hold null or non-finite components take no
-part; shorter vectors count as padded with zeros; rows of one id and one vector are
+part, nor do those with a scaled component beyond a long; shorter vectors count as padded with zeros; rows of one id and one vector are
 one candidate, and no row with the query's id is a candidate of it.
 """
 
@@ -36,6 +38,8 @@ K, EVERY, SCALE = 20, 20, 64
 PIVOTS = 64
 #: Vectors of a block and of a shard, queries of a group.
 BLOCK, SHARD, QUERIES_AT_ONCE = 256, 4096, 8192
+#: Shards and queries whose bounds are looked at together.
+SHARDS_ROUTED, QUERIES_ROUTED = 256, 512
 #: Below every score.
 NONE = -(2**62)
 
@@ -50,7 +54,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCA
                 if i is None or x is None or any(c is None for c in x):
                     continue
                 x = np.floor(scale * np.asarray(x, np.float64))
-                if np.isfinite(x).all():
+                if (np.abs(x) < 2.0**63).all():  # NaN and the infinities are not
                     ids.append(i)
                     out.append(x.astype(np.int64).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "v"])
@@ -159,15 +163,15 @@ def _cut(width: int) -> Callable:
     return cut
 
 
-def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Callable[[Column], Column], k: int = K, scale: int = SCALE) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best candidates of each query; is_query takes the id column."""
-    rows = staged(quantised(vectors, id_col, vector_col, scale).withColumn("asked", F.coalesce(is_query(F.col("id")), F.lit(False))))
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("v")), F.lit(8)).alias("bytes"), F.coalesce(F.sum(F.col("asked").cast("int")), F.lit(0)).alias("queries")).first()
-    width, shards, groups = max(1, size["bytes"] // 8), max(1, math.ceil(size["n"] / SHARD)), max(1, math.ceil(size["queries"] / QUERIES_AT_ONCE))
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id", "v").limit(PIVOTS).collect()]
-    pivots = matrix(sample, width).astype(np.float64) if sample else np.zeros((1, width))
-    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-9)
+def _maxima(part: pd.DataFrame, width: int) -> pd.DataFrame:
+    """(shard, high, low): a shard's largest and smallest weight of each term."""
+    vectors = [np.frombuffer(v, np.int64).reshape(-1, width) for v in part["vectors"]]
+    high, low = np.max([v.max(0) for v in vectors], axis=0), np.min([v.min(0) for v in vectors], axis=0)
+    return pd.DataFrame({"shard": part["shard"].iloc[:1], "high": [high.tobytes()], "low": [low.tobytes()]})
+
 
+def shards_and_queries(rows: DataFrame, width: int, shards: int, pivots: np.ndarray, k: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks (shard, number, ids, asked, vectors) of all vectors, and the queries (id, v, floor)."""
     ordered = rows.mapInArrow(_near(pivots, width), "id long, v binary, asked boolean, p1 int, p2 int").repartitionByRange(shards, "p1", "p2", "id").sortWithinPartitions("p1", "p2", "id", "v")
     blocks = staged(ordered.mapInArrow(_cut(width), "number int, ids binary, asked binary, vectors binary").withColumn("shard", F.spark_partition_id()))
 
@@ -181,6 +185,45 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Callable[[
         np.minimum.at(worst, place, score)
         return pd.DataFrame({"id": query_ids, "v": [q.tobytes() for q in queries], "floor": np.where(np.bincount(place, minlength=len(query_ids)) >= k, worst, none)})
 
+    return blocks, staged(blocks.groupBy("shard").applyInPandas(home, "id long, v binary, floor long"))
+
+
+def routed(blocks: DataFrame, queries: DataFrame, width: int) -> DataFrame:
+    """(shard, id, v, floor): each query with every shard whose bound reaches its floor.
+
+    The shards are those that the blocks have, however the range split fell.
+    """
+
+    def route(_, shards: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        if shards.empty or asking.empty:
+            return pd.DataFrame({"shard": [], "id": [], "v": [], "floor": []}).astype({"shard": np.int32, "id": np.int64, "v": object, "floor": np.int64})
+        high, low, q = (matrix(list(x), width) for x in (shards["high"], shards["low"], asking["v"]))
+        floor = asking["floor"].to_numpy(np.int64)
+        a, b = np.nonzero(product(np.maximum(q, 0), high) + product(np.minimum(q, 0), low) >= floor[:, None])
+        return pd.DataFrame({"shard": shards["shard"].to_numpy()[b], "id": asking["id"].to_numpy()[a], "v": asking["v"].to_numpy()[a], "floor": floor[a]})
+
+    maxima = blocks.groupBy("shard").applyInPandas(lambda part: _maxima(part, width), "shard int, high binary, low binary")
+    maxima = staged(maxima.withColumn("some", F.floor(F.col("shard") / SHARDS_ROUTED).cast("int")))
+    somes = [r["some"] for r in maxima.select("some").distinct().collect()]  # one for SHARDS_ROUTED shards
+    groups = max(1, math.ceil(queries.count() / QUERIES_ROUTED))
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp")
+    every_some = F.explode(F.array(*[F.lit(x) for x in somes]) if somes else F.array().cast("array<int>")).alias("some")
+    asking = queries.withColumn("grp", F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int"))
+    met = maxima.select("*", every_group).groupBy("some", "grp").cogroup(asking.select("*", every_some).groupBy("some", "grp"))
+    return met.applyInPandas(route, "shard int, id long, v binary, floor long")
+
+
+def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Callable[[Column], Column], k: int = K, scale: int = SCALE) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best candidates of each query; is_query takes the id column."""
+    rows = staged(quantised(vectors, id_col, vector_col, scale).withColumn("asked", F.coalesce(is_query(F.col("id")), F.lit(False))))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("v")), F.lit(8)).alias("bytes"), F.coalesce(F.sum(F.col("asked").cast("int")), F.lit(0)).alias("queries")).first()
+    width, shards, groups = max(1, size["bytes"] // 8), max(1, math.ceil(size["n"] / SHARD)), max(1, math.ceil(size["queries"] / QUERIES_AT_ONCE))
+    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id", "v").limit(PIVOTS).collect()]
+    pivots = matrix(sample, width).astype(np.float64) if sample else np.zeros((1, width))
+    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-9)
+    blocks, queries = shards_and_queries(rows, width, shards, pivots, k)
+    asking = staged(routed(blocks, queries, width).withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")))
+
     def meet(_, part: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         """A shard's k best for each query of a group."""
         if part.empty or asking.empty:
@@ -190,10 +233,9 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Callable[[
         place, found, score = Shard(ids, own).search(query_ids, matrix(list(asking["v"]), width), asking["floor"].to_numpy(np.int64), k)
         return pd.DataFrame({"query_id": query_ids[place], "vec_id": found, "score": score})
 
-    queries = staged(blocks.groupBy("shard").applyInPandas(home, "id long, v binary, floor long").withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")))
-    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp")
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    met = blocks.select("*", every_group).groupBy("shard", "grp").cogroup(queries.select("id", "v", "floor", "grp", every_shard).groupBy("shard", "grp"))
+    wanted = asking.select(F.col("shard").alias("to_shard"), F.col("grp").alias("to_grp")).distinct()
+    sent = blocks.join(wanted, F.col("shard") == F.col("to_shard")).select("number", "ids", "asked", "vectors", F.col("to_shard").alias("shard"), F.col("to_grp").alias("grp"))
+    met = sent.groupBy("shard", "grp").cogroup(asking.groupBy("shard", "grp"))
     best = met.applyInPandas(meet, "query_id long, vec_id long, score long")
     # repeated queries (one id, several vectors) keep the best of a candidate
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -7,8 +7,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from quarry.llm import resampling, simhash, whitening
+from quarry.llm import resampling, simhash, topk_search, whitening
 from tests.llm import brute
 
 ROW = "doc_id long, text string, rank string, score string, component_id string, print string, n string, x string"
@@ -229,3 +230,48 @@ def test_simhash_of_nothing(spark):
 def test_fingerprint_is_over_half_of_repeated_shingles():
     t = "a b c d a b c d a b c d x"
     assert simhash.fingerprint([t.encode()])[0] == int(brute.simhash([(1, t)])[0][1], 16)
+
+
+# ---- top-k search: shards ------------------------------------------------------------
+
+
+def clusters(seed=6, n=600, d=8):
+    """Vectors around a few far apart centres, as (id, vector) rows."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((6, d)) * 20
+    return [(i, (centres[i % 6] + rng.standard_normal(d)).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("partitions", [None, 37, 211])
+def test_top_k_searches_all_shards_however_the_split_falls(spark, monkeypatch, partitions):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    monkeypatch.setattr(topk_search, "SHARD", 100)
+    monkeypatch.setattr(topk_search, "SHARDS_ROUTED", 10)
+    monkeypatch.setattr(topk_search, "QUERIES_ROUTED", 16)
+    if partitions:
+        split = Classic.repartitionByRange
+        monkeypatch.setattr(Classic, "repartitionByRange", lambda self, n, *by: split(self, max(n, partitions), *by))
+    rows = clusters()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk_search.top_k(frame, "vec_id", "embedding", lambda i: i % 20 == 0)
+    assert {tuple(r) for r in got.collect()} == brute.top_k(rows)
+
+
+def test_top_k_sends_a_query_only_where_its_bound_reaches(spark):
+    rows = clusters(n=1200)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    packed = topk_search.quantised(frame, "vec_id", "embedding").withColumn("asked", F.col("id") % 20 == 0)
+    pivots = np.array([v for _, v in rows[:6]])
+    blocks, queries = topk_search.shards_and_queries(packed, 8, 12, pivots / np.linalg.norm(pivots, axis=1, keepdims=True), 20)
+    pairs = topk_search.routed(blocks, queries, 8)
+    shards = blocks.select("shard").distinct().count()
+    assert queries.count() == 60 and shards >= 10
+    assert 60 <= pairs.count() <= 60 * shards // 2  # of all pairs of a query and a shard
+
+
+def test_top_k_leaves_out_what_a_long_cannot_hold(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(25)] + [(40, [1e18, 0.0]), (60, [1e300, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk_search.top_k(frame, "vec_id", "embedding", lambda i: i % 20 == 0).collect()}
+    assert got == brute.top_k(rows[:25])
