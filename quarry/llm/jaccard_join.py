@@ -20,18 +20,19 @@ Candidates. Signatures are compared in buckets by packed blocks, and only those
 or more different sets go on. A set with fewer shared signatures than its bound drops
 out. Of the others, the rarest go on that leave fewer than the bound: of all that two
 linked sets share, the rarest is among them on both sides, and what very many sets
-share (a common line) is not. Sets
-that have a signature of the same members in common meet in cells: the members are
-dealt over parts of bounded size, and each two parts are a cell. A pair
-that meets in several signatures counts in the first that both have. Sets that have no
-such pair in a cell leave it; the cell compares all pairs of the others exactly by their
-shingles, so each link counts once. A cell gives each set the number of
-its links and, of the links themselves, only as many as connect what they connect: the
-work on m sets that share a signature is m * m, the rows are not.
-
-Equal sets are one class from the start, so copies cost nothing; links are weighted by
-the documents of the class. Shingles and classes
-are 64-bit hashes.
+share (a common line) is not. Sets that have a signature of the same members in common are a
+group, one narrow row for each set and group.
+
+Hubs. What links connect is found in rounds. In each, the next hubs of every group, those that share the
+most signatures first, are compared exactly with the members after them; each two
+sets are compared once, whatever groups they share. The links are merged into components,
+and groups whose members lie all in one are finished. The centre of a cluster of near
+copies shares most, so the first rounds finish it: rows grow with its members, not with
+their pairs. Members of different components go on, until each hub has had its turn.
+A hub's members are dealt over parts of bounded size, each with the hub's set.
+
+Equal sets are one class from the start, so copies cost nothing. Shingles and classes are
+64-bit hashes.
 
 Defined results: null and empty texts have the empty set and link with nothing;
 fewer than five words are one shingle; repeated rows and ids each have their row.
@@ -51,14 +52,15 @@ from pyspark.sql import functions as F
 from quarry.llm.components import components
 from quarry.llm.frames import read, staged
 from quarry.llm.words import Block, Runs, U, blocks, mix, signed
+from quarry.operators import prefilter
 
 SHINGLE = 5
 #: Tables that a set with too many empty partitions signs before its single shingles.
 TABLES = 2
 #: Signatures that linked sets share at least; sets of three shingles have no more.
 SHARED = 3
-#: Sets, and shingles, of a part on average.
-PART_SETS, PART_SHINGLES = 512, 1_000_000
+#: Members that a hub meets in one part on average; hubs of a group in the first round, and their growth.
+PART_SETS, GROWTH = 4096, 4
 #: Signatures that a packed block holds, and that a bucket holds on average.
 BLOCK_SIGNATURES, BUCKET_SIGNATURES = 2_000_000, 1_500_000
 
@@ -216,111 +218,78 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"]).filter(pa.array(same, pa.bool_()))
 
 
-class _Lists:
-    """Lists of distinct values, to be compared with one of them at a time."""
-
-    def __init__(self, lists: list):
-        values, self.index = np.unique(np.concatenate([np.asarray(x) for x in lists if len(x)] or [np.zeros(0, np.int64)]), return_inverse=True)
-        self.at, self.mark = np.concatenate(([0], np.cumsum([len(x) for x in lists]))), np.zeros(len(values), np.int64)
-
-    def common(self, a: int, lo: int) -> np.ndarray:
-        """Of each list from `lo` on: how much it shares with list `a`."""
-        own, at = self.index[self.at[a] : self.at[a + 1]], self.at[lo:] - self.at[lo]
-        self.mark[own] = 1
-        run = np.concatenate(([0], np.cumsum(self.mark[self.index[self.at[lo] :]])))
-        self.mark[own] = 0
-        return run[at[1:]] - run[at[:-1]]
-
-
-def _pairs(part: list[int]) -> Iterator[tuple[int, int]]:
-    """(a, lo) for rows ordered by part: a is compared with all from lo on; with two parts only rows of different ones are."""
-    m = part.count(part[0])
-    for a in range(m if m < len(part) else m - 1):
-        yield a, m if m < len(part) else a + 1
-
-
-def cell_candidates(rows: list[tuple], percent: int) -> list[tuple]:
-    """The rows (part, class, before, n) that can link by their sizes with another that they first meet here."""
-    part, _, before, n = zip(*rows)
-    take: set[int] = set()
-    if len(rows) <= 4:
-        for a, lo in _pairs(list(part)):
-            for b in range(lo, len(rows)):
-                if 100 * min(n[a], n[b]) >= percent * max(n[a], n[b]) and set(before[a]).isdisjoint(before[b]):
-                    take |= {a, b}
-    else:
-        size, earlier = np.array(n), _Lists(before)
-        for a, lo in _pairs(list(part)):
-            ok = (100 * np.minimum(size[a], size[lo:]) >= percent * np.maximum(size[a], size[lo:])) & (earlier.common(a, lo) == 0)
-            if ok.any():
-                take |= {a, *(lo + np.flatnonzero(ok)).tolist()}
-    return [rows[k][:3] for k in sorted(take)]
-
-
-def cell_links(rows: list[tuple], percent: int) -> list[tuple]:
-    """(a, null, number of documents that class a links with here) and links (a, b, null) that connect all that the links connect.
-
-    The rows are (part, class, before, copies, set); a pair counts unless it also meets in an earlier group.
-    """
-    part, ids, before, copies, sets = zip(*rows)
-    earlier, shingles, copies = _Lists(before), _Lists([np.frombuffer(s, U) for s in sets]), np.array(copies)
-    size, total, label, tree = np.diff(shingles.at), np.zeros(len(rows), np.int64), np.arange(len(rows)), []
-    for a, lo in _pairs(list(part)):
-        both = shingles.common(a, lo)
-        ok = 100 * both >= percent * (size[a] + size[lo:] - both)
-        if ok.any() and (ok := ok & (earlier.common(a, lo) == 0)).any():
-            linked = lo + np.flatnonzero(ok)
-            total[a] += copies[linked].sum()
-            total[linked] += copies[a]
-            labels, first = np.unique(label[linked], return_index=True)
-            tree += [(ids[a], ids[linked[i]], None) for x, i in zip(labels, first) if x != label[a]]
-            label[np.isin(label, labels)] = label[a]
-    return tree + [(ids[k], None, int(x)) for k, x in enumerate(total) if x]
-
-
-def _by_cell(work: Callable, names: list[str], fields: list[tuple[str, pa.DataType]], keyed: bool) -> Callable:
-    """`work` on the rows of each cell, from rows ordered by cell; the result has the cell's key before it if `keyed`."""
+def _compare(percent: int) -> Callable:
+    """Links (a, b) of each hub, from rows (hub, salt, kind, class, set) with the hub's own set first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cell, out = None, [], []
-
-        def close() -> None:
-            if cell and (key[1] == key[2] or len({r[0] for r in cell}) == 2) and len(cell) > 1:  # not if a part has no sets
-                cell.sort(key=lambda r: r[:2])
-                out.extend((*key, *r) if keyed else r for r in work(cell))
-
-        def result() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
-            out.clear()
-            return rows
-
+        hub = own = None
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("grp", "low", "high")))
-            for k, *row in zip(keys, *(batch.column(c).to_pylist() for c in names)):
-                if k != key:
-                    close()
-                    key, cell = k, []
-                cell.append(tuple(row))
-            yield result()
-        close()
-        yield result()
+            a, b = [], []
+            for of, kind, member, packed in zip(*(batch.column(c) for c in ("hub", "kind", "class", "set"))):
+                s = np.frombuffer(packed.as_buffer(), U)
+                if kind.as_py() == 0:
+                    hub, own = of.as_py(), s.copy()
+                    continue
+                small, large = (s, own) if len(s) < len(own) else (own, s)
+                at = np.searchsorted(large, small)
+                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                if 100 * both >= percent * (len(s) + len(own) - both):
+                    a.append(hub)
+                    b.append(member.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _in_cells(rows: DataFrame, work: Callable, names: list[str], schema: str, keyed: bool) -> DataFrame:
-    types = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
-    fields = [(f.split()[0], types[f.split()[1]]) for f in schema.split(", ")]
-    rows = rows.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high").select("grp", "low", "high", *names)
-    return staged(rows.mapInArrow(_by_cell(work, names, fields, keyed), schema))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs (hub, class) whose sets link. A set is sent once for each of its hubs, a hub's once for each part."""
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART_SETS).alias("parts"))
+    dealt = pairs.join(parts, "hub").select("hub", "class", F.pmod(F.xxhash64("class"), F.col("parts")).alias("salt"))
+    member = dealt.join(sets, "class").select("hub", "salt", F.lit(1).alias("kind"), "class", "set")
+    own = sets.select(F.col("class").alias("hub"), "set")
+    head = dealt.select("hub", "salt").distinct().join(own, "hub").select("hub", "salt", F.lit(0).alias("kind"), F.col("hub").alias("class"), "set")
+    rows = head.unionByName(member).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+    return rows.mapInArrow(_compare(percent), "a long, b long")
+
+
+def connected(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, component) of the classes that links connect, from groups (grp, class, n, degree) of candidates; None without links."""
+    alive = groups.withColumn("component", F.col("class"))
+    links = done = found = None
+    low, high = 0, 1
+    while True:
+        # a partial cut to `high` rows of a group comes before the shuffle
+        place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("degree"), "class"))
+        hubs = alive.withColumn("place", place).filter(F.col("place") <= high).filter(F.col("place") > low)
+        hubs = hubs.select("grp", *[F.col(c).alias(f"hub_{c}") for c in ("class", "n", "degree", "component")])
+        after = (F.col("degree") < F.col("hub_degree")) | ((F.col("degree") == F.col("hub_degree")) & (F.col("class") > F.col("hub_class")))
+        fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+        pairs = alive.join(hubs, "grp").filter(after & fits & (F.col("component") != F.col("hub_component")))
+        pairs = pairs.select(F.col("hub_class").alias("hub"), "class").distinct()
+        pairs = staged(pairs if done is None else pairs.join(done, ["hub", "class"], "left_anti"))
+        done = pairs if done is None else done.unionByName(pairs)
+        new = staged(verified(pairs, sets, percent))
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            found = staged(components(links, "a", "b"))
+        left = groups
+        if found is not None:
+            left = groups.join(found.withColumnRenamed("node", "class"), "class", "left")
+        left = left.withColumn("component", F.coalesce("component", "class") if found is not None else F.col("class"))
+        left = staged(left)
+        open_ = left.groupBy("grp").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most"))
+        open_ = open_.filter((F.col("members") > high + 1) & (F.col("least") < F.col("most"))).select("grp")
+        alive = staged(left.join(open_, "grp"))
+        if not alive.limit(1).count():
+            return found
+        low, high = high, high * GROWTH
 
 
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc, n, class, bound), and the classes (class, doc, copies, component, n_links).
+    """The rows (doc, n, class, bound), and the classes (class, doc, copies, component).
 
-    doc is the smallest id of the class, component the class that names what links reach,
-    n_links the number of documents that each of the class links with. Only percent=75
-    has its bands here.
+    doc is the smallest id of the class, component the class that names what links reach.
+    Only percent=75 has its bands here.
     """
     if percent != 75:
         raise ValueError("the size bands are those of 75 per cent")
@@ -334,66 +303,41 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     one = known.filter("class is not null").groupBy("class")
     one = staged(one.agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bound").alias("bound"), F.count("*").alias("copies")))
     degrees = groups.groupBy("class").agg(F.sum("times").alias("degree")).join(one, "class").filter("degree >= bound")
-    groups = groups.join(staged(degrees.drop("degree")), "class")
+    groups = groups.join(staged(degrees), "class")
     sizes = staged(groups.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1"))
     groups = staged(groups.join(sizes, "grp"))
     # of each class the rarest signatures: those that leave fewer than its bound behind them
     before = Window.partitionBy("class").orderBy("size", "grp").rowsBetween(Window.unboundedPreceding, -1)
     rare = groups.withColumn("left", F.sum("times").over(Window.partitionBy("class")) - F.coalesce(F.sum("times").over(before), F.lit(0)))
-    groups = staged(rare.filter(F.col("left") >= F.col("bound")).select("grp", "class", "doc", "n", "copies"))
-    spread = groups.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
-    parts = F.greatest(F.ceil(F.col("size") / PART_SETS), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int")
-    groups = groups.join(spread.select("grp", "size", parts.alias("parts")), "grp")
-    # the largest first, so that most pairs of a cluster meet in one group
-    places = groups.groupBy("class", "doc", "n", "copies").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("size"), "grp", "parts"))).alias("all"))
-    places = staged(places)
-    cells = places.select("class", "n", "all", F.posexplode("all").alias("place", "own"))
-    cells = cells.select("class", "n", F.expr("slice(all.grp, 1, place)").alias("before"), "own.grp", "own.parts")
-    cells = cells.withColumn("part", F.pmod(F.xxhash64("class", "grp"), F.col("parts")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("grp", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "before", "n")
-    likely = _in_cells(cells, lambda rows: cell_candidates(rows, percent), ["part", "class", "before", "n"], "grp long, low int, high int, part int, class long, before array<long>", True)
-    lists = staged(places.select("class", "doc", "copies").join(likely.select("class").distinct(), "class"))
+    groups = staged(rare.filter(F.col("left") >= F.col("bound")).select("grp", "class", "doc", "n", "degree"))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1").select("grp")
+    groups = staged(groups.join(sizes, "grp"))
+    lists = staged(groups.select("class", "doc").distinct())
     text = F.col(text_col).alias("text")
-    sets = docs.select(F.col(id_col).alias("doc"), text).join(lists.select("doc", "class"), "doc").select("class", "text").mapInArrow(_sets, "class long, set binary")
+    # one text of each candidate set: texts of other documents are dropped in their scan
     ids = known.agg(F.count("*").alias("rows"), F.count("doc").alias("with_id"), F.count_distinct("doc").alias("ids")).first()
+    some = prefilter.may_match(docs.select(F.col(id_col).alias("doc"), text), "doc", lists, "doc")
+    sets = some.join(lists, "doc").select("class", "text").mapInArrow(_sets, "class long, set binary")
     if ids["rows"] > ids["with_id"]:  # classes of rows without an id
         bare = docs.filter(F.col(id_col).isNull()).select(text).mapInArrow(_sets, "class long, set binary")
         sets = sets.unionByName(bare.join(lists.filter("doc is null").select("class"), "class", "left_semi"))
     sets = staged(sets if ids["rows"] == ids["ids"] else sets.dropDuplicates(["class"]))
-    cells = likely.join(lists.select("class", "copies"), "class").join(sets, "class")
-    compared = _in_cells(cells, lambda rows: cell_links(rows, percent), ["part", "class", "before", "copies", "set"], "a long, b long, n long", False)
-    found = staged(components(compared.filter("b is not null"), "a", "b"))
-    counts = compared.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
-    named = one.join(found.withColumnRenamed("node", "class"), "class", "left").join(counts, "class", "left")
-    n_links = F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1
-    return known, staged(named.select("class", "doc", "copies", F.coalesce("component", "class").alias("component"), n_links.alias("n_links")))
-
-
-def with_class(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
-    """`docs` with the class of each row, null for the empty set, in the new column `name`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, text_col):
-            own = [class_id(s) if len(s) else None for s in shingle_sets(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, name])
-
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("long").alias(name)).schema)
+    found = connected(groups.select("grp", "class", "n", "degree"), sets, percent)
+    if found is None:
+        return known, staged(one.select("class", "doc", "copies", F.col("class").alias("component")))
+    named = one.join(found.withColumnRenamed("node", "class"), "class", "left")
+    return known, staged(named.select("class", "doc", "copies", F.coalesce("component", "class").alias("component")))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """One row per document: id, n_shingles, component_id and n_links, the number of other documents it links with (copies too).
-
-    component_id is the smallest id reachable by links.
-    """
+    """One row per document: id, n_shingles and component_id, the smallest id reachable by links."""
     known, named = members(docs, id_col, text_col, percent)
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = staged(named.join(least, "component").select("class", "component_id", "n_links"))
+    named = staged(named.join(least, "component").select("class", "component_id"))
     return known.join(named, "class", "left").select(
         F.col("doc").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
