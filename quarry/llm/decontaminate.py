@@ -164,3 +164,31 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_decontaminate": op3_decontaminate}
+
+SQL = {
+    "op3_decontaminate": r"""
+        WITH doc AS (
+            SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+            FROM documents
+        ), item AS (
+            SELECT item, words, least(10, len(words)) AS n
+            FROM (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark)
+            WHERE len(words) > 0 AND item IS NOT NULL
+        ), item_window AS (
+            SELECT DISTINCT item, n, array_to_string(words[i:i + n - 1], ' ') AS gram
+            FROM (SELECT item, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM item)
+        ), place AS (
+            SELECT row, words, n, unnest(range(1, len(words) - n + 2)) AS i
+            FROM doc JOIN (SELECT DISTINCT n FROM item) AS size ON len(words) >= n
+        ), hit AS (
+            SELECT row, i, n, item FROM (SELECT row, i, n, array_to_string(words[i:i + n - 1], ' ') AS gram FROM place) JOIN item_window USING (n, gram)
+        ), covered AS (
+            SELECT row, count(DISTINCT i) AS n FROM (SELECT row, unnest(range(i, i + n)) AS i FROM hit) GROUP BY row
+        ), items AS (
+            SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, item FROM hit) GROUP BY row
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+               sha256(coalesce(items.ids, '')) AS items_sha256, items.n IS NOT NULL AS contaminated
+        FROM doc LEFT JOIN covered USING (row) LEFT JOIN items USING (row)
+    """
+}

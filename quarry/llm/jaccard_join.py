@@ -346,3 +346,32 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_jaccard_join": op9_jaccard_join}
+
+SQL = {
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE doc AS (
+            SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words
+            FROM documents
+        ), shingle AS (
+            SELECT DISTINCT row, array_to_string(words[i:i + 4], ' ') AS shingle
+            FROM (SELECT row, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM doc WHERE len(words) > 0)
+        ), doc_set AS (
+            SELECT row, count(*) AS n, string_agg(shingle, chr(10) ORDER BY shingle) AS content FROM shingle GROUP BY row
+        ), class AS (
+            SELECT min(row) AS class, n, content FROM doc_set GROUP BY n, content
+        ), member AS (
+            SELECT row, class, n FROM doc_set JOIN class USING (n, content)
+        ), of_class AS (
+            SELECT class, n, shingle FROM class JOIN shingle ON class = row
+        ), link AS (
+            SELECT a.class AS a, b.class AS b FROM of_class AS a JOIN of_class AS b ON a.shingle = b.shingle AND a.class <> b.class
+            GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT class AS a, class AS b FROM class UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        ), least AS (
+            SELECT reach.a AS class, min(doc_id) AS doc_id FROM reach JOIN member ON reach.b = member.class JOIN doc USING (row) GROUP BY reach.a
+        )
+        SELECT doc.doc_id, coalesce(member.n, 0)::BIGINT AS n_shingles, coalesce(least.doc_id, doc.doc_id) AS component_id
+        FROM doc LEFT JOIN member USING (row) LEFT JOIN least USING (class)
+    """
+}

@@ -221,3 +221,27 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup}
+
+SQL = {
+    "op1_substring_dedup": r"""
+        WITH doc AS (
+            SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+        ), place AS (
+            SELECT row, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM doc WHERE len(words) >= 50
+        ), windows AS (
+            SELECT row, doc_id, i, array_to_string(words[i:i + 49], ' ') AS passage FROM place
+        ), repeated AS (
+            SELECT row, i FROM (SELECT row, doc_id, i, min(doc_id) OVER (PARTITION BY passage) AS holder FROM windows) WHERE holder < doc_id
+        ), removed AS (
+            SELECT DISTINCT row, unnest(range(i, i + 50)) AS i FROM repeated
+        ), word AS (
+            SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM doc
+        ), kept AS (
+            SELECT row, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN removed USING (row, i) GROUP BY row
+        ), n AS (
+            SELECT row, count(*) AS n FROM removed GROUP BY row
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM doc LEFT JOIN kept USING (row) LEFT JOIN n USING (row)
+    """
+}
