@@ -3,6 +3,15 @@
 A page is a sequence of words and tags. Words score positive, tags negative, and one
 linear scan finds the contiguous stretch of the highest sum: the content region. Its
 blocks are the text, without those of elements that are no content wherever they stand.
+Short blocks beside rules and other tags may fall out of the best stretch, so the region
+grows to the element that it is the content of: the whole `article` (or `main`) of a page
+that marks one, else the paragraphs and headings that follow each other in one parent.
+
+Fixed class words name no content only as a whole class or joined with words of place and
+form (`cookie-banner`, `sidebar-left`, but not `ad-free` or `has-sidebar`). The most that they
+could hold is checked: in a mark, or on a page without one, an element with `MOST_WORDS`
+of the words is content whatever its class. So is a form around a whole page, and a `header`
+with the page's heading.
 
 Weights come from labelled pages: those that mark their article themselves with one
 `article` or `main` element. Over all of them, tags and class or id words are counted
@@ -22,6 +31,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -33,6 +43,8 @@ from quarry.llm.frames import read
 
 #: Occurrences that a class word needs before it alone makes an element no content, and times that it must be outside for each time inside.
 SUPPORT, RATIO = 20, 50
+#: The share of the words of a mark, or of a page without one, beyond which an element is content whatever its class.
+MOST_WORDS = 0.8
 
 # Element names.
 RAW = ("script", "style", "textarea", "noscript", "iframe", "template", "xmp", "noembed", "noframes", "svg", "math", "select", "object", "audio", "video", "canvas")
@@ -43,6 +55,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 # Words in class, id or role that name what is no content.
 NO_CONTENT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "disqus", "footer", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
+COMMENT_WORDS = {"comment", "comments", "disqus", "replies", "reply"}
+# Words of place and form that may stand beside them in a class of several words.
+PLACE_WORDS = {"area", "article", "bar", "block", "bottom", "box", "container", "entry", "form", "global", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "panel", "post", "primary", "right", "secondary", "section", "site", "slot", "thread", "top", "unit", "wrap", "wrapper"}
+# Elements of running text.
+RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -52,7 +70,8 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[a-z]+(?:[-_]+[a-z]+)*")
+_PART = re.compile(r"[a-z]+")
 
 # What an opening tag ends without an end tag, each as (elements ended, elements that it doesn't look beyond).
 _SCOPE = {"html", "table", "td", "th", "caption", "button", "object", "marquee", "applet", "template"}
@@ -101,11 +120,14 @@ class Open:
         if self.count["head"] and name not in _IN_HEAD and self.names[-1] == "head":
             self.cut(len(self.names) - 1)
         for ended, beyond in ENDS.get(name, ()):
-            if any(self.count[n] for n in ended):
+            if left := sum(self.count[n] for n in ended):
                 last = None
                 for at in range(len(self.names) - 1, -1, -1):
+                    if not left:
+                        break
                     if self.names[at] in ended:
                         last = at
+                        left -= 1
                     elif self.names[at] in beyond:
                         break
                 if last is not None:
@@ -177,28 +199,134 @@ def learn(pages: DataFrame, html_col: str = "html") -> dict[str, tuple[int, int]
     return {r["feature"]: (r["inside"], r["outside"]) for r in counts.collect()}
 
 
+def names_no_content(word: str) -> bool:
+    """Whether a class word is a fixed word for no content, alone or among words of place and form."""
+    parts = _PART.findall(word)
+    return any(p in NO_CONTENT_WORDS for p in parts) and all(p in NO_CONTENT_WORDS or p in PLACE_WORDS for p in parts)
+
+
+class Elements:
+    """The elements of a page, each named by the place of its opening tag.
+
+    parent, end: of each; words: in it, those of a mark only for elements in that mark; mark: the
+    outermost mark that an element lies in or is; headed: headers with an h1 and no nav; prose: elements
+    with running text. total: words of a page without what element names exclude (forms count).
+    """
+
+    def __init__(self, seen: list[tuple[str, str, list[str]]]):
+        self.seen, self.parent, self.end, self.mark = seen, {}, {}, {}
+        self.words, self.inner, self.total = Counter(), Counter(), 0
+        self.title = ""
+        open_, stack, left_out = Open(), [], 0
+
+        def cut(place: int) -> None:
+            nonlocal left_out
+            while len(stack) > len(open_.names):
+                e = stack.pop()
+                self.end[e] = place
+                name = seen[e][1]
+                left_out -= name in NO_CONTENT and name != "form"
+                if stack:
+                    for what in ("h1", "nav", "run"):
+                        self.inner[stack[-1], what] += self.inner[e, what]
+                    if self.mark[e] != e:
+                        self.words[stack[-1]] += self.words[e]
+
+        for i, (kind, name, _) in enumerate(seen):
+            if kind == "text":
+                n = len(name.split())
+                self.total += 0 if left_out else n
+                if stack:
+                    self.words[stack[-1]] += n
+                    if seen[stack[-1]][1] == "title":
+                        self.title += name
+                continue
+            if kind == "close":
+                open_.close(name)
+                cut(i)
+                continue
+            open_.ended_by(name)
+            cut(i)
+            if name in VOID:
+                continue
+            self.parent[i] = stack[-1] if stack else -1
+            around = self.mark[stack[-1]] if stack else -1
+            self.mark[i] = around if around >= 0 else i if name in MARKS else -1
+            left_out += name in NO_CONTENT and name != "form"
+            open_.push(name, i)
+            stack.append(i)
+            self.inner[i, "h1"] += name == "h1"
+            self.inner[i, "nav"] += name == "nav"
+            self.inner[i, "run"] += name in RUNNING
+        open_.cut(0)
+        cut(len(seen))
+        self.title = " ".join(html.unescape(self.title).split())
+        self.marks = [e for e, m in self.mark.items() if m == e]
+
+    def text(self, e: int) -> str:
+        return " ".join(html.unescape("".join(n if k == "text" else "" if n in INLINE else " " for k, n, _ in self.seen[e : self.end[e]])).split())
+
+    def holds_most(self, e: int) -> bool:
+        mark = self.mark[e]
+        if mark < 0 and self.marks:
+            return False  # the page says itself that its content is elsewhere
+        return self.words[e] >= MOST_WORDS * (self.words[mark] if mark >= 0 else self.total)
+
+    def heading(self, e: int) -> bool:
+        """Whether a header is that of the content: it stands in a mark, or has the heading of a post or of the page's title."""
+        if self.mark[e] >= 0:
+            return True
+        if self.marks or not self.inner[e, "h1"] or self.inner[e, "nav"]:
+            return False
+        around = self.parent[e]
+        if around >= 0 and self.seen[around][1] not in ("html", "body"):
+            return True
+        first = next(i for i in range(e, self.end[e]) if self.seen[i][:2] == ("open", "h1"))
+        return bool(said := self.text(first)) and self.title.startswith(said)
+
+    def no_content(self, e: int, learned: set[str]) -> bool:
+        _, name, words = self.seen[e]
+        if name == "header":
+            if not self.heading(e):
+                return True
+        elif name in NO_CONTENT and not (name == "form" and self.inner[e, "run"] and self.holds_most(e)):
+            return True
+        if learned.intersection(words):
+            return True
+        fixed = [w for w in words if names_no_content(w)]
+        if not fixed or not self.holds_most(e):
+            return bool(fixed)
+        # reader comments may be longer than what they are about
+        about = any(p in COMMENT_WORDS for w in fixed for p in _PART.findall(w))
+        return about and self.words[e] < (self.words[self.mark[e]] if self.mark[e] >= 0 else self.total)
+
+
 class Extractor:
     def __init__(self, counts: dict[str, tuple[int, int]]):
         self.penalty = {f[1:]: min(MOST, max(LEAST, math.log((o + 1) / (i + 1)) / 2)) for f, (i, o) in counts.items() if f[0] == "<"}
-        self.no_words = NO_CONTENT_WORDS | {f[1:] for f, (i, o) in counts.items() if f[0] == "." and o >= SUPPORT and o >= RATIO * i}
+        self.no_words = {f[1:] for f, (i, o) in counts.items() if f[0] == "." and o >= SUPPORT and o >= RATIO * i}
 
     def text(self, page: str) -> str:
-        blocks: list[tuple[list[int], list[str]]] = []  # the places of each block's pieces in the scores, and the pieces
+        seen = list(tokens(page))
+        elements = Elements(seen)
+        blocks: list[Piece] = []
         scores: list[float] = []
         open_, marks = Open(), 0
         skip = -1  # the depth of the element that is no content, or -1
         new = True
-        for kind, name, words in tokens(page):
+        for i, (kind, name, _) in enumerate(seen):
             if kind == "text":
                 if skip >= 0:
                     continue
                 n = len(name.split())
                 if new and n:
-                    blocks.append(([], []))
+                    around = next((k for k in range(len(open_.names) - 1, -1, -1) if open_.names[k] not in INLINE), -1)
+                    blocks.append(Piece(i, open_.places[around] if around >= 0 else -1))
                     new = False
                 if not new:
-                    blocks[-1][0].append(len(scores))
-                    blocks[-1][1].append(name)
+                    blocks[-1].places.append(len(scores))
+                    blocks[-1].texts.append(name)
+                    blocks[-1].plain |= n > 0 and not open_.count["a"]
                 scores.append(float(n))
                 continue
             if name in MARKS:
@@ -211,20 +339,54 @@ class Extractor:
             if len(open_.names) <= skip or name == "body":
                 skip = -1
             if kind == "open":
-                if skip < 0 and name not in VOID and name not in MARKS | {"html", "body"}:
-                    named = name in NO_CONTENT and not (name == "header" and marks)
-                    if named or self.no_words.intersection(words):
-                        skip = len(open_.names)
-                open_.push(name, 0)
+                if skip < 0 and name not in VOID and name not in MARKS | {"html", "body"} and elements.no_content(i, self.no_words):
+                    skip = len(open_.names)
+                open_.push(name, i)
             if name not in INLINE:
                 new = True
             scores.append(-self.penalty.get(name, LEAST if name in INLINE else DEFAULT_PENALTY))
         lo, hi = best_region(scores)
         # a block of which the region has a part belongs to it as a whole
-        parts = (" ".join(html.unescape("".join(p)).split()) for at, p in blocks if at[0] < hi and at[-1] >= lo)
+        chosen = [b.places[0] < hi and b.places[-1] >= lo for b in blocks]
+        parts = (" ".join(html.unescape("".join(b.texts)).split()) for b, c in zip(blocks, whole(blocks, chosen, elements)) if c)
         return " ".join(p for p in parts if p)
 
 
+class Piece:
+    """A block of text: the token it begins with, its element, the places of its pieces in the scores, and the pieces."""
+
+    def __init__(self, token: int, element: int):
+        self.token, self.element, self.plain = token, element, False
+        self.places: list[int] = []
+        self.texts: list[str] = []
+
+
+def whole(blocks: list[Piece], chosen: list[bool], elements: Elements) -> list[bool]:
+    """The chosen blocks, grown to the content element that they are of."""
+    if not any(chosen):
+        return chosen
+    starts = [b.token for b in blocks]
+    for name in ("article", "main"):
+        grown, last = list(chosen), -1
+        for e in (e for e in elements.parent if elements.seen[e][1] == name):
+            if e < last:
+                continue  # in the one before
+            last = elements.end[e]
+            a, b = bisect_left(starts, e), bisect_left(starts, last)
+            if any(chosen[a:b]):
+                grown[a:b] = [True] * (b - a)
+        if grown != chosen or any(elements.seen[e][1] == name for e in elements.marks):
+            return grown
+    at = [k for k, c in enumerate(chosen) if c]
+    for k, step in ((at[0], -1), (at[-1], 1)):
+        around = elements.parent.get(blocks[k].element, -1)
+        k += step
+        while 0 <= k < len(blocks) and blocks[k].plain and (e := blocks[k].element) >= 0 and elements.seen[e][1] in RUNNING and elements.parent[e] == around:
+            chosen[k] = True
+            k += step
+    return chosen
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """The range of the highest sum (the first of equal ones); empty if none is positive."""
     best, range_ = 0.0, (0, 0)

@@ -114,6 +114,33 @@ def test_extract_weights_of_wrappers_and_of_many_class_words(spark):
     assert got == {**{i: f"text {i}" for i in range(25)}, 50: "plain text here"}
 
 
+LONG = " ".join(f"word{k}" for k in range(60))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class='layout has-sidebar'><p>{LONG}</p><div class=sidebar>side</div></div>", LONG),
+        (f"<div class='search-page'><p>{LONG}</p></div>", LONG),
+        (f"<body class=ads><div class='content social'><h1>Head</h1><p>{LONG}</p><div class='cookie-banner'>ok</div></div></body>", f"Head {LONG}"),
+        (f"<article><p>{LONG}</p><p class='market-share'>a third</p><p class='ad-free'>none</p><p class='ad-slot'>buy</p></article>", f"{LONG} a third none"),
+        (f"<body><header>Site</header><div class=post><header><h1>Head</h1></header><p>{LONG}</p></div></body>", f"Head {LONG}"),
+        (f"<head><title>Head &amp; tail | Site</title></head><body><header><h1>Head &amp; <i>tail</i></h1></header><p>{LONG}</p></body>", f"Head & tail {LONG}"),
+        (f"<head><title>Head | Site</title></head><body><header><h1>Site</h1></header><p>{LONG}</p></body>", LONG),
+        (f"<article><p>Lead</p><hr><hr><div><img></div><p>{LONG}</p><hr><hr><hr><hr><p>end</p></article>", f"Lead {LONG} end"),
+        (f"<body><nav>a b</nav><p>Lead</p><hr><hr><hr><hr><p>{LONG}</p><hr><hr><hr><hr><p>end</p><p><a href=x>more</a></p></body>", f"Lead {LONG} end"),
+        (f"<form id=all><h1>Head</h1><p>{LONG}</p></form>", f"Head {LONG}"),
+        (f"<p>Short text</p><div id=comments><p>{LONG}</p></div>", "Short text"),
+        (f"<main><p>Short text</p></main><div class=sidebar><p>{LONG}</p></div>", "Short text"),
+        (f"<main><p>Short text</p><article><p>{LONG}</p></article></main>", f"Short text {LONG}"),
+        ("<form>name <input></form>", ""),
+    ],
+)
+def test_extract_pages_without_labels(page, want):
+    """Hand-made answers: pages without a mark, and classes that only look like those of no content."""
+    assert html.Extractor({}).text(page) == want
+
+
 def test_extract_given_pages(spark):
     """The articles of the given pages are the marked ones; a plain cut at the marks is the other way to get them."""
     import html as codec
