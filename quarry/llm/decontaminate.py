@@ -1,10 +1,15 @@
 """Benchmark decontamination: broadcast n-grams of test items, scan training windows.
 
-The normalised n-grams of the test items are hashed and sent to every task once.
-Their size is checked: items are split into groups of at most `max_windows`
-windows, and every group is one more scan of the same rows, so what a task holds
-never grows with the benchmark. A window whose hash is in the set is verified
-word by word; hit words become spans, which can be cut, or the document dropped.
+The items' windows of n words are a table that Spark makes. Their 64-bit hashes, sorted, are
+broadcast, and nothing else of them: about `max_windows` of 8 bytes at a time. A benchmark with more
+is dealt into groups by hash, and each group is a scan of its own, written before
+the next, so a task has one Python worker and one group, however large the benchmark is.
+
+A window of a text whose hash is in the set goes on with its words, as a narrow row under 128 bits
+of its text, and is verified by a join of the words with the table of windows. Copies of a text are one. What
+is found comes back to the documents by a broadcast filter of the hit texts' keys (8 MB at most):
+rows without a hit never move, the others meet their hits in an exact join. Hit words become spans,
+which can be cut, or the document dropped.
 
 Defined results: a null text or one without words has no hits; a null item or one
 without words has no windows; repeated rows and ids are scanned each on its own.
@@ -13,7 +18,6 @@ without words has no windows; repeated rows and ids are scanned each on its own.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,55 +25,97 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.frames import read
-from quarry.llm.words import ALNUM, Block, Runs, blocks
+from quarry.llm.frames import free_name, read, staged
+from quarry.llm.words import ALNUM, Block, Runs, U, blocks, signed
+from quarry.operators import prefilter
 
 N = 10
 MAX_WINDOWS = 1_000_000
+#: Parts that a window's hits are dealt over when they are verified.
+SALTS = 16
 _BITS = 22
+# Fixed value: a word, A-Z or a-z, digits and all beyond ASCII.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
+def windows(items: DataFrame, item_id: str, text_col: str, n: int = N) -> DataFrame:
+    """(item, length, hash, gram), distinct: the windows of the items and their words joined by one space."""
 
-def n_windows(text: Column, n: int = N) -> Column:
-    """Windows of an item (from above: words are counted as runs of word bytes in Spark)."""
-    words = F.size(F.split(F.coalesce(text, F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
-    return F.greatest(words - n + 1, F.lit(1))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, "text"):
+            block = Block(texts, ALNUM, lower=True)
+            runs, found = Runs(block.hash), []
+            for item, first, last in zip(batch.column("item").to_pylist(), block.first[:-1], block.first[1:]):
+                size = min(n, int(last - first))
+                at = np.arange(first, last - size + 1) if size else np.zeros(0, int)
+                h = signed(runs.get(at, at + size)).tolist()
+                words = [w.decode(errors="replace") for w in map(block.word, range(first, last))] if size else []
+                found += {(item, size, x, " ".join(words[i : i + size])) for i, x in enumerate(h)}
+            yield _batch(found, (pa.string(), pa.int32(), pa.int64(), pa.string()), ("item", "length", "hash", "gram"))
 
+    chosen = items.select(F.col(item_id).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
+    return chosen.mapInArrow(cut, "item string, length int, hash long, gram string").distinct()
 
-class Grams:
-    """Windows of a group of items: by their length in words, sorted hashes with words and items."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int = N):
-        found: dict[int, dict[int, dict[tuple[bytes, ...], set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for item, text in items:
-            block = Block([(text or "").encode()], ALNUM, lower=True)
-            words = block.words(0)
-            size = min(n, len(words))
-            if not size:
-                continue
-            at = np.arange(len(words) - size + 1)
-            for i, h in enumerate(Runs(block.hash).get(at, at + size)):
-                found[size][int(h)][tuple(words[i : i + size])].add(item)
+def _batch(rows: list[tuple], types: tuple, names: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=list(names))
+
+
+class Hashes:
+    """The hashes of a group of windows: by their length in words, sorted, with flags of the leading bits."""
+
+    def __init__(self, length: np.ndarray, hashes: np.ndarray):
         self.by_size = {}
-        for size, by_hash in found.items():
-            keys = np.array(sorted(by_hash), np.uint64)
+        for size in np.unique(length):
+            keys = np.sort(hashes[length == size].view(U))
             flags = np.zeros(1 << _BITS, bool)
-            flags[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.by_size[size] = (keys, flags, [{w: sorted(s) for w, s in by_hash[int(k)].items()} for k in keys])
+            flags[(keys >> U(64 - _BITS)).astype(np.int64)] = True
+            self.by_size[int(size)] = (keys, flags)
 
-    def hits(self, block: Block) -> Iterator[tuple[int, int, int, list[str]]]:
-        """(document of the block, first word, number of words, items) of every verified window."""
+    def near(self, block: Block) -> Iterator[tuple[int, int, int, str]]:
+        """(document of the block, first word, number of words, words) of every window whose hash is here."""
         runs = Runs(block.hash)
-        for size, (keys, flags, words) in self.by_size.items():
+        for size, (keys, flags) in self.by_size.items():
             at = np.arange(max(0, len(block.hash) - size + 1))
             at = at[block.doc[at] == block.doc[at + size - 1]] if len(at) else at
             h = runs.get(at, at + size)
-            maybe = np.flatnonzero(flags[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-            place = np.searchsorted(keys, h[maybe])
-            place[place == len(keys)] = 0
-            for i, k in zip(at[maybe], place):
-                items = words[k].get(tuple(block.word(j) for j in range(i, i + size)))
-                if items:
-                    yield int(block.doc[i]), int(i - block.first[block.doc[i]]), size, items
+            maybe = np.flatnonzero(flags[(h >> U(64 - _BITS)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+            for i in at[maybe[keys[place] == h[maybe]]].tolist():
+                gram = b" ".join(map(block.word, range(i, i + size))).decode(errors="replace")
+                yield int(block.doc[i]), int(i - block.first[block.doc[i]]), size, gram
+
+
+def _text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text; two seeds."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def hits_of_texts(texts: DataFrame, items: DataFrame, item_id: str, item_text: str, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """(key, key2, hits), staged: of every different text with a hit, from rows (key, key2, text)."""
+    spark = texts.sparkSession
+    known = staged(windows(items, item_id, item_text, n))
+    total = known.select(F.count_distinct("length", "hash").alias("n")).first()["n"]
+    groups = max(1, math.ceil(total / max_windows))
+    found = None
+    for g in range(groups):
+        group = known.filter(F.pmod(F.xxhash64("hash"), F.lit(groups)) == g).select("length", "hash").distinct().toArrow()
+        shared = spark.sparkContext.broadcast(Hashes(group["length"].to_numpy(), group["hash"].to_numpy()))
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch, texts in blocks(batches, "text"):
+                key, key2 = batch.column("key").to_pylist(), batch.column("key2").to_pylist()
+                rows = {(key[d], key2[d], *w) for d, *w in shared.value.near(Block(texts, ALNUM, lower=True))}
+                yield _batch(list(rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()), ("key", "key2", "start", "length", "gram"))
+
+        part = staged(texts.select("key", "key2", "text").mapInArrow(find, "key long, key2 long, start int, length int, gram string").distinct())
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    # only windows of the very same words count; a window that very many texts hold is a salted key
+    lists = known.join(found.select("gram").distinct(), "gram").groupBy("gram").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = found.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(lists, ["gram", "salt"])
+    return staged(hits.groupBy("key", "key2").agg(F.sort_array(F.collect_list(F.struct("start", "length", "items"))).alias("hits")))
 
 
 def scan(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -77,31 +123,18 @@ def scan(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_te
 
     The columns of `docs` must have other names than these two.
     """
-    spark = docs.sparkSession
-    chosen = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
-    total = chosen.agg(F.sum(n_windows(F.col("text"), n)).alias("n")).first()["n"] or 0
-    groups = max(1, math.ceil(total / max_windows))
-    hits, words = "hits", "n_words"
-    kind = "array<struct<start:int,length:int,items:array<string>>>"
-    out = docs.withColumns({hits: F.lit(None).cast(kind), words: F.lit(0).cast("long")})
-    schema = out.schema
-    for g in range(groups):
-        group = chosen.filter(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g)
-        grams = spark.sparkContext.broadcast(Grams([(r["item"], r["text"]) for r in group.filter("text is not null and item is not null").collect()], n))
-
-        def find(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
-            for batch, texts in blocks(batches, text_col):
-                block = Block(texts, ALNUM, lower=True)
-                found = [list(x or ()) for x in batch.column(hits).to_pylist()]
-                for doc, start, length, which in grams.value.hits(block):
-                    found[doc].append({"start": start, "length": length, "items": which})
-                columns = [batch.column(c) for c in batch.schema.names]
-                columns[batch.schema.names.index(hits)] = pa.array(found, batch.schema.field(hits).type)
-                columns[batch.schema.names.index(words)] = pa.array(np.diff(block.first), pa.int64())
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        out = out.mapInArrow(find, schema)
-    return out
+    text = F.col(text_col)
+    a, b = (free_name(docs, name) for name in ("text_key", "text_key2"))
+    keyed = docs.withColumns(dict(zip((a, b), _text_key(text))))
+    hits = hits_of_texts(keyed.select(F.col(a).alias("key"), F.col(b).alias("key2"), text.alias("text")), items, item_id, item_text, n, max_windows)
+    known = hits.select(F.col("key").alias(f"{a}_of"), F.col("key2").alias(f"{b}_of"), "hits")
+    kind = known.schema["hits"].dataType
+    # rows whose text has no hit are told apart in their scan; only the others meet their hits
+    far = prefilter.cannot_match(keyed, a, known, f"{a}_of").withColumn("hits", F.lit(None).cast(kind))
+    near = prefilter.may_match(keyed, a, known, f"{a}_of").join(known, (F.col(a) == F.col(f"{a}_of")) & (F.col(b) == F.col(f"{b}_of")), "left")
+    out = far.select(*docs.columns, "hits").unionByName(near.select(*docs.columns, "hits"))
+    n_words = F.coalesce(F.regexp_count(text, F.lit(_WORD)).cast("long"), F.lit(0).cast("long"))
+    return out.select(*docs.columns, F.coalesce("hits", F.array().cast(kind)).alias("hits"), n_words.alias("n_words"))
 
 
 def merged(hits: list[dict]) -> list[tuple[int, int]]:

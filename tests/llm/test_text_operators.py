@@ -87,6 +87,23 @@ def test_decontaminate(spark, passages, max_windows):
     assert 10 < sum(r[5] for r in want) < len(want)
 
 
+def test_decontaminate_moves_only_texts_with_hits(spark):
+    """Whatever the number of groups, no Python worker reads the documents again, and texts without a hit are in no shuffle."""
+    item = "one two three four five six seven eight nine ten"
+    docs = table(spark, [item, *(f"clean text number {i}" for i in range(50))])
+    bench = spark.createDataFrame([(k, f"{item} {k} and more {k + 1} words {k} after it") for k in range(20)], "item_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = dec.scan(docs.select("doc_id", "text"), bench, "text", "item_id", "text", max_windows=10)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "MapInArrow" not in plan and "SortMergeJoin" in plan
+    hits = {r["doc_id"]: r["hits"] for r in found.collect()}
+    assert [(h["start"], h["length"], sorted(h["items"], key=int)) for h in hits.pop(0)] == [(0, 10, [str(k) for k in range(20)])]
+    assert not any(hits.values()) and len(hits) == 50
+
+
 def test_decontaminate_removes_documents_or_spans(spark):
     item = "one two three four five six seven eight nine ten"
     docs = table(spark, [f"Ah! {item.upper()}; äh.", "clean text", None])
