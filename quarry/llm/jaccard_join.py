@@ -31,6 +31,11 @@ copies shares most, so the first rounds finish it: rows grow with its members, n
 their pairs. Members of different components go on, until each hub has had its turn.
 A hub's members are dealt over parts of bounded size, each with the hub's set.
 
+Sketches. Before sets are moved, a pair is tried on sketches of `SKETCH` bits: bit i is the parity of the
+shingles that hash to i. Equal shingles cancel out and each different one turns one bit, so two sketches
+differ in no more bits than the sets in shingles; a pair whose sketches differ in more than a link allows
+has none. Only the other pairs are compared exactly, and only their sets leave the scan.
+
 Equal sets are one class from the start, so copies cost nothing. Shingles and classes are
 64-bit hashes.
 
@@ -61,6 +66,8 @@ TABLES = 2
 SHARED = 3
 #: Members that a hub meets in one part on average; hubs of a group in the first round, and their growth.
 PART_SETS, GROWTH = 4096, 4
+#: Bits of a set's sketch.
+SKETCH = 1024
 #: Signatures that a packed block holds, and that a bucket holds on average.
 BLOCK_SIGNATURES, BUCKET_SIGNATURES = 2_000_000, 1_500_000
 
@@ -208,14 +215,21 @@ def _shared(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"grp": np.repeat(group, size)[take].view(np.int64), "class": of[take], "times": count[take]})
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Of each of `SKETCH` bits the parity of the shingles that hash to it, as signed words."""
+    odd = np.bincount((mix(s) % U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, set) of the texts, where a class is given only of those that have it: a repeated id may carry another text."""
+    """(class, n, sketch, set) of the texts, where a class is given only of those that have it: a repeated id may carry another text."""
     for batch, texts in blocks(batches, "text"):
         sets = shingle_sets(texts)
         own = [class_id(s) if len(s) else None for s in sets]
         known = batch.column("class").to_pylist() if "class" in batch.schema.names else own
         same = [c is not None and c == k for c, k in zip(own, known)]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"]).filter(pa.array(same, pa.bool_()))
+        columns = [pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["class", "n", "sketch", "set"]).filter(pa.array(same, pa.bool_()))
 
 
 def _compare(percent: int) -> Callable:
@@ -241,12 +255,30 @@ def _compare(percent: int) -> Callable:
     return run
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(hub, class, salt): the pairs, each hub's in parts of about `PART_SETS`."""
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART_SETS).alias("parts"))
+    return pairs.join(parts, "hub").select("hub", "class", F.pmod(F.xxhash64("class"), F.col("parts")).alias("salt"))
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, class) whose sketches differ in no more bits than a link allows shingles: all that link, and few others."""
+    dealt = _dealt(pairs)
+    small = sets.select("class", "n", "sketch")
+    own = small.select(F.col("class").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
+    own = dealt.select("hub", "salt").distinct().join(own, "hub")
+    both = dealt.join(small, "class").join(own, ["hub", "salt"])
+    bits = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("hub_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return both.filter((100 + percent) * bits <= (100 - percent) * (F.col("n") + F.col("hub_n"))).select("hub", "class")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs (hub, class) whose sets link. A set is sent once for each of its hubs, a hub's once for each part."""
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART_SETS).alias("parts"))
-    dealt = pairs.join(parts, "hub").select("hub", "class", F.pmod(F.xxhash64("class"), F.col("parts")).alias("salt"))
-    member = dealt.join(sets, "class").select("hub", "salt", F.lit(1).alias("kind"), "class", "set")
-    own = sets.select(F.col("class").alias("hub"), "set")
+    dealt = _dealt(pairs)
+    some = prefilter.may_match(sets.select("class", "set"), "class", pairs, "class")
+    member = dealt.join(some, "class").select("hub", "salt", F.lit(1).alias("kind"), "class", "set")
+    hubs = prefilter.may_match(sets.select("class", "set"), "class", pairs, "hub")
+    own = hubs.select(F.col("class").alias("hub"), "set")
     head = dealt.select("hub", "salt").distinct().join(own, "hub").select("hub", "salt", F.lit(0).alias("kind"), F.col("hub").alias("class"), "set")
     rows = head.unionByName(member).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
     return rows.mapInArrow(_compare(percent), "a long, b long")
@@ -268,7 +300,8 @@ def connected(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
         pairs = pairs.select(F.col("hub_class").alias("hub"), "class").distinct()
         pairs = staged(pairs if done is None else pairs.join(done, ["hub", "class"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
-        new = staged(verified(pairs, sets, percent))
+        near = staged(possible(pairs, sets, percent))
+        new = staged(verified(near, sets, percent)) if near.limit(1).count() else near
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             found = staged(components(links, "a", "b"))
@@ -317,9 +350,9 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     # one text of each candidate set: texts of other documents are dropped in their scan
     ids = known.agg(F.count("*").alias("rows"), F.count("doc").alias("with_id"), F.count_distinct("doc").alias("ids")).first()
     some = prefilter.may_match(docs.select(F.col(id_col).alias("doc"), text), "doc", lists, "doc")
-    sets = some.join(lists, "doc").select("class", "text").mapInArrow(_sets, "class long, set binary")
+    sets = some.join(lists, "doc").select("class", "text").mapInArrow(_sets, "class long, n long, sketch array<long>, set binary")
     if ids["rows"] > ids["with_id"]:  # classes of rows without an id
-        bare = docs.filter(F.col(id_col).isNull()).select(text).mapInArrow(_sets, "class long, set binary")
+        bare = docs.filter(F.col(id_col).isNull()).select(text).mapInArrow(_sets, "class long, n long, sketch array<long>, set binary")
         sets = sets.unionByName(bare.join(lists.filter("doc is null").select("class"), "class", "left_semi"))
     sets = staged(sets if ids["rows"] == ids["ids"] else sets.dropDuplicates(["class"]))
     found = connected(groups.select("grp", "class", "n", "degree"), sets, percent)

@@ -87,6 +87,27 @@ def test_decontaminate(spark, passages, max_windows):
     assert 10 < sum(r[5] for r in want) < len(want)
 
 
+def test_sketches_never_exceed_the_difference(spark):
+    """A pair that links passes its sketches; one that is far from it mostly doesn't."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows, pairs, linked = [], [], set()
+    for k in range(60):
+        n = int(rng.integers(1, 800))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, max(1, n // 8)).astype(np.uint64))))
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(jac.sketch(a).view(np.uint64).tolist(), jac.sketch(b).view(np.uint64).tolist()))
+        both = len(np.intersect1d(a, b))
+        assert bits <= len(a) + len(b) - 2 * both
+        rows += [(2 * k, len(a), jac.sketch(a).tolist()), (2 * k + 1, len(b), jac.sketch(b).tolist())]
+        pairs.append((2 * k, 2 * k + 1))
+        linked |= {2 * k} if 100 * both >= 75 * (len(a) + len(b) - both) else set()
+    sets = spark.createDataFrame(rows, "class long, n long, sketch array<long>")
+    got = {r["hub"] for r in jac.possible(spark.createDataFrame(pairs, "hub long, class long"), sets, 75).collect()}
+    assert linked <= got and 5 < len(linked) and len(got) < 40
+
+
 def test_decontaminate_moves_only_texts_with_hits(spark):
     """Whatever the number of groups, no Python worker reads the documents again, and texts without a hit are in no shuffle."""
     item = "one two three four five six seven eight nine ten"
