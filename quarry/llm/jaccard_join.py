@@ -27,7 +27,8 @@ Hubs. What links connect is found in rounds. In each, the next hubs of every gro
 most signatures first, are compared exactly with the members after them; each two
 sets are compared once, whatever groups they share. The links are merged into components,
 and groups whose members lie all in one are finished. The centre of a cluster of near
-copies shares most, so the first rounds finish it: rows grow with its members, not with
+copies shares most, and in the first `SINGLE` rounds a set meets only the one hub, of all its groups, that
+shares most, so these rounds finish nearly all of a cluster: rows grow with its members, not with
 their pairs. Members of different components go on, until each hub has had its turn.
 A hub's members are dealt over parts of bounded size, each with the hub's set.
 
@@ -66,6 +67,8 @@ TABLES = 2
 SHARED = 3
 #: Members that a hub meets in one part on average; hubs of a group in the first round, and their growth.
 PART_SETS, GROWTH = 4096, 4
+#: First rounds, in which each set meets one hub.
+SINGLE = 2
 #: Bits of a set's sketch.
 SKETCH = 1024
 #: Signatures that a packed block holds, and that a bucket holds on average.
@@ -288,7 +291,7 @@ def connected(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
     """(node, component) of the classes that links connect, from groups (grp, class, n, degree) of candidates; None without links."""
     alive = groups.withColumn("component", F.col("class"))
     links = done = found = None
-    low, high = 0, 1
+    low, high, single = 0, 1, SINGLE
     while True:
         # a partial cut to `high` rows of a group comes before the shuffle
         place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("degree"), "class"))
@@ -297,8 +300,13 @@ def connected(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
         after = (F.col("degree") < F.col("hub_degree")) | ((F.col("degree") == F.col("hub_degree")) & (F.col("class") > F.col("hub_class")))
         fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
         pairs = alive.join(hubs, "grp").filter(after & fits & (F.col("component") != F.col("hub_component")))
-        pairs = pairs.select(F.col("hub_class").alias("hub"), "class").distinct()
-        pairs = staged(pairs if done is None else pairs.join(done, ["hub", "class"], "left_anti"))
+        pairs = pairs.select(F.col("hub_class").alias("hub"), "class", "hub_degree")
+        pairs = pairs if done is None else pairs.join(done, ["hub", "class"], "left_anti")
+        if single:
+            best = pairs.groupBy("class").agg(F.max(F.struct("hub_degree", "hub")).alias("best"))
+            pairs = staged(best.select("best.hub", "class"))
+        else:
+            pairs = staged(pairs.select("hub", "class").distinct())
         done = pairs if done is None else done.unionByName(pairs)
         near = staged(possible(pairs, sets, percent))
         new = staged(verified(near, sets, percent)) if near.limit(1).count() else near
@@ -311,11 +319,15 @@ def connected(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
         left = left.withColumn("component", F.coalesce("component", "class") if found is not None else F.col("class"))
         left = staged(left)
         open_ = left.groupBy("grp").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most"))
-        open_ = open_.filter((F.col("members") > high + 1) & (F.col("least") < F.col("most"))).select("grp")
+        turns = 0 if single else high  # places of a group whose hubs have met all after them
+        open_ = open_.filter((F.col("members") > turns + 1) & (F.col("least") < F.col("most"))).select("grp")
         alive = staged(left.join(open_, "grp"))
         if not alive.limit(1).count():
             return found
-        low, high = high, high * GROWTH
+        if single:
+            single -= 1
+        else:
+            low, high = high, high * GROWTH
 
 
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> tuple[DataFrame, DataFrame]:
