@@ -23,20 +23,23 @@ linked sets share, the rarest is among them on both sides, and what very many se
 share (a common line) is not. Sets that have a signature of the same members in common are a
 group, one narrow row for each set and group.
 
-Hubs. What links connect is found in rounds. In each, the next hubs of every group, those that share the
-most signatures first, are compared exactly with the members after them; each two
-sets are compared once, whatever groups they share. The links are merged into components,
-and groups whose members lie all in one are finished. The centre of a cluster of near
-copies shares most, and in the first `SINGLE` rounds a set meets only the one hub, of all its groups, that
-shares most, so these rounds finish nearly all of a cluster: rows grow with its members, not with
-their pairs. Members of different components go on, until each hub has had its turn.
-A hub's members are dealt over parts of bounded size, each with the hub's set.
-
 Sketches. Before sets are moved, a pair is tried on sketches of `SKETCH` bits: bit i is the parity of the
 shingles that hash to i. Equal shingles cancel out and each different one turns one bit, so two sketches
 differ in no more bits than the sets in shingles; a pair whose sketches differ in more than a link allows
 has none. Only the other pairs are compared exactly, and only their sets leave the scan.
 
+Hubs. What links connect is found in rounds, whose links are merged into components; groups whose members
+lie all in one are finished. The first member of a group is its hub, the one that shares the most signatures:
+the centre of a cluster of near copies. In the first `SINGLE` rounds a set meets only the one hub, of all its
+groups, that shares most, so these rounds finish nearly all of a cluster that links: one pair for each set.
+A hub's members are dealt over parts of bounded size, each with the hub's set.
+
+Cells. In the rounds after, all members of a group that lie in different components are tried on their sketches
+inside a task, which gets a row for each member and makes one only of pairs that may link, of each set
+the `NEAREST` first. Groups of more than `CELL_SETS` members are dealt over parts, and each two parts are a cell.
+Cells that left a pair out are tried again, each round with `GROWTH` times as many for a set, until there are none:
+no pair of a group in two components is left untried.
+
 Equal sets are one class from the start, so copies cost nothing. Shingles and classes are
 64-bit hashes.
 
@@ -65,10 +68,14 @@ SHINGLE = 5
 TABLES = 2
 #: Signatures that linked sets share at least; sets of three shingles have no more.
 SHARED = 3
-#: Members that a hub meets in one part on average; hubs of a group in the first round, and their growth.
-PART_SETS, GROWTH = 4096, 4
+#: Members that a hub meets in one part on average.
+PART_SETS = 4096
 #: First rounds, in which each set meets one hub.
 SINGLE = 2
+#: Members of a part of a group; pairs that a set gives in a cell in the first round of cells, and their growth.
+CELL_SETS, NEAREST, GROWTH = 2**15, 16, 16
+#: Pairs whose sketches a cell compares at once.
+CELL_PAIRS = 2**18
 #: Bits of a set's sketch.
 SKETCH = 1024
 #: Signatures that a packed block holds, and that a bucket holds on average.
@@ -287,47 +294,125 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_compare(percent), "a long, b long")
 
 
+def _near(klass: np.ndarray, n: np.ndarray, degree: np.ndarray, component: np.ndarray, sketches: np.ndarray, percent: int, nearest: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hub, class, more) of a cell's pairs in different components that may link: of each member the nearest with the components after its own."""
+    _, index, sizes = np.unique(component, return_inverse=True, return_counts=True)
+    order = np.lexsort((index, sizes[index]))  # the largest component last: its members are never paired with each other
+    klass, n, degree, index, words = klass[order], n[order], degree[order], index[order], np.ascontiguousarray(sketches[order].view(U).T)
+    ends = np.append(np.flatnonzero(index[1:] != index[:-1]) + 1, len(index))
+    after = np.repeat(ends, np.diff(ends, prepend=0))  # where the components after each member's own begin
+    i = 0
+    while i < len(klass) and after[i] < len(klass):
+        start = after[i]
+        j = min(i + max(1, CELL_PAIRS // (len(klass) - start)), int(np.searchsorted(after, len(klass))))
+        bits = np.zeros((j - i, len(klass) - start), np.uint16)
+        for w in words:
+            bits += np.bitwise_count(w[i:j, None] ^ w[start:])
+        a, b = n[i:j, None], n[start:]
+        may = ((100 + percent) * bits.astype(np.int64) <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        if after[j - 1] > start:  # members of several components: each with what comes after its own
+            may &= np.arange(start, len(klass)) >= after[i:j, None]
+        x, y = np.nonzero(may)
+        if len(x):
+            close = np.lexsort((bits[x, y], x))
+            x, y = x[close], y[close]
+            first = np.searchsorted(x, x)
+            more = np.bincount(x, minlength=j - i)[x] > nearest
+            take = np.arange(len(x)) - first < nearest
+            x, y, more = x[take] + i, y[take] + start, more[take]
+            swap = (degree[x] > degree[y]) | ((degree[x] == degree[y]) & (klass[x] < klass[y]))
+            yield np.where(swap, klass[x], klass[y]), np.where(swap, klass[y], klass[x]), more
+        i = j
+
+
+def _cells(percent: int, nearest: int) -> Callable:
+    """The pairs that `_near` gives of each cell, from rows (cell, class, n, degree, component, sketch) in the order of their cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(columns: list[np.ndarray], edge: list[int]) -> Iterator[pa.RecordBatch]:
+            found = [(*p, np.full(len(p[0]), columns[0][a])) for a, b in zip(edge[:-1], edge[1:]) for p in _near(*(c[a:b] for c in columns[1:]), percent, nearest)]
+            if found:
+                hub, klass, more, cell = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(klass), pa.array(cell, mask=~more)], names=["hub", "class", "cell"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "class", "n", "degree", "component")]
+            columns.append(batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH // 64))
+            held = [np.concatenate(c) for c in zip(held, columns)] if held else columns
+            edge = [0, *(np.flatnonzero(held[0][1:] != held[0][:-1]) + 1).tolist()]
+            yield from pairs(held, edge)
+            held = [c[edge[-1] :] for c in held]  # the last cell may go on
+        if held:
+            yield from pairs(held, [0, len(held[0])])
+
+    return run
+
+
+def near_pairs(alive: DataFrame, sets: DataFrame, percent: int, nearest: int, again: DataFrame | None = None) -> DataFrame:
+    """(hub, class, cell): the pairs of a group's members in different components whose sketches allow a link, of a member in a
+    cell the `nearest`; the cell is named where the member has others. Of the cells of `again`, if given. A member has a row for each cell."""
+    part = F.pmod(F.xxhash64("class"), F.col("parts"))
+    rows = alive.withColumn("parts", F.ceil(F.col("members") / CELL_SETS))
+    rows = rows.select("grp", "class", "n", "degree", "component", "parts", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    rows = rows.filter((F.col("parts") == 1) | (F.col("part") != F.col("other")))
+    cell = F.xxhash64("grp", F.least("part", "other"), F.greatest("part", "other"))
+    rows = rows.select(cell.alias("cell"), "class", "n", "degree", "component")
+    rows = rows if again is None else rows.join(again, "cell", "left_semi")
+    rows = rows.join(sets.select("class", "sketch"), "class").select("cell", "class", "n", "degree", "component", "sketch")
+    dealt = rows.repartition(int(alive.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(_cells(percent, nearest), "hub long, class long, cell long").distinct()
+
+
+def hub_pairs(alive: DataFrame, percent: int) -> DataFrame:
+    """(hub, class): each set with the one hub, of all its groups, that shares most."""
+    # the partial cut to a group's first row comes before the shuffle
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("degree"), "class"))
+    hubs = alive.withColumn("place", place).filter(F.col("place") == 1)
+    hubs = hubs.select("grp", *[F.col(c).alias(f"hub_{c}") for c in ("class", "n", "degree", "component")])
+    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    pairs = alive.join(hubs, "grp").filter(fits & (F.col("component") != F.col("hub_component")))
+    return pairs.select(F.col("hub_class").alias("hub"), "class", "hub_degree")
+
+
 def connected(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of the classes that links connect, from groups (grp, class, n, degree) of candidates; None without links."""
+    members = groups.groupBy("grp").agg(F.count("*").alias("members"))
+    groups = staged(groups.join(members, "grp"))
     alive = groups.withColumn("component", F.col("class"))
-    links = done = found = None
-    low, high, single = 0, 1, SINGLE
+    links = done = found = again = None
+    single, nearest = SINGLE, NEAREST
     while True:
-        # a partial cut to `high` rows of a group comes before the shuffle
-        place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("degree"), "class"))
-        hubs = alive.withColumn("place", place).filter(F.col("place") <= high).filter(F.col("place") > low)
-        hubs = hubs.select("grp", *[F.col(c).alias(f"hub_{c}") for c in ("class", "n", "degree", "component")])
-        after = (F.col("degree") < F.col("hub_degree")) | ((F.col("degree") == F.col("hub_degree")) & (F.col("class") > F.col("hub_class")))
-        fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-        pairs = alive.join(hubs, "grp").filter(after & fits & (F.col("component") != F.col("hub_component")))
-        pairs = pairs.select(F.col("hub_class").alias("hub"), "class", "hub_degree")
-        pairs = pairs if done is None else pairs.join(done, ["hub", "class"], "left_anti")
         if single:
+            pairs = hub_pairs(alive, percent)
+            pairs = pairs if done is None else pairs.join(done, ["hub", "class"], "left_anti")
             best = pairs.groupBy("class").agg(F.max(F.struct("hub_degree", "hub")).alias("best"))
             pairs = staged(best.select("best.hub", "class"))
+            near = staged(possible(pairs, sets, percent))
         else:
-            pairs = staged(pairs.select("hub", "class").distinct())
+            tried = staged(near_pairs(alive, sets, percent, nearest, again))
+            again = tried.filter("cell is not null").select("cell").distinct()
+            pairs = tried.select("hub", "class").distinct()
+            near = pairs = staged(pairs if done is None else pairs.join(done, ["hub", "class"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
-        near = staged(possible(pairs, sets, percent))
         new = staged(verified(near, sets, percent)) if near.limit(1).count() else near
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             found = staged(components(links, "a", "b"))
+        if again is not None and not again.limit(1).count():
+            return found
         left = groups
         if found is not None:
             left = groups.join(found.withColumnRenamed("node", "class"), "class", "left")
-        left = left.withColumn("component", F.coalesce("component", "class") if found is not None else F.col("class"))
-        left = staged(left)
-        open_ = left.groupBy("grp").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most"))
-        turns = 0 if single else high  # places of a group whose hubs have met all after them
-        open_ = open_.filter((F.col("members") > turns + 1) & (F.col("least") < F.col("most"))).select("grp")
-        alive = staged(left.join(open_, "grp"))
+        left = staged(left.withColumn("component", F.coalesce("component", "class") if found is not None else F.col("class")))
+        open_ = left.groupBy("grp").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        alive = staged(left.join(open_.filter(F.col("least") < F.col("most")).select("grp"), "grp"))
         if not alive.limit(1).count():
             return found
         if single:
             single -= 1
         else:
-            low, high = high, high * GROWTH
+            nearest *= GROWTH
 
 
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -196,6 +197,65 @@ def test_jaccard_of_a_cluster_compares_few_pairs(spark, monkeypatch):
     assert counts[1] < 3 * counts[0] and counts[1] < 300 * 40
 
 
+def apart(size):
+    """Near copies of a text that is not there, any two of them too different to link."""
+    rng = random.Random(size)
+    texts = []
+    for i in range(size):
+        at = set(rng.sample(range(300), 8))
+        texts.append(" ".join(f"x{i}y{k}" if k in at else f"w{k}" for k in range(300)))
+    return texts
+
+
+def test_jaccard_of_copies_that_do_not_link_makes_few_rows(spark, monkeypatch):
+    """Rows of pairs grow with the members of a group, also of one without links."""
+    made = []
+    staged = jac.staged
+
+    def counted(df, *path):
+        out = staged(df, *path)
+        if "hub" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jac, "staged", counted)
+    for size in (100, 200):
+        made.clear()
+        out = jac.jaccard_join(table(spark, apart(size))).collect()
+        assert sorted(tuple(r) for r in out) == sorted(brute.jaccard(list(enumerate(apart(size)))))
+        assert 0 < sum(made) <= 4 * size
+
+
+@pytest.mark.parametrize("single", [0, 1])
+def test_jaccard_cells_of_parts_and_rounds_lose_no_link(spark, passages, monkeypatch, single):
+    """Groups dealt over many parts, members with more partners than a round gives, slabs of a few pairs."""
+    for name, value in (("SINGLE", single), ("CELL_SETS", 6), ("CELL_PAIRS", 20), ("NEAREST", 1), ("GROWTH", 3)):
+        monkeypatch.setattr(jac, name, value)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    chain = [" ".join(base[:k] + [f"z{i}" for i in range(k, 120)]) for k in range(90, 120, 3)]  # each near the next
+    spread = []
+    for i in range(24):
+        at = set(rng.sample(range(120), 2))
+        spread.append(" ".join(f"x{i}" if k in at else w for k, w in enumerate(base)))
+    texts, ids = passages
+    texts, ids = texts + chain + spread + apart(12), ids + list(range(3000, 3000 + len(chain) + len(spread) + 12))
+    want = sorted(map(str, brute.jaccard(list(zip(ids, texts)))))
+    assert sorted(str(tuple(r)) for r in jac.jaccard_join(table(spark, texts, ids)).collect()) == want
+
+
+def test_near_pairs_of_a_cell_are_all_of_two_components():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, 180, replace=False), rng.integers(0, 2**63, 4).astype(np.uint64)))) for _ in range(40)]
+    n, sketches = np.array([len(s) for s in sets]), np.array([jac.sketch(s) for s in sets])
+    for component in (np.arange(40), np.arange(40) % 3, np.arange(40) // 20, np.zeros(40, np.int64)):
+        got = [p for p in jac._near(np.arange(40), n, np.arange(40), component, sketches, 75, 40)]
+        got = {(h, c) for hub, klass, more in got for h, c, m in zip(hub.tolist(), klass.tolist(), more.tolist()) if not m}
+        bits = lambda i, j: int(np.bitwise_count((sketches[i] ^ sketches[j]).view(np.uint64)).sum())
+        assert got == {(i, j) for i in range(40) for j in range(i) if component[i] != component[j] and 7 * bits(i, j) <= n[i] + n[j]}
+
+
 def test_signatures_lose_no_link():
     """Linked sets of any size share at least as many signatures as both their bounds say."""
     import numpy as np
