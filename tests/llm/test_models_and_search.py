@@ -285,6 +285,28 @@ def test_near_duplicates_keep_a_row_of_each_component_whatever_its_id(spark):
     assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_near_duplicates_make_few_rows_of_copies_that_do_not_link(spark, monkeypatch):
+    """Variants of one text, any two too different to link, all stay, and pairs of them are no rows."""
+    from quarry.llm import jaccard_join
+
+    made = []
+    staged = jaccard_join.staged
+
+    def counted(df, *path):
+        out = staged(df, *path)
+        if "hub" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    rng = random.Random(8)
+    changed = [set(rng.sample(range(300), 8)) for _ in range(100)]
+    rows = [(i, " ".join(f"x{i}y{k}" if k in at else f"w{k}" for k in range(300))) for i, at in enumerate(changed)]
+    docs = spark.createDataFrame([*rows, (200, rows[0][1])], "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect())) == rows
+    assert 0 < sum(made) <= 4 * len(rows)
+
+
 def test_pipeline_takes_odd_rows(spark):
     docs = spark.read.parquet(f"{SF0001}/documents.parquet").limit(60).withColumn("runs", F.lit("r")).withColumn("n_words", F.lit("n"))
     odd = docs.limit(6).withColumn("text", F.element_at(F.array(*(F.lit(t).cast("string") for t in ODD)), (F.col("doc_id") % len(ODD) + 1).cast("int")))
