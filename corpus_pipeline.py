@@ -64,7 +64,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_))
 
     near = prefilter.may_match(tagged, key, partners, hash_)
-    alone = prefilter.cannot_match(tagged, key, partners, hash_).unionByName(near.join(partners, same, "left_anti"))
+    # no anti join: the optimizer moves one below the filter's join, and all texts are shuffled
+    passed = near.join(partners, same, "left").filter(F.col(hash_).isNull()).select(*tagged.columns)
+    alone = prefilter.cannot_match(tagged, key, partners, hash_).unionByName(passed)
     # rows of one component with its smallest id, most often one: the first by its text
     held = prefilter.may_match(tagged, key, firsts, hash_).join(firsts, same)
     order = Window.partitionBy(component).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])

@@ -307,6 +307,16 @@ def test_near_duplicates_make_few_rows_of_copies_that_do_not_link(spark, monkeyp
     assert 0 < sum(made) <= 4 * len(rows)
 
 
+def test_near_duplicates_filter_texts_before_they_are_joined(spark):
+    """The exact join that follows the broadcast filter stays above it, so that other texts aren't shuffled."""
+    docs = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(20)], "doc_id long, text string")
+    plan = corpus_pipeline.near_duplicates(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    top = next(i for i, line in enumerate(plan) if "partner_id" in line and ("Join LeftAnti" in line or "Join LeftOuter" in line))
+    depth = [line.find("Join") if "Join" in line else len(line) - len(line.lstrip(" :+-")) for line in plan]
+    below = [line for line in plan[top + 1 : next((i for i in range(top + 1, len(plan)) if depth[i] <= depth[top]), len(plan))]]
+    assert any("Join Inner" in line and "_filter_word" in line for line in below)
+
+
 def test_pipeline_takes_odd_rows(spark):
     docs = spark.read.parquet(f"{SF0001}/documents.parquet").limit(60).withColumn("runs", F.lit("r")).withColumn("n_words", F.lit("n"))
     odd = docs.limit(6).withColumn("text", F.element_at(F.array(*(F.lit(t).cast("string") for t in ODD)), (F.col("doc_id") % len(ODD) + 1).cast("int")))
