@@ -54,7 +54,7 @@ def translate_list(
     """The rows whose list has known tokens, with the column `out`: the tokens' labels in
     token order. Each distinct list is translated once, known by a hash of its text, by
     which the rows are joined to it; each group that is put together again holds one
-    list's tokens."""
+    list's tokens. A column of `df` named like `out` gives way to it."""
     from quarry.operators.joins import join_dim
 
     of = F.sha2(F.col(col), 256).alias("_of")
@@ -67,7 +67,8 @@ def translate_list(
     lit = out_sep.replace("\\", "\\\\").replace("'", "\\'")
     ordered = F.expr(f"listagg(_lab, '{lit}') WITHIN GROUP (ORDER BY _tok, _lab)")
     labels = named.groupBy("_of").agg(ordered.alias(out))
-    return df.select("*", of).join(labels, "_of").drop("_of")
+    rest = [c for c in df.columns if c.lower() != out.lower()]
+    return df.select(*rest, of).join(labels, "_of").drop("_of")
 
 
 def token_frequency(

@@ -354,6 +354,13 @@ def test_decode_list_separator_with_quote(spark):
     assert got[0]["labels"] == "a' \\\\ b"
 
 
+def test_decoded_list_takes_the_name_of_its_column(spark):
+    df = spark.createDataFrame([(1, "2,1", "x")], "k int, l string, other string")
+    dim = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    assert rows(lists.decode_list(df, "k", "l", dim, "id", "name", out="l")) == [(1, "a, b")]
+    assert rows(lists.decode_list(df, "k", "l", dim, "id", "name", out="Other")) == [(1, "a, b")]
+
+
 # ---- orderings: boundary rows --------------------------------------------------------
 
 
