@@ -19,6 +19,9 @@ stage before, are deleted then.
 4. decontaminate: documents that hold a window of a benchmark item go.
 5. pack: what is left, packed into sequences of 4096 tokens.
 
+The first stage sets the session's Arrow batches to about 1.5 MB, for those after it too:
+executors keep what the largest batches took, in the JVM and in Python workers.
+
 Rows with a null id have no identity that stage 3 could cite: it neither cuts them nor
 cuts others by them. Every stage takes an empty table and returns one.
 """
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.decontaminate import decontaminate
-from quarry.llm.frames import delete, free_name, new_path, read, scratch, staged
+from quarry.llm.frames import delete, free_name, new_path, read, scratch, small_batches, staged
 from quarry.llm.jaccard_join import members
 from quarry.llm.language_id import identify, learn
 from quarry.llm.packing import pack, tokenizer_path
@@ -42,6 +45,7 @@ LEAST_SHARE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = learn(docs, "doc_id", "text", "lang")
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
     return identify(docs, model).filter((F.col(pred) != "und") & (F.col(score) >= LEAST_SHARE)).select(*docs.columns)

@@ -9,6 +9,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.words import BLOCK_BYTES
 from quarry.session import ensure_checkpoint_dir
 
 
@@ -58,6 +59,29 @@ def staged(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the Arrow batches that tasks hand Python; a block of texts or less.
+ARROW_BYTES = BLOCK_BYTES * 3 // 4
+
+
+def small_batches(spark: SparkSession) -> str:
+    """From now on, jobs of the session hand Python batches of about `ARROW_BYTES`; the size before. By
+    default a whole split of texts is one batch, held by the JVM and by the worker at the same time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ARROW_BYTES))
+    return before
+
+
+@contextmanager
+def in_small_batches(spark: SparkSession) -> Iterator[None]:
+    """`small_batches` for the jobs that run inside."""
+    before = small_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete the staged tables; call it when no result that reads them is needed any more."""
     delete(spark, staging_folder(spark))

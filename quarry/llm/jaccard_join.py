@@ -53,13 +53,12 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.frames import read, staged
+from quarry.llm.frames import in_small_batches, read, staged
 from quarry.llm.words import Block, Runs, U, blocks, mix, signed
 from quarry.operators import prefilter
 
@@ -78,8 +77,10 @@ CELL_SETS, NEAREST, GROWTH = 2**15, 16, 16
 CELL_PAIRS = 2**18
 #: Bits of a set's sketch.
 SKETCH = 1024
-#: Signatures that a packed block holds, and that a bucket holds on average.
-BLOCK_SIGNATURES, BUCKET_SIGNATURES = 2_000_000, 1_500_000
+#: Signatures that a packed block holds, and that a bucket holds on average; those that are sorted at once.
+BLOCK_SIGNATURES, BUCKET_SIGNATURES, SORTED = 500_000, 1_500_000, 250_000
+#: Classes that a task that packs keeps in mind, so as to sign copies once.
+SEEN = 2**18
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -184,45 +185,62 @@ def _pack(buckets: int) -> Callable:
                     ids.append(c)
                     sigs.append(signatures(s)[0])
                     size += len(sigs[-1])
-            if size > BLOCK_SIGNATURES:
-                yield rows(sigs, ids)
-                sigs, ids, seen, size = [], [], set(), 0
+                if size > BLOCK_SIGNATURES:
+                    yield rows(sigs, ids)
+                    sigs, ids, size = [], [], 0
+            if len(seen) > SEEN:  # classes that the task has signed, in this block or one before
+                seen = set()
         if size:
             yield rows(sigs, ids)
 
     return pack
 
 
-def _shared(bucket: pd.DataFrame) -> pd.DataFrame:
-    """(grp, class, times): the different sets of classes that share signatures of the bucket, and how many."""
-    sig, of = [], []
-    for s, o, c in zip(bucket["sigs"], bucket["owners"], bucket["classes"]):
-        s, c = np.frombuffer(s, U), np.frombuffer(c, np.int64)
-        sig.append(s)
-        of.append(c[np.frombuffer(o, np.uint32 if len(c) > 65535 else np.uint16)])
-    sig, of = np.concatenate(sig), np.concatenate(of)
+def _several(sig: np.ndarray, owner: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each signature that several different classes have: how many, and all these classes in order."""
     order = np.argsort(sig, kind="stable")
-    sig, of = sig[order], of[order]
+    sig, owner = sig[order], owner[order]
     same = sig[1:] == sig[:-1]
     keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    sig, of = sig[keep], of[keep]
+    sig, of = sig[keep], of[owner[keep]]
     order = np.lexsort((of, sig))
     sig, of = sig[order], of[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (of[1:] != of[:-1])
     sig, of = sig[new], of[new]  # each class once: copies of other blocks
-    if not len(sig):
-        return pd.DataFrame({"grp": [], "class": [], "times": []}, dtype=np.int64)
-    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(first, append=len(sig))
-    group = mix(np.add.reduceat(mix(of.view(U)), first) + size.astype(U))  # equal members, equal group
+    return size[size > 1], of[np.repeat(size > 1, size)]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, class, times): the different sets of classes that share signatures of the bucket, and how many.
+
+    Signatures are sorted about `SORTED` at a time, those with equal remainders together."""
+    columns: list[list[np.ndarray]] = [[], [], []]
+    n = 0
+    for batch in batches:
+        for s, o, c in zip(*(batch.column(x) for x in ("sigs", "owners", "classes"))):
+            c = np.frombuffer(c.as_buffer(), np.int64).copy()
+            o = np.frombuffer(o.as_buffer(), np.uint32 if len(c) > 65535 else np.uint16)
+            for column, x in zip(columns, (np.frombuffer(s.as_buffer(), U).copy(), o + np.uint32(n), c)):
+                column.append(x)
+            n += len(c)
+    sig, owner, of = (np.concatenate(columns.pop(0)) for _ in range(3))
+    parts = min(64, 1 + len(sig) // SORTED)
+    part = (sig % U(parts)).astype(np.uint8)
+    found = [_several(sig[at], owner[at], of) for at in (np.flatnonzero(part == i) for i in range(parts)) if len(at)]
+    del sig, owner, of, part
+    size, of = (np.concatenate(x) for x in zip(*found))
+    if not len(size):
+        return
+    group = mix(np.add.reduceat(mix(of.view(U)), np.cumsum(size) - size) + size.astype(U))  # equal members, equal group
     _, once, times = np.unique(group, return_index=True, return_counts=True)
-    count = np.zeros(len(first), np.int64)
+    count = np.zeros(len(size), np.int64)
     count[once] = times
-    count[size == 1] = 0
     count = np.repeat(count, size)
     take = count > 0
-    return pd.DataFrame({"grp": np.repeat(group, size)[take].view(np.int64), "class": of[take], "times": count[take]})
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(group, size)[take].view(np.int64)), pa.array(of[take]), pa.array(count[take])], names=["grp", "class", "times"])
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -423,12 +441,17 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     """
     if percent != 75:
         raise ValueError("the size bands are those of 75 per cent")
+    with in_small_batches(docs.sparkSession):
+        return _members(docs, id_col, text_col, percent)
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     known = staged(classes(docs, id_col, text_col))
     total = known.agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SIGNATURES))
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_pack(buckets), "bucket int, sigs binary, owners binary, classes binary")
-    groups = packed.groupBy("bucket").applyInPandas(_shared, "grp long, class long, times long")
+    groups = packed.groupBy("bucket").applyInArrow(_shared, "grp long, class long, times long")
     groups = staged(groups.groupBy("grp", "class").agg(F.sum("times").alias("times")))
     one = known.filter("class is not null").groupBy("class")
     one = staged(one.agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bound").alias("bound"), F.count("*").alias("copies")))

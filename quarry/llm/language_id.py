@@ -36,6 +36,8 @@ CHAIN = 128
 SIZES = (2, 3, 4)
 BUCKETS = 1 << 16
 STEPS, RATE, SWITCH = 60, 0.3, 1 / 24
+#: Words whose features are summed at once; different words that a task counts before it passes them on.
+WORDS, COUNTED = 4096, 100_000
 
 def _features(words: list[bytes], lexicon: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature); the features past BUCKETS are the lexicons of the languages."""
@@ -86,8 +88,12 @@ class Model:
         self.weight, self.start, self.transition = np.zeros((BUCKETS + l, l)), np.zeros(l), np.zeros((l, l))
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
-        own, feature = _features(words, self.lexicon)
-        return _sums(own, self.weight[feature], len(words))
+        out = np.zeros((len(words), len(self.labels)))
+        for i in range(0, len(words), WORDS):  # a word has dozens of features, each with a weight for every label
+            some = words[i : i + WORDS]
+            own, feature = _features(some, self.lexicon)
+            out[i : i + WORDS] = _sums(own, self.weight[feature], len(some))
+        return out
 
     def fit(self, excerpts: list[tuple[int, list[bytes]]], seed: int = 7) -> "Model":
         """excerpts: (label, words of a document)."""
@@ -164,15 +170,16 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
         """(lang, word, n) of a task's documents, passed on when they become many."""
 
         def found(seen: dict) -> pa.RecordBatch:
-            flat = [(l, w.decode(errors="ignore"), n) for l, c in seen.items() for w, n in c.items()]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+            lang = pa.array([l for l, c in seen.items() for _ in c], pa.string())
+            word = pa.array([w.decode(errors="ignore") for c in seen.values() for w in c], pa.string())
+            return pa.RecordBatch.from_arrays([lang, word, pa.array([n for c in seen.values() for n in c.values()], pa.int64())], names=["lang", "word", "n"])
 
         seen: dict[str, Counter] = {}
         for batch, texts in blocks(batches, "text"):
             block = Block(lowered(texts), LETTERS)
             for i, lang in enumerate(batch.column("lang").to_pylist()):
                 seen.setdefault(lang, Counter()).update(block.words(i))
-            if sum(map(len, seen.values())) > 300_000:
+            if sum(map(len, seen.values())) > COUNTED:
                 yield found(seen)
                 seen = {}
         yield found(seen)
